@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id
+from tidemark.llm import chat_windows, decontaminate, language_id, license_scan, mixing, sst, warc
+from tidemark.llm.common import shared_folder
 from tidemark.session import table
 
 
@@ -17,6 +18,117 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", language_id.held_out().alias("held_out"), "text"), model).drop("text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_language_id": op2_language_id}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken")
+    )
 
-ORACLES: dict[str, str] = {}
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = decontaminate.judged(decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), items))
+    return found.select(
+        "doc_id",
+        F.col("decon_words").alias("n_words"),
+        F.col("decon_hit_words").alias("n_hit"),
+        F.size("decon_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("decon_items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    both = F.array_sort(F.array_distinct(F.concat("scan_labels", "scan_templates")))
+    return found.select(
+        "doc_id",
+        F.col("scan_words").alias("n_words"),
+        F.col("scan_base").alias("n_base"),
+        F.col("scan_first").alias("first_word"),
+        F.col("scan_last").alias("last_word"),
+        F.array_join(F.array_sort("scan_labels"), ",").alias("base_labels"),
+        F.array_join(both, ",").alias("labels"),
+        F.col("scan_score").alias("score"),
+    )
+
+
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_windows.digests(chat_windows.read_back(chat_windows.windows(turns)))
+
+
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sst.read(spark, sst.write(docs, shared_folder(spark), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.archive(table(spark, sf_dir, "pages"), shared_folder(spark))
+    records = warc.read(spark, files, payloads=False)
+    number = lambda c: F.expr(f"try_cast(substring({c}, 10) AS BIGINT)")  # noqa: E731  after urn:page:
+    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op3_mixing": op3_mixing,
+    "op4_decontamination": op4_decontamination,
+    "op6_license_scan": op6_license_scan,
+    "op7_chat_windows": op7_chat_windows,
+    "op8_token_shards": op8_token_shards,
+    "op9_warc": op9_warc,
+}
+
+#: The contract in SQL, over whole tables.
+ORACLES: dict[str, str] = {
+    "op4_decontamination": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        bw AS (SELECT item_id, least(13, len(w)) AS size, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS k FROM bw),
+        sizes AS (SELECT DISTINCT size FROM win),
+        pos AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size),
+        occ AS (SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS k FROM pos),
+        hit AS (SELECT occ.doc_id, occ.i, occ.size, win.item_id FROM occ JOIN win ON win.k = occ.k AND win.size = occ.size),
+        hw AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM hit) GROUP BY doc_id),
+        hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        k AS (SELECT html, max(page_id) AS kept, count(*) AS n FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+        SELECT p.page_id, strlen(p.html)::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+               CASE WHEN k.kept <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN k.kept <> p.page_id THEN k.kept END AS refers_to
+        FROM p LEFT JOIN k ON k.html = p.html""",
+    "op7_chat_windows": """
+        WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+                   UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+        e AS (SELECT *, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS safe FROM t),
+        r AS (SELECT *, row_number() OVER w AS at_, len(regexp_extract_all(safe, '[^ \t\n\x0B\f\r]+')) AS n,
+                     length(safe) + length(coalesce(' role="' || replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '"', '')) + 15 AS chars
+              FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text)),
+        b AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY at_) - n AS before FROM r),
+        s AS (SELECT *, (before // 384) AS span FROM b),
+        o AS (SELECT *, lead(span) OVER (PARTITION BY conv_id ORDER BY at_) AS following FROM s),
+        x AS (SELECT conv_id, span, min(before) AS opens FROM s GROUP BY ALL),
+        y AS (SELECT *, lead(opens) OVER (PARTITION BY conv_id ORDER BY span) AS next_opens FROM x),
+        h AS (SELECT s.conv_id, sum(s.chars) AS chars FROM s JOIN y ON y.conv_id = s.conv_id AND y.span = s.span
+              WHERE y.next_opens - s.before <= 128 AND NOT (s.at_ = 1 AND s.role IS NOT DISTINCT FROM 'system') GROUP BY s.conv_id),
+        z AS (SELECT x.conv_id, (count(*) - 1) * max(f.chars) AS chars FROM x JOIN r f ON f.conv_id = x.conv_id AND f.at_ = 1 AND f.role = 'system' GROUP BY x.conv_id)
+        SELECT s.conv_id, count(*)::BIGINT AS n_turns,
+               sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY at_)) AS turns_sha256,
+               coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY at_), '')) AS loss_sha256,
+               (sum(s.chars) + coalesce(any_value(h.chars), 0) + coalesce(any_value(z.chars), 0))::BIGINT AS formatted_chars
+        FROM s LEFT JOIN h USING (conv_id) LEFT JOIN z USING (conv_id) GROUP BY s.conv_id""",
+}
