@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_windows, decontaminate, language_id, license_scan, mixing, sst, warc
+from tidemark.llm import chat_windows, decontaminate, language_id, license_scan, mixing, simhash, sst, warc
 from tidemark.llm.common import shared_folder
 from tidemark.session import table
 
@@ -38,6 +38,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     both = F.array_sort(F.array_distinct(F.concat("scan_labels", "scan_templates")))
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_simhash": op5_simhash,
     "op6_license_scan": op6_license_scan,
     "op7_chat_windows": op7_chat_windows,
     "op8_token_shards": op8_token_shards,
