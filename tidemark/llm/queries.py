@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_windows, decontaminate, language_id, license_scan, mixing, simhash, sst, warc
+from tidemark.llm import ann, chat_windows, decontaminate, language_id, license_scan, mixing, simhash, sst, warc
 from tidemark.llm.common import shared_folder
 from tidemark.session import table
 
@@ -80,6 +80,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), ann.learn(vectors))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_windows": op7_chat_windows,
     "op8_token_shards": op8_token_shards,
     "op9_warc": op9_warc,
+    "op10_ann": op10_ann,
 }
 
 #: The contract in SQL, over whole tables.
