@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -57,3 +61,11 @@ def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lo = int(offsets[0]) if len(offsets) else 0
     hi = int(offsets[-1]) if len(offsets) else 0
     return raw[lo:hi], offsets - lo
+
+
+def per_process(key: str, make: Callable[[], Any]) -> Any:
+    """One object for each Python worker, kept from task to task (what a task brings along is not)."""
+    kept = sys.modules.setdefault("_tidemark_kept", types.ModuleType("_tidemark_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -16,6 +16,7 @@ met before need not be encoded again.
 from __future__ import annotations
 
 import io
+import json
 import re
 import struct
 import uuid
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import per_process, written
 
 MAGIC = b"TIDESST1"
 #: Bloom filter place, index place, index size, blocks, documents, ids, the width of an id in bytes, magic.
@@ -39,41 +40,83 @@ BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Pieces remembered by a worker, and the longest such piece.
 REMEMBERED, LONGEST = 400_000, 48
-UNSAFE = re.compile(r"\s[ \n]")
+#: White space that is neither a space nor a line feed.
+RARE = re.compile(r"[^\S \n]")
+#: A stop that does not follow a letter or digit, so that a token may hold both.
+ODD_STOP = re.compile(r"[\W_][.,]\s")
 SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n])")
+SPACED, SOLID = re.compile(r" \S+"), re.compile(r"\S+")
 
 
 class Encoder:
-    """Ids of texts, as little-endian numbers of 2 or 4 bytes."""
+    """Ids of texts, as little-endian numbers of 2 or 4 bytes.
+
+    A byte-level tokenizer is fed pieces of texts that no token crosses, each once; new pieces go
+    to it strung together, and the lengths of the tokens in bytes tell where each ends. Any
+    other tokenizer is fed whole texts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        self.by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False):
-            yield np.array(e.ids, self.kind).tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
+        self.width = int(self.kind[-1])
+        self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # one character is one byte
+            self.length[i] = len(token)
+        self.known: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        if UNSAFE.search(text):
+        if any(pair in text for pair in ("  ", " \n", "\n ", "\n\n", "\0")) or RARE.search(text) or ODD_STOP.search(text):
             return SAFE_CUT.split(text)
-        return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") if "\0" not in text else SAFE_CUT.split(text)
+        return text.replace(", ", "\0, ").replace(". ", "\0. ").replace(".\n", "\0.\n").replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+    def _strung(self, pieces: list[str], between: str) -> Iterator[tuple[str, bytes]]:
+        for lo in range(0, len(pieces), 1000):
+            part = pieces[lo : lo + 1000]
+            ids = np.array(self.tokenizer.encode(between.join(part), add_special_tokens=False).ids, self.kind)
+            at = np.concatenate([[0], np.cumsum(self.length[ids])])
+            size = np.array([len(p.encode()) for p in part]) + len(between)
+            ends = np.searchsorted(at, np.cumsum(size) - len(between))
+            starts = np.searchsorted(at, np.cumsum(size) - size)
+            for p, a, b in zip(part, starts.tolist(), ends.tolist()):
+                yield p, ids[a:b].tobytes()
+
+    def _alone(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        for lo in range(0, len(texts), 200):
+            for t, e in zip(texts[lo : lo + 200], self.tokenizer.encode_batch(texts[lo : lo + 200], add_special_tokens=False)):
+                yield t, np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_piece:
+            return [ids for _, ids in self._alone(texts)]
         cut = [self.pieces(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*cut).difference(known))
-        long = {}
-        for piece, ids in zip(new, self._encode(new)):
-            (known if len(piece) <= LONGEST else long)[piece] = ids
-        return [b"".join([long[p] if len(p) > LONGEST else known[p] for p in c]) for c in cut]
+        new = set()
+        for c in cut:
+            new.update(c)
+        new.difference_update(self.known)
+        spaced = [p for p in new if SPACED.fullmatch(p)]
+        solid = [p for p in new if SOLID.fullmatch(p)]
+        other = list(new.difference(spaced, solid))
+        look = self.known
+        if len(look) > REMEMBERED:  # the first met are the most frequent ones; they stay
+            look = dict(zip(new := set().union(*cut), map(self.known.get, new)))
+        for found in (self._strung(spaced, ""), self._strung(solid, "\n"), self._alone(other)):
+            for piece, ids in found:
+                look[piece] = ids
+        out = [b"".join(map(look.__getitem__, c)) for c in cut]
+        if look is self.known:
+            for p in other:
+                if len(p) > LONGEST:
+                    del look[p]
+        return out
 
 
 def key_bytes(key: int | None) -> bytes:
@@ -221,7 +264,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
             for lo in range(0, len(keys), 256):
                 texts = batch.column(1).slice(lo, 256).to_pylist()
                 if encoder is None:
-                    encoder = Encoder(tokenizer)
+                    encoder = per_process(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
                     end = np.array([end_id], encoder.kind).tobytes()
                     target, base = pafs.FileSystem.from_uri(folder)
                     target.create_dir(base, recursive=True)
