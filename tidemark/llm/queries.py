@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat_windows, decontaminate, language_id, license_scan, mixing, simhash, sst, warc
+from tidemark.llm import ann, chat_windows, decontaminate, language_id, license_scan, mixing, paragraph_dedup, simhash, sst, warc
 from tidemark.llm.common import shared_folder
 from tidemark.session import table
 
 
+def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(~language_id.held_out()), order_by=F.col("doc_id"))
@@ -86,6 +90,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_paragraph_dedup": op1_paragraph_dedup,
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
