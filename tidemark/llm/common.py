@@ -69,3 +69,9 @@ def per_process(key: str, make: Callable[[], Any]) -> Any:
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs but for columns of these names, whatever their case: those an operator adds."""
+    taken = {n.lower() for n in names}
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])

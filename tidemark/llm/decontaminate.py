@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import buffers, written
+from tidemark.llm.common import buffers, without, written
 
 WINDOW, SHINGLE = 13, 3
 #: Candidates compared at a time.
@@ -164,8 +164,9 @@ def scan(
     Words are runs of ASCII digits and letters, case aside, and of all that is not ASCII. A null text
     has none, here and in items; a null item id counts as an empty one; an item given twice
     counts once. Empty tables, of documents or items, hit nothing. part_bytes bounds the text of
-    the items that travel at once.
+    the items that travel at once. Columns of docs named like those added are left out.
     """
+    docs = without(docs, "decon_words", "decon_hits", "decon_items", "decon_hit_words", "contaminated", "_f")
     whole = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("binary").alias("t"))
     n_parts = 1 + (whole.agg(F.sum(F.length("t") + 16)).first()[0] or 0) // part_bytes
     out = docs.withColumns({"decon_words": F.lit(None).cast("long"), "decon_hits": F.array().cast("array<struct<lo:int,hi:int>>"), "decon_items": F.array().cast("array<string>")})

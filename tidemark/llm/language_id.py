@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import buffers
+from tidemark.llm.common import buffers, without
 
 ORDER = 3
 SLICE = 1 << 20
@@ -157,8 +157,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     score is the winner's share of 2^-bits over all languages (equal priors); ties go to the
     smaller name. A null text, and one without a letter, is `und` with score 0, as is
     every text when no language is known. Case does not matter. Empty tables stay empty.
-    Columns of these three names that docs has are replaced.
+    Columns of docs named so, or _letter or _s, are left out.
     """
+    docs = without(docs, "lang_pred", "score", "bits_per_byte", "_letter", "_s")
     @F.arrow_udf(SCHEMA)
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = model  # Spark broadcasts what a function carries
@@ -176,7 +177,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(mean)], ["lang_pred", "score", "bits_per_byte"])
 
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "bits_per_byte")]
+    kept = docs.columns
     marked = docs.select(*kept, has_letter.alias("_letter"), scored(F.coalesce(F.lower(text), F.lit("")).cast("binary")).alias("_s"))
     return marked.select(
         *kept,

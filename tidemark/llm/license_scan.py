@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import PLAIN_GAP, lower_ascii
+from tidemark.llm.common import PLAIN_GAP, lower_ascii, without
 
 #: Phrases and their labels.
 PHRASES = {
@@ -36,6 +36,7 @@ TEMPLATES = {
 }
 
 BLOCK, STRIDE = 64, 32
+ADDED = ("scan_words", "scan_base", "scan_first", "scan_last", "scan_labels", "scan_templates", "scan_score", "_norm", "_found", "_key", "_labels", "_score")
 
 
 def words_of(text: str) -> list[str]:
@@ -45,7 +46,8 @@ def words_of(text: str) -> list[str]:
 def _normal(text: Column) -> Column:
     """Words with a space before and after each, or one space for none."""
     spaced = F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), PLAIN_GAP, " ")
-    return F.concat(F.lit(" "), F.trim(spaced), F.lit(" "))
+    inner = F.trim(spaced)
+    return F.when(inner == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), inner, F.lit(" ")))
 
 
 def _spaces(text: Column) -> Column:
@@ -112,8 +114,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     """Adds the columns of phrases() and scan_templates (array of labels) and scan_score to every row.
 
     scan_score is the best containment of a template, or 0. A null text has no words; rows alike in
-    id and text get the same result each; an empty table gives an empty one.
+    id and text get the same result each; an empty table gives an empty one. Columns of
+    docs named like those added, and _norm, _found, _key, _labels and _score, are left out.
     """
+    docs = without(docs, *ADDED)
     based = phrases(docs, text).withColumn("_key", F.xxhash64(F.col(doc_id), F.col(text)))
     keyed = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("_key"), F.col(text))
     best = matches(keyed, text, templates, threshold).groupBy("_key").agg(F.sort_array(F.collect_set("label")).alias("_labels"), F.max("containment").alias("_score"))

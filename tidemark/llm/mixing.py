@@ -13,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_WORD
+from tidemark.llm.common import SPACE_WORD, without
 
 SPOTS = 4096
+OWN = ("mix_size", "mix_source_size", "mix_target", "mix_taken", "_source", "_spot", "_shard", "_words", "_quota", "_n", "_to", "_start", "_run")
 
 
 def n_words(text: Column) -> Column:
@@ -63,7 +64,6 @@ def apportion(rows: DataFrame, within: list[str], order: list[str], value: str,
     """
     group = Window.partitionBy(*(within or [F.lit(0)]))
     total, half = F.sum(value).over(group), F.count(F.lit(1)).over(group) / 2
-    low = F.greatest(F.col(seats) - half, F.lit(0.0)) / F.col("_total")
     bounds = rows.withColumn("_total", total.cast("double")).withColumn("_half", half)
     low = F.greatest(F.col(seats) - F.col("_half"), F.lit(0.0)) / F.nullif(F.col("_total"), F.lit(0.0))
     high = (F.col(seats) + F.col("_half")) / F.nullif(F.col("_total"), F.lit(0.0))
@@ -94,8 +94,10 @@ def mix(
     A null or empty text has size 0 and takes 0. A null source is a source of its own, last. No
     row takes more than cap times its size. A source's taken words differ from its target by about
     a block and what its shards' last, shorter blocks lack. Rows alike in id and size are
-    interchangeable. An empty table gives an empty one. Columns of docs keep their names.
+    interchangeable. An empty table gives an empty one. Columns of docs named
+    like those added, or like this function's own (see OWN), are left out.
     """
+    docs = without(docs, *OWN)
     named = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))
     sized = docs.withColumns({"mix_size": n_words(F.col(text)), "_source": named, "_spot": _spot(seed, F.col(doc_id)) % SPOTS})
     spots = sized.groupBy("_source", "_spot").agg(F.first(source).alias("source"), F.sum("mix_size").alias("words"), F.count(F.lit(1)).alias("n"))
