@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tidemark.plans import analytics, calendar
+
+BOOKS = (calendar.BOOK, analytics.BOOK)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for b in BOOKS for k, q in b.queries.items()}
+ORACLES: dict[str, str] = {k: q for b in BOOKS for k, q in b.oracles.items()}
