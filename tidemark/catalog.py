@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import analytics, calendar
+from tidemark.plans import analytics, calendar, relations
 
-BOOKS = (calendar.BOOK, analytics.BOOK)
+BOOKS = (calendar.BOOK, analytics.BOOK, relations.BOOK)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for b in BOOKS for k, q in b.queries.items()}
 ORACLES: dict[str, str] = {k: q for b in BOOKS for k, q in b.oracles.items()}

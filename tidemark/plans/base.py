@@ -15,7 +15,7 @@ BO = f"""bo AS (SELECT (epoch_ms(o_orderdate) // {DAY}) * {DAY} AS open_time_ms,
 
 
 def be(step: int = DAY) -> str:
-    return f"""be AS (SELECT event_type, (epoch_us(ts) // ({step} * 1000)) * {step} AS open_time_ms, first(value ORDER BY ts, event_id) AS open, max(value) AS high,
+    return f"""be AS (SELECT event_type, (epoch_us(ts) // {step * 1000}) * {step} AS open_time_ms, first(value ORDER BY ts, event_id) AS open, max(value) AS high,
     min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2)"""
 
 
