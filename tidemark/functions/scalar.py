@@ -126,6 +126,82 @@ def inverse_normal(p: Column) -> Column:
     return F.when((p > 0) & (p < 0.02425), edge).when((p > 1 - 0.02425) & (p < 1), -edge).when((p > 0) & (p < 1), middle)
 
 
+#: Coefficients of the rational approximation of the normal distribution function.
+CDF_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+CDF_BOTTOM = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+
+
+def normal_cdf(x: Column) -> Column:
+    """The normal distribution function to about 1e-14, by expressions alone."""
+    a = F.least(F.abs(x), F.lit(37.0))
+    e = F.exp(-a * a / 2)
+    near = e * _poly(a, CDF_TOP) / _poly(a, CDF_BOTTOM)
+    far = a + 0.65
+    for k in (4, 3, 2, 1):
+        far = a + k / far
+    tail = F.when(a < 7.07106781186547, near).otherwise(e / far / math.sqrt(2 * math.pi))
+    return F.when(x > 0, 1 - tail).otherwise(tail)
+
+
+def feature_distance(a: Column, b: Column) -> Column:
+    """Half the mean square of each half's differences, for arrays of even length."""
+    square = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return square / F.size(a)
+
+
+def month_key(ms: Column) -> Column:
+    """YYYY-MM in UTC."""
+    return F.date_format(F.date_from_unix_date(F.floor(ms / 86_400_000).cast("int")), "yyyy-MM")
+
+
+def relative_performance(s_final: Column, b_final: Column, s_return: Column, b_return: Column, s_dd: Column, b_dd: Column) -> dict[str, Column]:
+    """As metrics(), but qualified by returns, not by final values."""
+    return metrics(s_final, b_final, s_dd, b_dd) | {"qualified": (s_return > b_return) & (s_dd < b_dd)}
+
+
+def to_middle_body(open_: Column, high: Column, low: Column, close: Column) -> dict[str, Column]:
+    """Log middle, body and wicks of a bar."""
+    o, h, lo, c = (F.log(x) for x in (open_, high, low, close))
+    return {"middle": (o + c) / 2, "body": c - o, "upper": h - F.greatest(o, c), "lower": F.least(o, c) - lo}
+
+
+def from_middle_body(middle: Column, body: Column, upper: Column, lower: Column) -> dict[str, Column]:
+    o, c = middle - body / 2, middle + body / 2
+    return {"open": F.exp(o), "high": F.exp(F.greatest(o, c) + upper), "low": F.exp(F.least(o, c) - lower), "close": F.exp(c)}
+
+
+def progress(valid: Column, total: Column) -> Column:
+    """Share of valid items in [0, 1], 0 without items."""
+    return F.when(total > 0, clip(valid / F.nullif(total, F.lit(0)), 0, 1)).otherwise(0.0)
+
+
+def task_status(total: Column, valid: Column, running: Column, pending: Column, failed: Column, started: Column, cancel: Column) -> Column:
+    """Status of a task from the counts of its items."""
+    return (
+        F.when(cancel, F.when(running > 0, "running").otherwise("cancelled"))
+        .when(total <= 0, F.when(started, "completed").otherwise("planned"))
+        .when(valid == total, "completed")
+        .when(running > 0, "running")
+        .when(~started, "planned")
+        .when(pending > 0, "queued")
+        .when(valid > 0, "partial")
+        .when(failed > 0, "failed")
+        .otherwise("cancelled")
+    )
+
+
+def canonical_decimal(x: Column) -> Column:
+    """A number's plain decimal text without leading or trailing zeros; null for what is no number."""
+    text = F.trim(x).try_cast("decimal(38,18)").cast("string")
+    plain = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(plain == "-0", "0").otherwise(plain)
+
+
+def fingerprint(*values: Column) -> Column:
+    """A 64-bit hash of values to six digits."""
+    return F.xxhash64(*[F.round(v * 1_000_000).cast("long") for v in values])
+
+
 def radical_inverse(i: Column, base: int, digits: int | None = None) -> Column:
     """The Halton coordinate of a counter: its digits in the base, mirrored at the point."""
     digits = digits or math.ceil(40 / math.log2(base))

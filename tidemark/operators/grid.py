@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import axis_neighbours, box_neighbours
+from tidemark.shared import written
 
 
 def grid_components(points: DataFrame, axes: list[str], node: Column, most_rounds: int = 64) -> DataFrame:
@@ -19,13 +20,13 @@ def grid_components(points: DataFrame, axes: list[str], node: Column, most_round
     base = points.select(*axes, node.alias("node")).distinct()
     pairs = axis_neighbours(base.select(*axes), [], axes)
     other = base.select(*[F.col(a).alias(f"n_{a}") for a in axes], F.col("node").alias("to"))
-    edges = pairs.join(other, [f"n_{a}" for a in axes]).join(base, axes).select(F.col("node").alias("a"), F.col("to").alias("b")).persist()
-    labels = base.select("node", F.col("node").alias("label")).persist()
+    edges = pairs.join(other, [f"n_{a}" for a in axes]).join(base, axes).select(F.col("node").alias("a"), F.col("to").alias("b"))
+    edges, labels = written(edges), written(base.select("node", F.col("node").alias("label")))
     for _ in range(most_rounds):
         near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
         jump = spread.join(labels.select(F.col("node").alias("low"), F.col("label").alias("far")), "low").select("node", "label", F.least("low", "far").alias("new"))
-        jump = jump.persist()
+        jump = written(jump)
         changed = jump.where("new < label").limit(1).count()
         labels = jump.select("node", F.col("new").alias("label"))
         if not changed:

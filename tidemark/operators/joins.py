@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.shared import written
+
 
 def as_of(timeline: DataFrame, series: DataFrame, keys: list[str], time: str = "time_ms", available: str = "avail_ms", value: str = "value") -> DataFrame:
     """Each time of the timeline with the series' latest row that is not later and was available by then.
@@ -139,7 +141,7 @@ def ancestors(edges: DataFrame, roots: DataFrame, child: str, parent: str, most_
     seen = frontier.withColumn("depth", F.lit(0))
     for depth in range(1, most_steps + 1):
         step = frontier.join(edges, frontier["node"] == edges[child]).select(F.col(parent).alias("node")).where("node IS NOT NULL").distinct()
-        frontier = step.join(seen.select("node"), "node", "left_anti").persist()
+        frontier = written(step.join(seen.select("node"), "node", "left_anti"))
         if not frontier.take(1):
             break
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))

@@ -133,9 +133,9 @@ def u15(spark: SparkSession, d: str) -> DataFrame:
     return li.where("l_returnflag = 'A'").select(key).union(li.where("l_returnflag = 'N'").select(key)).distinct()
 
 
-@add("u16_missing_by_configuration", """WITH p AS (SELECT DISTINCT l_linenumber AS c, l_suppkey * 7 + l_quantity::INT % 7 AS k FROM lineitem) SELECT c.c, k.k FROM (SELECT DISTINCT c FROM p) c, (SELECT DISTINCT k FROM p) k WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.c = c.c AND p.k = k.k)""")
+@add("u16_missing_by_configuration", """WITH p AS (SELECT DISTINCT l_linenumber AS c, l_partkey AS k FROM lineitem) SELECT c.c, k.k FROM (SELECT DISTINCT c FROM p) c, (SELECT DISTINCT k FROM p) k WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.c = c.c AND p.k = k.k)""")
 def u16(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("c"), (F.col("l_suppkey") * 7 + F.col("l_quantity").cast("int") % 7).alias("k")).distinct()
+    p = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("c"), F.col("l_partkey").alias("k")).distinct()
     return J.missing_by_configuration(p, "c", "k").select("c", "k")
 
 

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.session import table
 
 DAY_MS = 86_400_000
-BAR = "open_time_ms long, open double, high double, low double, close double, volume double"
 
 
 def millis(ts: Column | str) -> Column:
@@ -119,5 +117,3 @@ def checked_blocks(blocks: DataFrame) -> DataFrame:
     """Adds intact: whether a block's body still has its hash."""
     return blocks.withColumn("intact", F.sha2("body", 256) == F.col("sha256"))
 
-
-BAR_SCHEMA = T.StructType.fromDDL(BAR)
