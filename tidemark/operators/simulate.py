@@ -118,7 +118,7 @@ def replay_exposure(bars: DataFrame, keys: list[str], spec: ReplaySpec = ReplayS
         return out.astype({"trades": "int32"})
 
     kinds = dict(bars.dtypes)
-    return rows.groupBy(*keys).applyInPandas(fold, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + REPLAY)
+    return rows.groupBy(*keys).applyInPandas(fold, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], REPLAY]))
 
 
 def shuffled_targets(bars: DataFrame, keys: list[str], seed: int, target: str = "target") -> DataFrame:
