@@ -16,7 +16,9 @@ met before need not be encoded again.
 from __future__ import annotations
 
 import io
+import itertools
 import json
+import os
 import re
 import struct
 import uuid
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -38,12 +41,14 @@ MAGIC = b"TIDESST1"
 FOOTER = "<QQQQQQI8s"
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: Pieces remembered by a worker, and the longest such piece.
-REMEMBERED, LONGEST = 400_000, 48
+#: Pieces remembered by a worker, and the longest piece in a batch that adds to them.
+REMEMBERED, LONGEST = 400_000, 4096
+#: New pieces strung together for one call of the tokenizer.
+STRUNG = 100
 #: White space that is neither a space nor a line feed.
 RARE = re.compile(r"[^\S \n]")
 #: A stop that does not follow a letter or digit, so that a token may hold both.
-ODD_STOP = re.compile(r"[\W_][.,]\s")
+ODD_STOP = re.compile(r"[.,](?<=[\W_].)\s")
 SAFE_CUT = re.compile(r"(?<=\S)(?=[ \n])")
 SPACED, SOLID = re.compile(r" \S+"), re.compile(r"\S+")
 
@@ -52,13 +57,14 @@ class Encoder:
     """Ids of texts, as little-endian numbers of 2 or 4 bytes.
 
     A byte-level tokenizer is fed pieces of texts that no token crosses, each once; new pieces go
-    to it strung together, and the lengths of the tokens in bytes tell where each ends. Any
-    other tokenizer is fed whole texts.
+    to it strung together, and the lengths of the tokens in bytes tell where each ends. The ids of
+    all pieces known lie in one array, so a text is put together by places in it. Any other tokenizer is fed whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
@@ -70,55 +76,92 @@ class Encoder:
         self.length = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # one character is one byte
             self.length[i] = len(token)
-        self.known: dict[str, bytes] = {"": b""}
+        #: Numbers of the pieces known; where each one's ids begin in the pool, and how many they are.
+        self.known: dict[str, int] = {"": 0}
+        self.first, self.count, self.pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, self.kind)
 
     @staticmethod
-    def pieces(text: str) -> list[str]:
-        if any(pair in text for pair in ("  ", " \n", "\n ", "\n\n", "\0")) or RARE.search(text) or ODD_STOP.search(text):
-            return SAFE_CUT.split(text)
-        return text.replace(", ", "\0, ").replace(". ", "\0. ").replace(".\n", "\0.\n").replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-
-    def _strung(self, pieces: list[str], between: str) -> Iterator[tuple[str, bytes]]:
-        for lo in range(0, len(pieces), 1000):
-            part = pieces[lo : lo + 1000]
-            ids = np.array(self.tokenizer.encode(between.join(part), add_special_tokens=False).ids, self.kind)
-            at = np.concatenate([[0], np.cumsum(self.length[ids])])
+    def is_plain(text: str) -> bool:
+        return not (any(pair in text for pair in ("  ", " \n", "\n ", "\n\n", "\0")) or RARE.search(text) or ODD_STOP.search(text))
+
+    @classmethod
+    def pieces(cls, texts: list[str], plain: list[bool]) -> tuple[pa.Array, np.ndarray]:
+        """All pieces of the texts, the plain ones' first, and how many each text in that order has."""
+        marked = pa.array([t for t, p in zip(texts, plain) if p], pa.large_string())
+        for old, new in ((", ", "\0, "), (". ", "\0. "), (".\n", "\0.\n"), ("\n", "\0\n\0"), (" ", "\0 ")):
+            marked = pc.replace_substring(marked, old, new)
+        lists = [pc.split_pattern(marked, "\0"), pa.array([SAFE_CUT.split(t) for t, p in zip(texts, plain) if not p], pa.large_list(pa.large_string()))]
+        return pa.concat_arrays([x.flatten() for x in lists]), np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists])
+
+    def _strung(self, pieces: list[str], between: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of pieces strung together, and how many each has."""
+        parts = [pieces[lo : lo + STRUNG] for lo in range(0, len(pieces), STRUNG)]
+        ids, n = [], []
+        # this call computes no offsets, and short strings are cheaper than long ones
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False)):
+            own = np.array(found.ids, self.kind)
+            at = np.concatenate([[0], np.cumsum(self.length[own])])
             size = np.array([len(p.encode()) for p in part]) + len(between)
             ends = np.searchsorted(at, np.cumsum(size) - len(between))
             starts = np.searchsorted(at, np.cumsum(size) - size)
-            for p, a, b in zip(part, starts.tolist(), ends.tolist()):
-                yield p, ids[a:b].tobytes()
+            n.append(ends - starts)
+            ids.append(own[_spans(starts, n[-1])] if between else own)
+        return ids, n
 
-    def _alone(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+    def _alone(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        ids = []
         for lo in range(0, len(texts), 200):
-            for t, e in zip(texts[lo : lo + 200], self.tokenizer.encode_batch(texts[lo : lo + 200], add_special_tokens=False)):
-                yield t, np.array(e.ids, self.kind).tobytes()
+            ids += [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 200], add_special_tokens=False)]
+        return ids, [np.array([len(x)]) for x in ids]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Puts the ids of pieces into the pool, in order of the numbers after those so far."""
+        kinds: list[list[str]] = [[], [], []]
+        which = np.array([0 if SPACED.fullmatch(p) else 1 if SOLID.fullmatch(p) else 2 for p in pieces])
+        for p, k in zip(pieces, which.tolist()):
+            kinds[k].append(p)
+        ids, n = (sum(x, []) for x in zip(self._strung(kinds[0], ""), self._strung(kinds[1], "\n"), self._alone(kinds[2])))
+        order = np.argsort(which, kind="stable")
+        flat, n = np.concatenate(ids), np.concatenate(n)
+        first, count = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        first[order], count[order] = np.cumsum(n) - n + len(self.pool), n
+        self.pool, self.first, self.count = np.concatenate([self.pool, flat]), np.concatenate([self.first, first]), np.concatenate([self.count, count])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
-            return [ids for _, ids in self._alone(texts)]
-        cut = [self.pieces(t) for t in texts]
-        new = set()
-        for c in cut:
-            new.update(c)
-        new.difference_update(self.known)
-        spaced = [p for p in new if SPACED.fullmatch(p)]
-        solid = [p for p in new if SOLID.fullmatch(p)]
-        other = list(new.difference(spaced, solid))
-        look = self.known
-        if len(look) > REMEMBERED:  # the first met are the most frequent ones; they stay
-            look = dict(zip(new := set().union(*cut), map(self.known.get, new)))
-        for found in (self._strung(spaced, ""), self._strung(solid, "\n"), self._alone(other)):
-            for piece, ids in found:
-                look[piece] = ids
-        out = [b"".join(map(look.__getitem__, c)) for c in cut]
-        if look is self.known:
-            for p in other:
-                if len(p) > LONGEST:
-                    del look[p]
+            return [ids.tobytes() for ids in self._alone(texts)[0]]
+        plain = [self.is_plain(t) for t in texts]
+        flat, per_text = self.pieces(texts, plain)
+        coded = flat.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.known.get, names, itertools.repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(number < 0)
+        held = (self.pool, self.first, self.count)
+        if len(new):
+            number[new] = len(self.first) + np.arange(len(new))
+            fresh = [names[i] for i in new.tolist()]
+            self._learn(fresh)
+        places = number[coded.indices.to_numpy(zero_copy_only=False)]
+        n = self.count[places]
+        ids = self.pool[_spans(self.first[places], n)]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per_text)])].tolist()
+        out: list[bytes] = [b""] * len(texts)
+        order = [i for i, p in enumerate(plain) if p] + [i for i, p in enumerate(plain) if not p]
+        for i, a, b in zip(order, ends, ends[1:]):
+            out[i] = ids[a:b].tobytes()
+        if len(new) and (len(self.known) > REMEMBERED or max(map(len, fresh)) > LONGEST):
+            # the first met are the most frequent ones; they stay, others are forgotten
+            self.pool, self.first, self.count = held
+        elif len(new):
+            self.known.update(zip(fresh, number[new].tolist()))
         return out
 
 
+def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each span, strung together."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def key_bytes(key: int | None) -> bytes:
     return b"\0" if key is None else b"\1" + struct.pack(">Q", (key + (1 << 63)) & ((1 << 64) - 1))
 
