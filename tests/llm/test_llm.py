@@ -78,9 +78,23 @@ def test_repeats_catches_a_passage_inside_long_lines(spark):
 def test_crowded_buckets_lose_no_link(spark):
     base = rng_words(8, 50)
     docs = spark.createDataFrame([(i, " ".join(base[:25] + [f"x{i}"] + base[26:])) for i in range(60)], "doc_id long, text string")
-    one = paragraph_dedup.repeats(docs, crowd=1000).groupBy("cluster_doc").count().collect()
-    many = paragraph_dedup.repeats(docs, crowd=7).groupBy("cluster_doc").count().collect()
-    assert [tuple(r) for r in one] == [tuple(r) for r in many] == [(0, 60)]
+    one, many = (sorted(tuple(r) for r in paragraph_dedup.repeats(docs, crowd=c).groupBy("exact_only", "cluster_doc").count().collect()) for c in (1000, 7))
+    assert one == many and (False, 0, 60) in one
+
+
+@pytest.mark.parametrize("before", [0, 3, 200])
+def test_any_fifty_shared_words_share_a_run(before):
+    r = random.Random(before)
+    for _ in range(50):
+        passage, found = [r.randrange(1 << 60) for _ in range(50)], []
+        for _ in range(2):
+            h = np.array([*(r.randrange(1 << 60) for _ in range(before)), *passage, *(r.randrange(1 << 60) for _ in range(before))], np.uint64)
+            found.append({tuple(h[i : i + paragraph_dedup.RUN].tolist()) for i in paragraph_dedup.runs(h).tolist()})
+        assert found[0] & found[1]
+
+
+def test_runs_of_one_word_repeated_are_few():
+    assert len(paragraph_dedup.runs(np.full(10_000, 7, np.uint64))) == 1
 
 
 def test_repeats_of_nothing(spark, no_docs, odd_docs):

@@ -2,11 +2,14 @@
 
 Paragraphs are lines; a line of over LONG words is cut into passages where the words themselves say
 so, at word pairs whose hash is the least around, so that a shared passage is cut alike wherever it
-stands: into passages of about 30 words, and into finer ones of about 13 that are compared
-for equality only. MinHash signatures over 5-word shingles fall into bands; paragraphs that
+stands, into passages of about 30 words. MinHash signatures over 5-word shingles fall into bands; paragraphs that
 share a band meet in a bucket, are compared by exact Jaccard similarity of their shingles, and
 links become clusters by connected components. Equal paragraphs are one throughout.
 
+Paragraphs miss a passage that stands within unlike ones. So the runs of 16 words whose hash is the least of 35 in a
+row are compared too, for equality only: two documents that share any 50 words in a row, whatever
+surrounds them and wherever lines break, share such a run.
+
 Buckets from several bands with the same members are one bucket. A crowded bucket is dealt to
 pairs of blocks, and each group hands on a spanning forest of its links, never all pairs.
 """
@@ -24,8 +27,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import buffers, written
 from tidemark.llm.components import components
 
-SHINGLE, LONG, LEAST, LEAST_FINE = 5, 64, 16, 10
-COARSE_REACH, FINE_REACH = 16, 6
+SHINGLE, LONG, LEAST, REACH = 5, 64, 16, 16
+#: Words of a run, and runs in a row of which the least is taken.
+RUN, ROW = 16, 35
 #: Bands and rows a band: at a similarity of 0.8, 99.4 % of pairs share a band.
 BANDS, ROWS = 5, 2
 SEGMENT = "doc_id long, par int, word int, n int, fine boolean, hash long, keys array<long>, body binary"
@@ -49,37 +53,63 @@ def _cuts(pair: np.ndarray, reach: int) -> np.ndarray:
     return np.flatnonzero((around[:, :reach].min(1) > pair) & (around[:, reach + 1 :].min(1) >= pair))
 
 
-def segments(text: bytes, h: np.ndarray, words: list[bytes]) -> list[tuple[int, int, bool]]:
-    """(first word, end, fine) of the paragraphs of a lower-cased text with word hashes h."""
+def _sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
+    """op over each `width` values in a row, by doubling."""
+    span = 1
+    while 2 * span <= width:
+        x, span = op(x[:-span], x[span:]), 2 * span
+    return x if span == width else op(x[: len(x) - (width - span)], x[width - span :])
+
+
+def runs(h: np.ndarray) -> np.ndarray:
+    """First words of the runs that are the least of a row; of runs alike one after another the first."""
+    n = len(h) - RUN + 1
+    g = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        g += h[k : n + k] * PLACE[16 + k]
+    g = _mix(g)
+    if n <= ROW:
+        return np.array([int(g.argmin())])
+    least = _sliding(g, ROW, np.minimum)
+    most = _sliding(np.concatenate([np.zeros(ROW - 1, np.uint64), least, np.zeros(ROW - 1, np.uint64)]), ROW, np.maximum)
+    taken = g == most
+    taken[1:] &= g[1:] != g[:-1]
+    return np.flatnonzero(taken)
+
+
+def segments(text: bytes, h: np.ndarray) -> list[tuple[int, int, bool]]:
+    """(first word, end, fine) of the paragraphs and (fine) runs of a lower-cased text with word hashes h, LEAST or more."""
     found = []
     at = 0
     for line in text.split(b"\n"):
         n = len(line.split())
         if n > LONG:
             pair = _mix(h[at : at + n - 1] * PLACE[0] + h[at + 1 : at + n])
-            for reach, least, fine in ((COARSE_REACH, LEAST, False), (FINE_REACH, LEAST_FINE, True)):
-                edge = [0, *(_cuts(pair, reach) + 1).tolist(), n]
-                found += [(at + a, at + b, fine) for a, b in zip(edge, edge[1:]) if b - a >= least]
+            edge = [0, *(_cuts(pair, REACH) + 1).tolist(), n]
+            found += [(at + a, at + b, False) for a, b in zip(edge, edge[1:]) if b - a >= LEAST]
         elif n >= LEAST:
             found.append((at, at + n, False))
         at += n
-    return found
+    return found + [(i, i + RUN, True) for i in runs(h).tolist()]
 
 
-def _signed(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and band keys of word ranges."""
+def _signed(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of word ranges, and band keys of those that are not fine."""
     n = hi - lo
     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     power = np.cumprod(np.full(int(n.max()), PLACE[1], np.uint64))
     first = np.cumsum(n) - n
     whole = _mix(np.add.reduceat(_mix(h[np.repeat(lo, n) + within]) * power[within], first))
+    lo, hi = lo[~fine], hi[~fine]
+    keys = np.zeros((BANDS, len(lo)), np.uint64)
+    if not len(lo):
+        return whole, keys
     s = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
     for k in range(SHINGLE):
         s += h[k : len(h) - SHINGLE + 1 + k] * PLACE[2 + k]
     s = _mix(s)
     edge = np.stack([lo, hi - SHINGLE + 1], 1).ravel()
     s = np.concatenate([s, np.zeros(SHINGLE, np.uint64)])
-    keys = np.zeros((BANDS, len(lo)), np.uint64)
     for i in range(BANDS * ROWS):
         least = np.minimum.reduceat(_mix(s * FACTOR[i] + OFFSET[i]), edge)[::2]
         keys[i // ROWS] = _mix(keys[i // ROWS] * PLACE[10] + least + np.uint64(i // ROWS + 1))
@@ -101,16 +131,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = text.split()
             if len(words) >= LEAST:
                 h = np.fromiter(map(digest, words), np.uint64, len(words))
-                for par, (a, b, fine) in enumerate(segments(text, h, words)):
+                for par, (a, b, fine) in enumerate(segments(text, h)):
                     held.append((i, par, a, size + a, size + b, fine))
                     bodies.append(None if fine else b" ".join(words[a:b]))
                 hashes.append(h)
                 size += len(words)
             if held and (size > 200_000 or i == batch.num_rows - 1):
                 at, par, word, lo, hi, fine = (np.array(x) for x in zip(*held))
-                whole, keys = _signed(np.concatenate(hashes), lo, hi)
+                whole, keys = _signed(np.concatenate(hashes), lo, hi, fine)
                 n_keys = np.where(fine, 0, BANDS)
-                flat = keys.T[~fine].ravel().view(np.int64)
+                flat = np.ascontiguousarray(keys.T).ravel().view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(at)),
@@ -255,8 +285,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
 
     (doc_id, paragraph, first_word, n_words, exact_only, cluster_doc, members, kept): cluster_doc is the
     smallest document of the cluster, kept marks the first paragraph there, to be left when
-    the others go. Paragraphs of under 16 words (10 for the finer passages, which are exact_only)
-    are not compared. Texts that are null, empty or short give no row, nor do repeats within one
+    the others go. exact_only marks runs of 16 words; paragraphs of under 16 words are not compared. Texts that are null, empty or short give no row, nor do repeats within one
     document alone; rows that share an id are one document, null ids are one as well.
     """
     spark = docs.sparkSession
