@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import io
+import math
 import struct
 import uuid
 from collections.abc import Iterator
@@ -79,7 +80,11 @@ def dictionary(rows: DataFrame, records: int = 400, longest: int = 65536, size:
     """A dictionary of at most `size` bytes from a bounded sample: whole payloads of at most `longest`
     bytes, the `records` of them with the smallest hashes. Too few give an empty dictionary."""
     few = rows.where(F.length("payload").between(64, longest))
-    sample = few.orderBy(F.xxhash64("page_id"), "digest").limit(records).select("payload", "digest", record_uri(F.col("page_id")), "url").collect()
+    # twice the records wanted are taken by hash before they are ordered: else every task would send so many to the driver
+    share = min(1.0, 2 * records / max(1, few.count()))
+    spot = F.pmod(F.xxhash64("page_id", "digest"), F.lit(1 << 30))
+    near = few.where(spot < F.lit(math.ceil(share * (1 << 30))))
+    sample = near.orderBy(spot, "digest").limit(records).select("payload", "digest", record_uri(F.col("page_id")), "url").collect()
     texts = [_block(bytes(r[0]), r[1], r[2], r[3], None) for r in sample]
     if len(texts) < 20:
         return b""
