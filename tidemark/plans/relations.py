@@ -270,11 +270,11 @@ def w45(spark: SparkSession, d: str) -> DataFrame:
     return K.representatives(table(spark, d, "part"), "p_brand", "p_retailprice", "p_partkey")
 
 
-@add("x_scalars", """SELECT l_orderkey, l_linenumber, sign(l_extendedprice) * floor(abs(l_extendedprice / 7) * 100 + 0.5) / 100 AS cents, round(10000 / (l_extendedprice * 1.001 * 1.002), 6) AS quantity, round(l_quantity * l_extendedprice * 0.999 * 0.998, 4) AS proceeds,
+@add("x_scalars", """SELECT l_orderkey, l_linenumber, sign(l_extendedprice) * floor(abs(l_extendedprice / 7) * 100 + 0.5) / 100 AS cents, round(10000 / (l_extendedprice * 1.001 * 1.002), 6) AS quantity, round(l_quantity * l_extendedprice * 0.999 * 0.998, 1) AS proceeds,
     round(least((l_quantity / 7) % 2, 2 - (l_quantity / 7) % 2), 6) AS reflected, round(round(greatest(0.1, least(0.9, round(l_quantity / 60 / 0.05) * 0.05)), 6), 6) AS lattice FROM lineitem""")
 def xs(spark: SparkSession, d: str) -> DataFrame:
     p, q = F.col("l_extendedprice"), F.col("l_quantity")
-    out = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.cents(p / 7).alias("cents"), X.buy_quantity(F.lit(10000.0), p, 0.002, 0.001).alias("quantity"), F.round(X.sell_proceeds(q, p, 0.002, 0.001), 4).alias("proceeds"), X.reflected(q / 7).alias("reflected"), X.lattice(q / 60, 0.1, 0.9).alias("lattice"))
+    out = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.cents(p / 7).alias("cents"), X.buy_quantity(F.lit(10000.0), p, 0.002, 0.001).alias("quantity"), F.round(X.sell_proceeds(q, p, 0.002, 0.001), 1).alias("proceeds"), X.reflected(q / 7).alias("reflected"), X.lattice(q / 60, 0.1, 0.9).alias("lattice"))
     return rounded(out)
 
 

@@ -43,9 +43,9 @@ def s22(spark: SparkSession, d: str) -> DataFrame:
     return rounded(store.with_manual_prices(b, manual).select("open_time_ms", "close"))
 
 
-@add("a14_sample_variance", """SELECT l_orderkey, round(avg(l_discount), 6) AS mean, round(coalesce(var_samp(l_discount), 0), 6) AS variance FROM lineitem GROUP BY 1""")
+@add("a14_sample_variance", """SELECT l_orderkey, round(avg(l_discount), 9) AS mean, round(coalesce(var_samp(l_discount), 0), 9) AS variance FROM lineitem GROUP BY 1""")
 def a14(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_discount").alias("mean"), F.coalesce(F.var_samp("l_discount"), F.lit(0.0)).alias("variance")))
+    return rounded(table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_discount").alias("mean"), F.coalesce(F.var_samp("l_discount"), F.lit(0.0)).alias("variance")), 9)
 
 
 @add("a15_positive_median", """SELECT c_nationkey, round(quantile_cont(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 0.5), 6) AS median FROM customer GROUP BY 1""")
@@ -316,7 +316,25 @@ def st(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bars.select("event_type", F.unix_millis("start").alias("start_ms"), "open", "high", "low", "close", "volume"))
 
 
-@add("st_sessions", """WITH p AS (SELECT user_id, ts, value, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS pt FROM events), s AS (SELECT *, sum((pt IS NULL OR ts - pt >= INTERVAL 6 HOUR)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM p) SELECT user_id, round(epoch_us(min(ts)) / 1000000.0, 4) AS start_s, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
+@add("st_sessions", """WITH p AS (SELECT user_id, ts, value, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS pt FROM events), s AS (SELECT *, sum((pt IS NULL OR ts - pt >= INTERVAL 6 HOUR)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM p) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
 def st_sessions(spark: SparkSession, d: str) -> DataFrame:
     ticks = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"))
-    return rounded(T.sessions(ticks, "user_id", "6 hours", "10 minutes").select("user_id", (F.unix_micros("start") / 1_000_000).alias("start_s"), "n", "total"), 4)
+    return rounded(T.sessions(ticks, "user_id", "6 hours", "10 minutes").select("user_id", F.unix_micros("start").alias("start_us"), "n", "total"), 4)
+
+
+@add("o17_surrogate_proposals", None)
+def o17(spark: SparkSession, d: str) -> DataFrame:
+    grid = {"a": (1, 50), "b": (0, 19)}
+    seen = table(spark, d, "part").select(F.col("p_size").alias("a"), (F.col("p_partkey") % 20).cast("int").alias("b")).distinct()
+    known = seen.withColumns({"ret": F.sin(F.col("a") / 10) + F.col("b") / 20, "dd": F.cos(F.col("b") / 6.0)}).where("a % 2 = 0")
+    pool = G.global_plan(spark, grid, {"a": 25, "b": 10}, 64, existing=known, anchors=False).select("a", "b", "sobol_index")
+    scored = pool.withColumns({c: F.col(c).cast("double") for c in ("a", "b")})
+    rows = known.withColumns({c: F.col(c).cast("double") for c in ("a", "b")})
+    for name, label in (("return", "ret"), ("drawdown", "dd")):
+        scored = L.forest_predictions(L.forest(rows, ["a", "b"], label, trees=6, seed=3), scored, ["a", "b"], f"{name}_mean", f"{name}_dispersion")
+        scored = scored.withColumns({f"{name}_lower": F.col(f"{name}_mean") - 0.1, f"{name}_upper": F.col(f"{name}_mean") + 0.1})
+    out = None
+    for kind in ("conservative_performance", "qualification_boundary", "model_uncertainty", "pure_coverage"):
+        one = L.proposals(scored, kind, 4, "sobol_index").select("a", "b", F.lit(kind).alias("kind"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("a", "b").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
