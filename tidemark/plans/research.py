@@ -226,10 +226,10 @@ def a18(spark: SparkSession, d: str) -> DataFrame:
 BOUNDS = {"g": (-0.02, 0.02), "b": (-0.03, 0.03), "u": (0.0, 0.01), "d": (0.0, 0.01)}
 
 
-@add("g10_random_paths", """WITH p AS (SELECT o_orderkey AS path_id, unnest(range(16)) AS idx FROM orders WHERE o_orderstatus = 'F'), h AS (SELECT path_id, idx, """ + ", ".join(f"('0x' || sha256('5|' || path_id || '|' || idx || '|{c}')[1:13])::BIGINT / 16.0 ^ 13 AS {c}" for c in "gbud") + """ FROM p)
+@add("g10_random_paths", """WITH p AS (SELECT o_orderkey AS path_id, unnest(range(16)) AS idx FROM orders), h AS (SELECT path_id, idx, """ + ", ".join(f"('0x' || sha256('5|' || path_id || '|' || idx || '|{c}')[1:13])::BIGINT / 16.0 ^ 13 AS {c}" for c in "gbud") + """ FROM p)
     SELECT path_id, count(*) AS n, round(sum(-0.02 + 0.04 * g - 0.03 + 0.06 * b), 6) AS log_return, round(max(0.01 * u), 6) AS widest FROM h GROUP BY 1""")
 def g10(spark: SparkSession, d: str) -> DataFrame:
-    seeds = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("path_id"))
+    seeds = table(spark, d, "orders").select(F.col("o_orderkey").alias("path_id"))
     p = P.random_paths(seeds, 16, BOUNDS, 5)
     return rounded(p.groupBy("path_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("g") + F.col("b")).alias("log_return"), F.max("u").alias("widest")))
 
@@ -250,20 +250,21 @@ def g11(spark: SparkSession, d: str) -> DataFrame:
     return moved.join(plan, "child_id").groupBy("operation").agg(F.count(F.lit(1)).alias("rows"), F.count_if(inside).alias("inside"), F.count_if(changed).alias("changed"))
 
 
-@add("w20_recomposition", f"""WITH {BO}, s AS (SELECT *, row_number() OVER (ORDER BY open_time_ms) - 1 AS ordinal, (row_number() OVER (ORDER BY open_time_ms) - 1) // 20 AS item FROM bo), f AS (SELECT * FROM s WHERE item < 3),
-    e AS (SELECT item, arg_min(open, ordinal) AS first, arg_max(close, ordinal) AS last FROM f GROUP BY item), i AS (SELECT item, r.r AS repeat, first, last, row_number() OVER (ORDER BY item, r.r) AS k FROM e, range(1, 3) r(r)),
-    m AS (SELECT *, coalesce(exp(sum(ln(last / first)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) * (SELECT first FROM i WHERE k = 1) / first, 1) AS mult FROM i)
-    SELECT k::INT AS instance, item::BIGINT AS item, repeat::INT AS repeat, round(mult, 4) AS multiplier, 20::BIGINT AS n FROM m""")
+@add("w20_recomposition", f"""WITH {BO}, s AS (SELECT *, strftime(make_timestamp(open_time_ms * 1000), '%Y') AS plan, month(make_timestamp(open_time_ms * 1000)) AS item FROM bo),
+    e AS (SELECT plan, item, count(*) AS n, arg_min(open, open_time_ms) AS first, arg_max(close, open_time_ms) AS last FROM s GROUP BY ALL), i AS (SELECT plan, item, n, r.r AS repeat, first, last, row_number() OVER (PARTITION BY plan ORDER BY item, r.r) AS k FROM e, range(1, 3) r(r)),
+    m AS (SELECT *, coalesce(sum(ln(last / first)) OVER (PARTITION BY plan ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + ln(first_value(first) OVER (PARTITION BY plan ORDER BY k) / first), 0) AS lm FROM i)
+    SELECT plan, k::INT AS instance, item::INT AS item, repeat::INT AS repeat, round(lm, 4) AS log_multiplier, n FROM m""")
 def w20(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("open_time_ms")) - 1
-    b = bars_orders(spark, d).withColumn("ordinal", at).withColumns({"item": F.expr("CAST(ordinal div 20 AS BIGINT)"), "plan": F.lit("p")}).where("item < 3")
+    date = F.date_from_unix_date(F.floor(F.col("open_time_ms") / DAY).cast("int"))
+    b = bars_orders(spark, d).withColumns({"plan": F.date_format(date, "yyyy"), "item": F.month(date)})
+    b = b.withColumn("ordinal", F.row_number().over(Window.partitionBy("plan").orderBy("open_time_ms")) - 1)
     segments = b.select("plan", "item").distinct().select("plan", "item", F.col("item").alias("position"), F.lit(2).alias("repeats"), F.lit(None).cast("double").alias("previous_close"))
-    slots = spark.range(120).select(F.lit("p").alias("plan"), F.col("id").alias("ordinal"), (F.col("id") * DAY).alias("open_time_ms"))
+    slots = b.groupBy("plan").agg(F.count(F.lit(1)).alias("n")).select("plan", F.explode(F.sequence(F.lit(0).cast("long"), 2 * F.col("n") - 1)).alias("ordinal")).withColumn("open_time_ms", F.col("ordinal") * DAY)
     bars, instances = P.recompose(segments, b.select("plan", "item", "ordinal", "open", "high", "low", "close", "volume"), slots)
-    n = bars.groupBy("item", "repeat").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(instances.join(n, ["item", "repeat"]).select("instance", "item", "repeat", "multiplier", "n"), 4)
+    n = bars.groupBy("plan", "item", "repeat").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(instances.join(n, ["plan", "item", "repeat"]).select("plan", "instance", "item", "repeat", F.log("multiplier").alias("log_multiplier"), "n"), 4)
 
 
 @add("j17_crowded_front", None)
@@ -283,12 +284,12 @@ def g13(spark: SparkSession, d: str) -> DataFrame:
     return nearest_centre(e, listed, "v", "cell").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("j20_nearest_centre", """WITH c AS (SELECT vec_id AS cell, embedding AS c FROM embeddings WHERE vec_id < 8), d AS (SELECT e.vec_id, c.cell, list_distance(e.embedding::DOUBLE[], c.c::DOUBLE[]) AS x FROM embeddings e, c) SELECT vec_id, arg_min(cell, (x, cell)) AS cell, round(min(x), 6) AS distance FROM d GROUP BY vec_id""")
+@add("j20_nearest_centre", """WITH c AS (SELECT vec_id AS cell, embedding AS c FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)), d AS (SELECT e.vec_id, c.cell, list_distance(e.embedding::DOUBLE[], c.c::DOUBLE[]) AS x FROM embeddings e, c) SELECT vec_id, arg_min(cell, (x, cell)) AS cell, round(min(x), 6) AS distance FROM d GROUP BY vec_id""")
 def j20(spark: SparkSession, d: str) -> DataFrame:
     from tidemark.operators.joins import nearest_centre
 
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return rounded(nearest_centre(e, e.where("vec_id < 8").select(F.col("vec_id").alias("cell"), "v"), "v", "cell").select("vec_id", "cell", "distance"))
+    return rounded(nearest_centre(e, table(spark, d, "embeddings").groupBy("label").agg(F.min("vec_id").alias("vec_id")).join(e, "vec_id").select(F.col("vec_id").alias("cell"), "v"), "v", "cell").select("vec_id", "cell", "distance"))
 
 
 @add("x20_feature_distance", """SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) ^ 2)) / 64, 6) AS distance FROM embeddings a, embeddings b WHERE b.vec_id = 0""")
@@ -311,9 +312,9 @@ def g1(spark: SparkSession, d: str) -> DataFrame:
     return G.discrete_sample(spark, GRID, 100, 5, legal=F.col("a") <= F.col("b")).select("a", "b", "c")
 
 
-@add("g2_shuffles", """WITH o AS (SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_id % 10 = 0 GROUP BY 1) SELECT event_type, r.r::INT AS sequence, n, total FROM o, range(3) r(r)""")
+@add("g2_shuffles", """WITH o AS (SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1) SELECT event_type, r.r::INT AS sequence, n, total FROM o, range(3) r(r)""")
 def g2(spark: SparkSession, d: str) -> DataFrame:
-    s = G.shuffled(table(spark, d, "events").where("event_id % 10 = 0"), KEY, "event_id", "value", 3, 3)
+    s = G.shuffled(table(spark, d, "events"), KEY, "event_id", "value", 3, 3)
     return rounded(s.groupBy("event_type", "sequence").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 4)
 
 
@@ -333,11 +334,11 @@ def g5(spark: SparkSession, d: str) -> DataFrame:
 
 
 LATTICE = {"x": (1, 7, False, True), "y": (1, 50, True, True), "z": (0, 4, False, False)}
-QUAL = "g AS (SELECT l_linenumber AS x, l_quantity::INT AS y, l_suppkey % 5 AS z, avg(l_extendedprice) AS v FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY ALL)"
+QUAL = "g AS (SELECT l_linenumber AS x, l_quantity::INT AS y, l_suppkey % 5 AS z, avg(l_extendedprice) AS v FROM lineitem WHERE l_discount >= 0.09 GROUP BY ALL)"
 
 
 def lattice(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_suppkey % 3 = 0")
+    li = table(spark, d, "lineitem").where("l_discount >= 0.09")
     g = li.groupBy(F.col("l_linenumber").alias("x"), F.col("l_quantity").cast("int").alias("y"), (F.col("l_suppkey") % 5).alias("z")).agg(F.avg("l_extendedprice").alias("v"))
     return g.withColumn("state", F.when(F.col("v") > 40_000, "qualified").otherwise("unqualified"))
 
@@ -514,11 +515,11 @@ def x41(spark: SparkSession, d: str) -> DataFrame:
     return C.eligibility(m, ["core"], ["dataset"], "schema", "points")
 
 
-@add("x42_task_status", """WITH t AS (SELECT l_suppkey AS task, count(*) AS total, count(*) FILTER (l_linestatus = 'F') AS valid, count(*) FILTER (l_returnflag = 'A' AND l_linestatus <> 'F') AS running, count(*) FILTER (l_tax = 0 AND l_linestatus <> 'F') AS pending FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1)
+@add("x42_task_status", """WITH t AS (SELECT l_suppkey AS task, count(*) AS total, count(*) FILTER (l_linestatus = 'F') AS valid, count(*) FILTER (l_returnflag = 'A' AND l_linestatus <> 'F') AS running, count(*) FILTER (l_tax = 0 AND l_linestatus <> 'F') AS pending FROM lineitem GROUP BY 1)
     SELECT task, CASE WHEN valid = total THEN 'completed' WHEN running > 0 THEN 'running' WHEN pending > 0 THEN 'queued' WHEN valid > 0 THEN 'partial' ELSE 'cancelled' END AS status, round(valid / total, 6) AS progress FROM t""")
 def x42(spark: SparkSession, d: str) -> DataFrame:
     done = F.col("l_linestatus") == "F"
-    t = table(spark, d, "lineitem").where("l_orderkey % 7 = 0").groupBy(F.col("l_suppkey").alias("task")).agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("valid"), F.count_if(~done & (F.col("l_returnflag") == "A")).alias("running"), F.count_if(~done & (F.col("l_tax") == 0)).alias("pending"))
+    t = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("task")).agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("valid"), F.count_if(~done & (F.col("l_returnflag") == "A")).alias("running"), F.count_if(~done & (F.col("l_tax") == 0)).alias("pending"))
     status = X.task_status(F.col("total"), F.col("valid"), F.col("running"), F.col("pending"), F.lit(0), F.lit(True), F.lit(False))
     return rounded(t.select("task", status.alias("status"), X.progress(F.col("valid"), F.col("total")).alias("progress")))
 
