@@ -1,18 +1,21 @@
-"""What the operators of this subpackage share: the shared folder, word rules and Arrow buffers."""
+"""What the operators of this subpackage share: word rules and Arrow buffers, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import sys
 import types
-import uuid
 from collections.abc import Callable
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.shared import shared_folder, written
+
+__all__ = ["LOWER", "PLAIN_GAP", "SPACE_WORD", "UPPER", "buffers", "lower_ascii", "per_process", "shared_folder", "without", "written"]
+
 #: Words are runs of anything but ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Words are runs of ASCII digits, lower-case letters and all that is not ASCII.
@@ -25,29 +28,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's spark.checkpoint.dir, which all executors share.
-
-    Only where that is unset, as in local tests, the context's checkpoint folder or else
-    one in /tmp is taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "/tmp/tidemark-checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and outlives a lost executor."""
-    spark = df.sparkSession
-    path = folder or shared_folder(spark)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of a binary array; a null has no bytes."""
     if isinstance(array, pa.ChunkedArray):
