@@ -145,6 +145,23 @@ def test_replay_fixture(spark):
     assert last.nav == pytest.approx(1050.0) and last.trades == 2
 
 
+def test_open_buy_close_sell_earns_the_day(spark):
+    rows = [(i * DAY, 10.0, 11.0, 9.0, 11.0, 1.0, 0.3) for i in range(3)]
+    path = S.replay_exposure(spark.createDataFrame(rows, BARS + ", target double"), [], S.ReplaySpec(1000.0, mode="open_buy_close_sell")).orderBy("open_time_ms").collect()
+    assert [r.nav for r in path] == pytest.approx([1100.0, 1210.0, 1331.0]) and all(r.exposure == 0 for r in path)
+
+
+def test_lots_are_released_in_order_and_split(spark):
+    lots = spark.createDataFrame([("k", 1, 2.0, True), ("k", 2, 5.0, False), ("k", 3, 4.0, True), ("k", 4, 1.0, True)], "k string, at int, amount double, ok boolean")
+    got = [(r.released, r.kept) for r in S.released_lots(lots, ["k"], F.lit(3.5), ["at"], eligible=F.col("ok")).orderBy("at").collect()]
+    assert got == [(2.0, 0.0), (0.0, 5.0), (1.5, 2.5), (0.0, 1.0)]
+
+
+def test_region_parameters_fall_back_to_the_first(spark):
+    rows, packs = spark.createDataFrame([("a",), ("b",), (None,)], "region string"), spark.createDataFrame([("a", 1.0), ("c", 9.0)], "region string, beta double")
+    assert {(r.region, r.beta) for r in S.with_region_parameters(rows, packs, first="c").collect()} == {("a", 1.0), ("b", 9.0), (None, 9.0)}
+
+
 def runs(spark, **values):
     names = ["run_id", *values]
     return spark.createDataFrame([tuple([1, *values.values()])], ", ".join(["run_id int", *[f"{n} double" for n in values]])).select(*names)
@@ -321,6 +338,15 @@ def test_varied_paths_stay_in_the_unit_cube(spark):
     assert P.quotas(7) == {"global": 2, "local": 2, "block": 1, "crossover": 1, "directional": 1}
 
 
+def test_probes_change_one_run_in_scope(spark):
+    ids = spark.range(12).select(F.col("id").alias("path_id"))
+    paths = P.random_paths(ids, 12, {c: (0.0, 1.0) for c in P.CHANNELS}, 1)
+    plan = ids.select(F.col("path_id").alias("child_id"), F.lit("block").alias("operation"), F.col("path_id").alias("parent"), F.lit(None).cast("long").alias("other"))
+    made = P.varied(paths, plan, 2, scope=(4, 6), lengths=(2, 3)).join(paths.select(F.col("path_id").alias("child_id"), "idx", F.col("g").alias("old")), ["child_id", "idx"]).where("g != old")
+    spans = made.groupBy("child_id").agg(F.min("idx").alias("a"), F.max("idx").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(spans) == 12 and all(r.a >= 4 and r.b < 10 and 2 <= r.n <= 3 and r.b - r.a + 1 == r.n for r in spans)
+
+
 # samples
 
 
@@ -427,6 +453,13 @@ def test_policy_modes(spark):
     assert [r[0] for r in df.select(q).collect()] == pytest.approx([1 / (1 + math.exp(-1)), 1 / (1 + math.exp(1))])
 
 
+def test_policy_signals_stay_within_bounds(spark):
+    df = spark.createDataFrame([(0.8, 2.0, 1.0, 0.5), (1.2, 0.0, 1.0, 0.0)], "p double, ahead double, now double, ratio double")
+    made = L.policy_signals({"direction": F.col("p")}, {"activity": (F.col("ahead"), F.col("now"), F.col("ratio"))}, F.lit(0.0))
+    rows = [tuple(r) for r in df.select(*[c.alias(k) for k, c in made.items()]).collect()]
+    assert rows[0] == pytest.approx((0.6, 0.0, 0.0)) and rows[1] == (None, None, 0.0)
+
+
 # checks and identities
 
 

@@ -342,6 +342,19 @@ def policy_value(mode: str, low: float, high: float, base: float, terms: dict[st
     raise ValueError(f"unknown mode: {mode}")
 
 
+def policy_signals(probabilities: dict[str, Column], activities: dict[str, tuple[Column, Column, Column]], deviation: Column | None = None) -> dict[str, Column]:
+    """Signals in [-1, 1] for policy_value, null where they would leave it: 2p - 1 of probabilities, tanh(ln(predicted / median)) of
+    activities (predicted, current, ratio to the median) and tanh of a trend deviation."""
+    inside = lambda c: F.when(c.between(-1, 1), c)
+    out = {name: inside(2 * p - 1) for name, p in probabilities.items()}
+    for name, (ahead, now, ratio) in activities.items():
+        median = now / F.nullif(ratio, F.lit(0.0))
+        out[name] = inside(F.when((median > 0) & (ahead > 0), F.tanh(F.log(ahead / F.nullif(median, F.lit(0.0))))))
+    if deviation is not None:
+        out["occurrence_trend_deviation"] = inside(F.tanh(deviation))
+    return out
+
+
 def multiclass_reliability(rows: DataFrame, probabilities: list[str], label: str, bins: int = 10) -> DataFrame:
     """Mean over classes of the share-weighted gap between forecast and observed rate in each bin."""
     parts = F.explode(F.array(*[F.struct(F.lit(i).alias("class"), F.col(p).alias("p"), (F.col(label) == i).cast("double").alias("y")) for i, p in enumerate(probabilities)]))

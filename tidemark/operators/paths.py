@@ -133,12 +133,13 @@ def random_paths(seeds: DataFrame, length: int, bounds: dict[str, tuple[float, f
     return rows.select("path_id", "idx", *[draw(c).alias(c) for c in CHANNELS])
 
 
-def varied(paths: DataFrame, plan: DataFrame, seed: int, amplitude: float = 0.1) -> DataFrame:
+def varied(paths: DataFrame, plan: DataFrame, seed: int, amplitude: float = 0.1, scope: tuple[int, int] | None = None, lengths: tuple[int, int] | None = None) -> DataFrame:
     """Children of paths in [0, 1]: (child_id, idx, g, b, u, d).
 
     plan: (child_id, operation, parent, other). local moves one channel of up to three rows, block all channels of a run of rows,
     crossover takes a run from the other parent, directional steps away from it everywhere, global draws afresh. An operation
-    that lacks its other parent is global. All values are folded back into [0, 1]."""
+    that lacks its other parent is global. All values are folded back into [0, 1]. With a scope (first row, number of rows) and
+    lengths (least, most) this probes: every operation changes one run of such a length within the scope, nothing else."""
     n = F.count(F.lit(1)).over(Window.partitionBy("path_id")).alias("_n")
     base = paths.select(F.col("path_id").alias("parent"), "idx", *CHANNELS, n)
     other = paths.select(F.col("path_id").alias("other"), "idx", *[F.col(c).alias(f"o_{c}") for c in CHANNELS])
@@ -150,6 +151,10 @@ def varied(paths: DataFrame, plan: DataFrame, seed: int, amplitude: float = 0.1)
     run = F.when(F.col("_op") == "local", 1 + F.floor(u(0) * F.least(F.lit(3), F.col("_n")))).otherwise(F.pow(F.lit(2), F.floor(u(0) * (scales + 1))))
     rows = rows.withColumn("_run", F.when(F.col("_op").isin("global", "directional"), F.col("_n")).otherwise(F.least(run, F.col("_n"))).cast("long"))
     rows = rows.withColumn("_start", F.floor(u(1) * (F.col("_n") - F.col("_run") + 1)))
+    if scope and lengths:
+        most = min(lengths[1], scope[1])
+        rows = rows.withColumn("_run", (lengths[0] + F.floor(u(0) * (most - lengths[0] + 1))).cast("long"))
+        rows = rows.withColumn("_start", scope[0] + F.floor(u(1) * (scope[1] - F.col("_run") + 1)))
     within = (F.col("idx") >= F.col("_start")) & (F.col("idx") < F.col("_start") + F.col("_run"))
 
     def channel(k: int, c: str) -> Column:

@@ -53,7 +53,8 @@ def window_scores(navs: DataFrame, series: str, benchmark: str, win: str) -> Dat
 
 @dataclass(frozen=True)
 class ReplaySpec:
-    """How targets are followed: at the next bar's open, this bar's open or this bar's close."""
+    """How targets are followed: at the next bar's open, this bar's open or this bar's close; open_buy_close_sell ignores them,
+    buys all at each open and sells all at the close."""
 
     initial: float = 1000.0
     monthly: float = 0.0
@@ -98,6 +99,9 @@ def _replay(open_: np.ndarray, close: np.ndarray, target: np.ndarray, fresh: np.
             rebalance(open_[i], target[i])
         if spec.mode == "same_close":
             rebalance(close[i], target[i])
+        if spec.mode == "open_buy_close_sell":
+            rebalance(open_[i], 1.0)
+            rebalance(close[i], 0.0)
         pending = target[i]
         nav = cash + quantity * close[i]
         for k, v in (("nav", nav), ("cash", cash), ("quantity", quantity), ("exposure", quantity * close[i] / nav if nav > 0 else 0.0), ("trades", trades), ("injected", injected)):
@@ -131,3 +135,24 @@ def shuffled_targets(bars: DataFrame, keys: list[str], seed: int, target: str =
     moved = bars.withColumn("_i", F.row_number().over(shuffled)).select(*keys, "_i", F.col(target).alias("_moved"))
     return at.join(moved, [*keys, "_i"]).withColumn(target, F.col("_moved")).drop("_i", "_moved")
 
+
+def released_lots(lots: DataFrame, keys: list[str], target: Column, order: list[str], amount: str = "amount", eligible: Column | None = None) -> DataFrame:
+    """Adds released and kept: the key's target taken from its eligible lots in order, the last one split."""
+    can = F.coalesce(eligible if eligible is not None else F.lit(True), F.lit(False))
+    size = F.when(can, F.greatest(F.col(amount), F.lit(0.0))).otherwise(0.0)
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = lots.withColumn("_size", size).withColumn("_before", F.sum("_size").over(w) - F.col("_size"))
+    released = F.greatest(F.least(target - F.col("_before"), F.col("_size")), F.lit(0.0))
+    return rows.withColumn("released", released).withColumn("kept", F.col(amount) - F.col("released")).drop("_size", "_before")
+
+
+def with_region_parameters(rows: DataFrame, packs: DataFrame, region: str = "region", first: str | None = None) -> DataFrame:
+    """Rows with the parameters of their region; a region without any gets those of the key `first`. packs has one row a region,
+    as many as thresholds cut."""
+    names = [c for c in packs.columns if c != region]
+    other = packs.where(F.col(region) == first).select(*[F.col(c).alias(f"_first_{c}") for c in names]) if first is not None else None
+    out = rows.join(F.broadcast(packs), region, "left")
+    if other is None:
+        return out
+    out = out.crossJoin(F.broadcast(other))  # one row
+    return out.withColumns({c: F.coalesce(c, f"_first_{c}") for c in names}).drop(*[f"_first_{c}" for c in names])
