@@ -75,6 +75,31 @@ def test_repeats_catches_a_passage_inside_long_lines(spark):
     assert {r.doc_id for r in rows} == {0, 1, 2, 3}
 
 
+def test_short_lines_and_documents_are_paragraphs(spark):
+    seven, twelve, three = rng_words(31, 7), rng_words(32, 12), rng_words(33, 3)
+    rows = [
+        (1, " ".join(seven)),
+        (2, " ".join(seven).upper()),
+        (3, " ".join(rng_words(34, 40)) + "\n" + " ".join(twelve) + "\n\n" + " ".join(three)),
+        (4, " ".join(rng_words(35, 90)) + "\n" + " ".join(three)),
+        (5, " ".join(twelve) + " more"),
+        (6, "one"),
+        (7, "two\none"),
+        (8, " ".join(three[:2]) + "\ntwice\ntwice"),
+    ]
+    got = {(r.doc_id, r.first_word, r.n_words, r.exact_only, r.cluster_doc, r.kept) for r in paragraph_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {
+        (1, 0, 7, False, 1, True),
+        (2, 0, 7, False, 1, False),
+        (3, 40, 12, False, 3, True),
+        (5, 0, 13, False, 3, False),
+        (3, 52, 3, False, 3, True),
+        (4, 90, 3, False, 3, False),
+        (6, 0, 1, False, 6, True),
+        (7, 1, 1, False, 6, False),
+    }
+
+
 def test_crowded_buckets_lose_no_link(spark):
     base = rng_words(8, 50)
     docs = spark.createDataFrame([(i, " ".join(base[:25] + [f"x{i}"] + base[26:])) for i in range(60)], "doc_id long, text string")

@@ -1,16 +1,17 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are lines; a line of over LONG words is cut into passages where the words themselves say
-so, at word pairs whose hash is the least around, so that a shared passage is cut alike wherever it
-stands, into passages of about 30 words. MinHash signatures over 5-word shingles fall into bands; paragraphs that
-share a band meet in a bucket, are compared by exact Jaccard similarity of their shingles, and
-links become clusters by connected components. Equal paragraphs are one throughout.
+Paragraphs are lines, the shortest too. A line of over LONG words is cut into passages where
+the words themselves say so, at word pairs whose hash is the least around, so that a shared passage is cut alike
+wherever it stands, into passages of about 30 words. MinHash signatures over 5-word shingles fall into bands;
+paragraphs that share a band meet in a bucket, are compared by exact Jaccard similarity of their shingles, and
+links become clusters by connected components. Equal paragraphs are one throughout. A line of fewer than 5 words is
+its own only shingle, so it is like its equals alone and needs no band.
 
 Paragraphs miss a passage that stands within unlike ones. So the runs of 16 words whose hash is the least of 35 in a
 row are compared too, for equality only: two documents that share any 50 words in a row, whatever
 surrounds them and wherever lines break, share such a run.
 
-Buckets from several bands with the same members are one bucket. A crowded bucket is dealt to
+Buckets from several bands with the same members are one bucket. A bucket crowded by members or words is dealt to
 pairs of blocks, and each group hands on a spanning forest of its links, never all pairs.
 """
 
@@ -30,6 +31,8 @@ from tidemark.llm.components import components
 SHINGLE, LONG, LEAST, REACH = 5, 64, 16, 16
 #: Words of a run, and runs in a row of which the least is taken.
 RUN, ROW = 16, 35
+#: Words for each member that a bucket may hold before it is dealt.
+WEIGHT = 256
 #: Bands and rows a band: at a similarity of 0.8, 99.4 % of pairs share a band.
 BANDS, ROWS = 5, 2
 SEGMENT = "doc_id long, par int, word int, n int, fine boolean, hash long, keys array<long>, body binary"
@@ -78,7 +81,7 @@ def runs(h: np.ndarray) -> np.ndarray:
 
 
 def segments(text: bytes, h: np.ndarray) -> list[tuple[int, int, bool]]:
-    """(first word, end, fine) of the paragraphs and (fine) runs of a lower-cased text with word hashes h, LEAST or more."""
+    """(first word, end, fine) of the paragraphs and (fine) runs of a lower-cased text with word hashes h"""
     found = []
     at = 0
     for line in text.split(b"\n"):
@@ -87,20 +90,20 @@ def segments(text: bytes, h: np.ndarray) -> list[tuple[int, int, bool]]:
             pair = _mix(h[at : at + n - 1] * PLACE[0] + h[at + 1 : at + n])
             edge = [0, *(_cuts(pair, REACH) + 1).tolist(), n]
             found += [(at + a, at + b, False) for a, b in zip(edge, edge[1:]) if b - a >= LEAST]
-        elif n >= LEAST:
+        elif n:
             found.append((at, at + n, False))
         at += n
-    return found + [(i, i + RUN, True) for i in runs(h).tolist()]
+    return found + ([(i, i + RUN, True) for i in runs(h).tolist()] if len(h) >= RUN else [])
 
 
-def _signed(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of word ranges, and band keys of those that are not fine."""
+def _signed(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, banded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of word ranges, and band keys of those that are banded, which have SHINGLE words or more."""
     n = hi - lo
     within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     power = np.cumprod(np.full(int(n.max()), PLACE[1], np.uint64))
     first = np.cumsum(n) - n
     whole = _mix(np.add.reduceat(_mix(h[np.repeat(lo, n) + within]) * power[within], first))
-    lo, hi = lo[~fine], hi[~fine]
+    lo, hi = lo[banded], hi[banded]
     keys = np.zeros((BANDS, len(lo)), np.uint64)
     if not len(lo):
         return whole, keys
@@ -118,6 +121,7 @@ def _signed(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, fine: np.ndarray) ->
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh64_intdigest
+    seen: set[int] = set()
     for batch in batches:
         ids = batch.column(0)
         data, offsets = buffers(batch.column(1))
@@ -129,17 +133,28 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             text = raw[offsets[i] : offsets[i + 1]]
             words = text.split()
-            if len(words) >= LEAST:
+            if words:
                 h = np.fromiter(map(digest, words), np.uint64, len(words))
                 for par, (a, b, fine) in enumerate(segments(text, h)):
                     held.append((i, par, a, size + a, size + b, fine))
-                    bodies.append(None if fine else b" ".join(words[a:b]))
+                    bodies.append(None if fine or b - a < SHINGLE else b" ".join(words[a:b]))
                 hashes.append(h)
                 size += len(words)
             if held and (size > 200_000 or i == batch.num_rows - 1):
                 at, par, word, lo, hi, fine = (np.array(x) for x in zip(*held))
-                whole, keys = _signed(np.concatenate(hashes), lo, hi, fine)
-                n_keys = np.where(fine, 0, BANDS)
+                banded = ~fine & (hi - lo >= SHINGLE)
+                whole, keys = _signed(np.concatenate(hashes), lo, hi, banded)
+                fresh = np.zeros(len(banded), bool)  # what the task has lately handed on needs no bands and no body again
+                for k in np.flatnonzero(banded).tolist():
+                    if (x := int(whole[k])) in seen:
+                        bodies[k] = None
+                    else:
+                        seen.add(x)
+                        fresh[k] = True
+                if len(seen) > 500_000:
+                    seen.clear()
+                keys = keys[:, fresh[banded]]
+                n_keys = np.where(fresh, BANDS, 0)
                 flat = np.ascontiguousarray(keys.T).ravel().view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -158,7 +173,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, hash) of the coarse paragraphs; what a task has lately handed on it does not repeat."""
+    """(key, hash, n) of paragraphs with bands; what a task has lately handed on it does not repeat."""
     seen: set[int] = set()
     for batch in batches:
         h = np.asarray(batch.column(0))
@@ -169,29 +184,34 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.clear()
         seen.update(h[fresh].tolist())
         keys = np.asarray(batch.column(1).flatten()).reshape(len(h), BANDS)[fresh]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(h[fresh], BANDS))], names=["key", "hash"])
+        n = np.asarray(batch.column(2))[fresh]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(h[fresh], BANDS)), pa.array(np.repeat(n, BANDS))], names=["key", "hash", "n"])
 
 
 def _buckets(crowd: int):
-    """From rows sorted by key and hash: (bucket, hash) of keys that unlike paragraphs share."""
+    """From rows sorted by key and hash: (bucket, hash) of keys that unlike paragraphs share.
+
+    A block holds about crowd members or WEIGHT * crowd words, whichever is less."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_key, rest_hash = np.empty(0, np.int64), np.empty(0, np.int64)
+        rest_key, rest_hash, rest_words = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
-        def whole(key: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def whole(key: np.ndarray, h: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
-            key, h = key[new], h[new]
+            key, h, weight = key[new], h[new], np.maximum(words[new], WEIGHT)
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
             n = np.diff(np.append(starts, len(key)))
             if not (n > 1).any():
                 return
             bucket = _mix(np.add.reduceat(_mix(h.view(np.uint64)), starts))
-            small = np.repeat((n > 1) & (n <= crowd), n)
+            heavy = (n > 1) & (np.add.reduceat(weight, starts) > WEIGHT * crowd)
+            small = np.repeat((n > 1) & ~heavy, n)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, n)[small].view(np.int64)), pa.array(h[small])], names=["bucket", "hash"])
-            for s, size in zip(starts[n > crowd].tolist(), n[n > crowd].tolist()):
-                member, blocks = h[s : s + size], -(-size // crowd)
-                own = np.arange(size) // crowd
+            for s, size in zip(starts[heavy].tolist(), n[heavy].tolist()):
+                member, w = h[s : s + size], weight[s : s + size]
+                own = np.unique((np.cumsum(w) - w) // (WEIGHT * crowd), return_inverse=True)[1]
+                blocks = int(own[-1]) + 1
                 base = bucket[np.searchsorted(starts, s)]
                 for b in range(blocks):  # a row goes to all pairs with its own block
                     low, high = np.minimum(own, b), np.maximum(own, b)
@@ -201,13 +221,12 @@ def _buckets(crowd: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, h = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            key, h = np.concatenate([rest_key, key]), np.concatenate([rest_hash, h])
+            key, h, words = (np.concatenate([rest, np.asarray(batch.column(k))]) for k, rest in enumerate((rest_key, rest_hash, rest_words)))
             cut = int(np.searchsorted(key, key[-1]))
-            yield from whole(key[:cut], h[:cut])
-            rest_key, rest_hash = key[cut:], h[cut:]
+            yield from whole(key[:cut], h[:cut], words[:cut])
+            rest_key, rest_hash, rest_words = key[cut:], h[cut:], words[cut:]
         if len(rest_key):
-            yield from whole(rest_key, rest_hash)
+            yield from whole(rest_key, rest_hash, rest_words)
 
     return met
 
@@ -285,18 +304,19 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
 
     (doc_id, paragraph, first_word, n_words, exact_only, cluster_doc, members, kept): cluster_doc is the
     smallest document of the cluster, kept marks the first paragraph there, to be left when
-    the others go. exact_only marks runs of 16 words; paragraphs of under 16 words are not compared. Texts that are null, empty or short give no row, nor do repeats within one
-    document alone; rows that share an id are one document, null ids are one as well.
+    the others go. exact_only marks runs of 16 words. The shortest
+    lines are paragraphs too, so a common short line gives a row in each of its documents; passages of lines over 64 words have
+    rows of their own. Texts without a word give no row, nor do repeats within one document alone; rows that share an id are one document, null ids are one as well.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")).mapInArrow(_cut, SEGMENT))
-    coarse = cut.where("NOT fine")
-    banded = coarse.select("hash", "keys").mapInArrow(_once, "key long, hash long")
+    fresh = cut.where("body IS NOT NULL")
+    banded = fresh.select("hash", "keys", "n").mapInArrow(_once, "key long, hash long, n int")
     bucketed = banded.repartition(n, "key").sortWithinPartitions("key", "hash").mapInArrow(_buckets(crowd), "bucket long, hash long")
     shared = written(bucketed.distinct())
     wanted = shared.select("hash").distinct()
-    bodies = coarse.select("hash", "body").join(wanted, "hash", "left_semi").groupBy("hash").agg(F.first("body").alias("body"))
+    bodies = fresh.select("hash", "body").join(wanted, "hash", "left_semi").groupBy("hash").agg(F.first("body").alias("body"))
     met = shared.join(bodies, "hash").select("bucket", "hash", "body")
     links = met.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_verify(threshold), "a long, b long")
     found = written(components(links))
