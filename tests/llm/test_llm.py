@@ -100,6 +100,27 @@ def test_short_lines_and_documents_are_paragraphs(spark):
     }
 
 
+@pytest.mark.parametrize("n, changes", [(70, 1), (100, 2), (200, 4)])
+def test_long_lines_are_compared_whole(spark, n, changes):
+    rows = []
+    for k in range(40):
+        p = rng_words(1000 * n + k, n, 1_000_000)
+        q = p.copy()
+        for c in range(changes):
+            q[(2 * c + 1) * n // (2 * changes)] = f"changed{c}"
+        rows += [(2 * k, " ".join(p)), (2 * k + 1, " ".join(q))]
+    got = {(r.doc_id, r.cluster_doc) for r in paragraph_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_words == n}
+    assert all(doc // 2 == cluster // 2 for doc, cluster in got)
+    assert sum({(2 * k, 2 * k), (2 * k + 1, 2 * k)} <= got for k in range(40)) >= 39  # 99.4 % of pairs share a band
+
+
+def test_buckets_crowded_by_words_lose_no_link(spark):
+    base = rng_words(36, 900)
+    docs = spark.createDataFrame([(i, " ".join(base[:450] + [f"x{i}"] + base[451:])) for i in range(40)], "doc_id long, text string")
+    one, many = (sorted(tuple(r) for r in paragraph_dedup.repeats(docs, crowd=c).where("n_words = 900").select("doc_id", "cluster_doc", "members").collect()) for c in (1000, 20))
+    assert one == many == [(i, 0, 40) for i in range(40)]
+
+
 def test_crowded_buckets_lose_no_link(spark):
     base = rng_words(8, 50)
     docs = spark.createDataFrame([(i, " ".join(base[:25] + [f"x{i}"] + base[26:])) for i in range(60)], "doc_id long, text string")

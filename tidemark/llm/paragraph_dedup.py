@@ -1,6 +1,6 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are lines, the shortest too. A line of over LONG words is cut into passages where
+Paragraphs are all lines with a word, of any length. A line of over LONG words is besides cut into passages where
 the words themselves say so, at word pairs whose hash is the least around, so that a shared passage is cut alike
 wherever it stands, into passages of about 30 words. MinHash signatures over 5-word shingles fall into bands;
 paragraphs that share a band meet in a bucket, are compared by exact Jaccard similarity of their shingles, and
@@ -81,17 +81,17 @@ def runs(h: np.ndarray) -> np.ndarray:
 
 
 def segments(text: bytes, h: np.ndarray) -> list[tuple[int, int, bool]]:
-    """(first word, end, fine) of the paragraphs and (fine) runs of a lower-cased text with word hashes h"""
+    """(first word, end, fine) of the paragraphs and (fine) runs of a lower-cased text with word hashes h; a long line comes before its passages."""
     found = []
     at = 0
     for line in text.split(b"\n"):
         n = len(line.split())
+        if n:
+            found.append((at, at + n, False))
         if n > LONG:
             pair = _mix(h[at : at + n - 1] * PLACE[0] + h[at + 1 : at + n])
             edge = [0, *(_cuts(pair, REACH) + 1).tolist(), n]
-            found += [(at + a, at + b, False) for a, b in zip(edge, edge[1:]) if b - a >= LEAST]
-        elif n:
-            found.append((at, at + n, False))
+            found += [(at + a, at + b, False) for a, b in zip(edge, edge[1:]) if LEAST <= b - a < n]
         at += n
     return found + ([(i, i + RUN, True) for i in runs(h).tolist()] if len(h) >= RUN else [])
 
@@ -304,8 +304,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
 
     (doc_id, paragraph, first_word, n_words, exact_only, cluster_doc, members, kept): cluster_doc is the
     smallest document of the cluster, kept marks the first paragraph there, to be left when
-    the others go. exact_only marks runs of 16 words. The shortest
-    lines are paragraphs too, so a common short line gives a row in each of its documents; passages of lines over 64 words have
+    the others go. exact_only marks runs of 16 words. Every line with a word is a paragraph,
+    the shortest too, so a common short line gives a row in each of its documents; passages of lines over 64 words have
     rows of their own. Texts without a word give no row, nor do repeats within one document alone; rows that share an id are one document, null ids are one as well.
     """
     spark = docs.sparkSession
