@@ -455,6 +455,37 @@ def test_license_scan_equals_brute_force(spark, odd_docs, no_docs):
     assert license_scan.scan(no_docs).count() == 0
 
 
+def test_license_query_reads_across_lines(spark, odd_docs, tmp_path):
+    from tidemark.llm.queries import op6_license_scan
+
+    t = license_scan.TEMPLATES
+    r = random.Random(12)
+    bsd = "* Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed"
+    rows = [(x.doc_id, x.text) for x in odd_docs.collect()] + [(30, bsd), (31, mpl), (32, "licensed under CC BY\nNC 4.0")]
+    for k, label in enumerate(sorted(t) * 6):
+        w = t[label].split()
+        for _ in range(r.randrange(4)):
+            w.insert(r.randrange(len(w)), "\n".join(rng_words(r.randrange(99), r.choice([1, 20, 50]))))
+        text = [*rng_words(k, r.choice([0, 30, 63, 64, 65, 128, 400])), *w, *rng_words(k + 50, r.choice([0, 40, 64, 300]))]
+        rows.append((100 + k, "".join(x + r.choice([" ", "\n"]) for x in text)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(x.doc_id, x.labels, round(x.score, 9)) for x in op6_license_scan(spark, str(tmp_path)).collect()}
+    expected = set()
+    for doc_id, text in rows:
+        w, best = plain_words(text), {}
+        for i in range(max(len(w) - 64, 0) + 1):
+            for label, words in t.items():
+                s = set(plain_words(words))
+                if (c := len(s & set(w[i : i + 64])) / len(s)) >= 0.8:
+                    best[label] = max(best.get(label, 0), c)
+        said = f" {' '.join(w)} "
+        base = {label for p, label in license_scan.PHRASES.items() if f" {p} " in said}
+        expected.add((doc_id, ",".join(sorted(base | set(best))), round(max(best.values(), default=0.0), 9)))
+    assert got == expected
+    assert {(30, "bsd", 1.0), (31, "mpl-2.0", 1.0)} <= got
+
+
 # op7
 
 

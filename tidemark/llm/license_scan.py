@@ -80,12 +80,14 @@ def _rarity(docs: DataFrame, text: str, vocabulary: list[str]) -> DataFrame:
     return docs.select(F.explode(held).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def matches(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def matches(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.8, across_lines: bool = False) -> DataFrame:
     """(*columns of docs but text, label, containment): the best block of each row and template at or
     above the threshold.
 
     A block is a line of up to BLOCK words; longer lines give blocks of BLOCK words that overlap by
-    STRIDE. Rows are told apart by all their columns; alike rows give one match.
+    STRIDE. With across_lines a block is any BLOCK words in a row of the whole text, wherever lines break (twice the
+    longest template's words, if these are more): spans of two blocks' words that overlap by one hold every block, and
+    only spans that could match are cut to their blocks. Rows are told apart by all their columns; alike rows give one match.
     """
     spark = docs.sparkSession
     sets = {label: sorted(set(words_of(t))) for label, t in templates.items()}
@@ -100,27 +102,36 @@ def matches(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEM
     # a row can match only if it holds enough template tokens at all
     norm = docs.withColumn("_held", F.array_intersect(F.split(_normal(F.col(text)), " "), known)).where(F.size("_held") >= least)
     rest = [c for c in docs.columns if c != text]
-    lines = norm.select(*rest, F.explode(F.split(F.col(text), "\n")).alias("_line")).select(*rest, F.filter(F.split(_normal(F.col("_line")), " "), lambda w: w != "").alias("_words"))
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size("_words") - BLOCK) / STRIDE), F.lit(0)).cast("int"))
-    blocks = lines.select(*rest, F.explode(F.transform(starts, lambda i: F.array_distinct(F.slice(F.col("_words"), i * STRIDE + 1, BLOCK)))).alias("_block"))
+    if across_lines:
+        block = max(BLOCK, 2 * max(len(words_of(t)) for t in templates.values()))
+        lines, size, stride = norm.select(*rest, F.filter(F.split(_normal(F.col(text)), " "), lambda w: w != "").alias("_words")), 2 * block, block
+    else:
+        block, size, stride = BLOCK, BLOCK, STRIDE
+        lines = norm.select(*rest, F.explode(F.split(F.col(text), "\n")).alias("_line")).select(*rest, F.filter(F.split(_normal(F.col("_line")), " "), lambda w: w != "").alias("_words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size("_words") - size) / stride), F.lit(0)).cast("int"))
+    blocks = lines.select(*rest, F.explode(F.transform(starts, lambda i: F.slice(F.col("_words"), i * stride + 1, size))).alias("_block"))
     met = blocks.withColumn("_common", F.array_intersect("_block", known)).where(F.size("_common") >= least)
     met = met.withColumn("token", F.explode("_common")).join(prefix, "token")
     possible = (F.size("_block") >= F.col("need")) & (F.size("_common") >= F.col("need")) & (F.col("size") - F.col("rank") + 1 >= F.col("need"))
     checked = met.where(possible).join(sets_of, "label").withColumn("_n", F.size(F.array_intersect("_common", "_set"))).where(F.col("_n") >= F.col("need"))
+    if across_lines:
+        begins = F.sequence(F.lit(0), F.greatest(F.size("_block") - block, F.lit(0)))
+        held = F.transform(begins, lambda i: F.size(F.array_intersect(F.slice(F.col("_block"), i + 1, block), F.col("_set"))))
+        checked = checked.withColumn("_n", F.array_max(held)).where(F.col("_n") >= F.col("need"))
     return checked.groupBy(*rest, "label").agg(F.max(F.col("_n") / F.col("size")).alias("containment"))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.8, across_lines: bool = False) -> DataFrame:
     """Adds the columns of phrases() and scan_templates (array of labels) and scan_score to every row.
 
-    scan_score is the best containment of a template, or 0. A null text has no words; rows alike in
+    scan_score is the best containment of a template, or 0; across_lines as in matches(). A null text has no words; rows alike in
     id and text get the same result each; an empty table gives an empty one. Columns of
     docs named like those added, and _norm, _found, _key, _labels and _score, are left out.
     """
     docs = without(docs, *ADDED)
     based = phrases(docs, text).withColumn("_key", F.xxhash64(F.col(doc_id), F.col(text)))
     keyed = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("_key"), F.col(text))
-    best = matches(keyed, text, templates, threshold).groupBy("_key").agg(F.sort_array(F.collect_set("label")).alias("_labels"), F.max("containment").alias("_score"))
+    best = matches(keyed, text, templates, threshold, across_lines).groupBy("_key").agg(F.sort_array(F.collect_set("label")).alias("_labels"), F.max("containment").alias("_score"))
     none = F.array().cast("array<string>")
     return based.join(best, "_key", "left").select(
         *[c for c in based.columns if c != "_key"], F.coalesce("_labels", none).alias("scan_templates"), F.coalesce("_score", F.lit(0.0)).alias("scan_score")

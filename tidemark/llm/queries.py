@@ -47,7 +47,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), across_lines=True)
     both = F.array_sort(F.array_distinct(F.concat("scan_labels", "scan_templates")))
     return found.select(
         "doc_id",
