@@ -2,8 +2,9 @@
 
 Tokens are ordered by how many documents of the whole corpus hold them, rarest first. A block
 that contains a template to the threshold must hold one of the template's first
-|t| - ceil(threshold * |t|) + 1 tokens, so blocks meet templates on these alone; size bounds and the
-position of the first common token discard more; an exact intersection decides.
+|t| - ceil(threshold * |t|) + 1 tokens, so blocks meet templates on these alone; the
+number of template tokens in the block discards more, and an exact intersection decides. The prefix leaves nothing to
+discard by position: each of its tokens has need - 1 or more of the template after it, and containment bounds no block from above.
 DataFrame functions only. Only the templates, of fixed number and size, are broadcast.
 """
 
@@ -112,8 +113,7 @@ def matches(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEM
     blocks = lines.select(*rest, F.explode(F.transform(starts, lambda i: F.slice(F.col("_words"), i * stride + 1, size))).alias("_block"))
     met = blocks.withColumn("_common", F.array_intersect("_block", known)).where(F.size("_common") >= least)
     met = met.withColumn("token", F.explode("_common")).join(prefix, "token")
-    possible = (F.size("_block") >= F.col("need")) & (F.size("_common") >= F.col("need")) & (F.col("size") - F.col("rank") + 1 >= F.col("need"))
-    checked = met.where(possible).join(sets_of, "label").withColumn("_n", F.size(F.array_intersect("_common", "_set"))).where(F.col("_n") >= F.col("need"))
+    checked = met.where(F.size("_common") >= F.col("need")).join(sets_of, "label").withColumn("_n", F.size(F.array_intersect("_common", "_set"))).where(F.col("_n") >= F.col("need"))
     if across_lines:
         begins = F.sequence(F.lit(0), F.greatest(F.size("_block") - block, F.lit(0)))
         held = F.transform(begins, lambda i: F.size(F.array_intersect(F.slice(F.col("_block"), i + 1, block), F.col("_set"))))
