@@ -484,3 +484,22 @@ def test_identities_change_only_with_content(spark):
 def test_canonical_decimal(spark):
     df = spark.createDataFrame([("1.500",), ("-0.0",), ("100",), ("x",), (" 0.10 ",)], "t string")
     assert [r[0] for r in df.select(X.canonical_decimal(F.col("t"))).collect()] == ["1.5", "0", "100", None, "0.1"]
+
+
+def test_bounds_of_rounds_refuse_and_configurations_are_all_counted(spark):
+    from tidemark.operators import grid, joins, robust
+
+    points = spark.createDataFrame([(c, 0) for c in range(1100)] + [(0, 1)], "c int, k int")
+    assert {(r.c, r.k) for r in joins.missing_by_configuration(points, "c", "k").collect()} == {(c, 1) for c in range(1, 1100)}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(4)], "child long, parent long")
+    root = spark.createDataFrame([(0,)], "child long")
+    assert {(r.node, r.depth) for r in joins.ancestors(chain, root, "child", "parent", 4).collect()} == {(i, i) for i in range(1, 5)}
+    with pytest.raises(ValueError):
+        joins.ancestors(chain, root, "child", "parent", 3)
+    line = spark.createDataFrame([(x, 0) for x in range(6)], "x int, y int")
+    assert {r.cost for r in robust.medoid_costs(line, ["x", "y"], 5).collect()} == {15, 11, 9}
+    with pytest.raises(ValueError):
+        robust.medoid_costs(line, ["x", "y"], 4)
+    assert {r.component for r in grid.grid_components(line, ["x", "y"], F.col("x").cast("long")).collect()} == {0}
+    with pytest.raises(ValueError):
+        grid.grid_components(line, ["x", "y"], F.col("x").cast("long"), 1)

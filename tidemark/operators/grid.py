@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from tidemark.operators.joins import axis_neighbours, box_neighbours
 from tidemark.shared import written
 
 
-def grid_components(points: DataFrame, axes: list[str], node: Column, most_rounds: int = 64) -> DataFrame:
+def grid_components(points: DataFrame, axes: list[str], node: Column, most_rounds: int | None = None) -> DataFrame:
     """Adds component: the smallest node number that steps along single axes reach.
 
-    Labels spread to neighbours and jump to their label's label in each round, until none changes.
+    Labels spread to neighbours and jump to their label's label in each round, until none changes; labels that
+    still change after most_rounds, where that is given, are refused.
     node numbers the points; equal coordinates must have equal numbers.
     """
     base = points.select(*axes, node.alias("node")).distinct()
@@ -22,7 +24,7 @@ def grid_components(points: DataFrame, axes: list[str], node: Column, most_round
     other = base.select(*[F.col(a).alias(f"n_{a}") for a in axes], F.col("node").alias("to"))
     edges = pairs.join(other, [f"n_{a}" for a in axes]).join(base, axes).select(F.col("node").alias("a"), F.col("to").alias("b"))
     edges, labels = written(edges), written(base.select("node", F.col("node").alias("label")))
-    for _ in range(most_rounds):
+    for done in count(1):
         near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
         jump = spread.join(labels.select(F.col("node").alias("low"), F.col("label").alias("far")), "low").select("node", "label", F.least("low", "far").alias("new"))
@@ -31,6 +33,8 @@ def grid_components(points: DataFrame, axes: list[str], node: Column, most_round
         labels = jump.select("node", F.col("new").alias("label"))
         if not changed:
             break
+        if most_rounds is not None and done >= most_rounds:
+            raise ValueError(f"components unfinished after {most_rounds} rounds")
     return base.join(labels, "node").select(*axes, F.col("label").alias("component"))
 
 

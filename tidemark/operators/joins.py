@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,18 +132,22 @@ def paired_differences(points: DataFrame, left: str, right: str, config: str, ke
 
 def missing_by_configuration(points: DataFrame, config: str, key: str) -> DataFrame:
     """For each configuration the keys that others have and it lacks."""
-    every = points.select(key).distinct().crossJoin(F.broadcast(points.select(config).distinct().limit(1000)))  # configurations are few
+    every = points.select(key).distinct().crossJoin(points.select(config).distinct())
     return every.join(points.select(config, key).distinct(), [config, key], "left_anti")
 
 
-def ancestors(edges: DataFrame, roots: DataFrame, child: str, parent: str, most_steps: int = 64) -> DataFrame:
-    """(node, depth): all transitive parents of the roots, by rounds of joins with what is new; the smallest depth."""
+def ancestors(edges: DataFrame, roots: DataFrame, child: str, parent: str, most_steps: int | None = None) -> DataFrame:
+    """(node, depth): all transitive parents of the roots, by rounds of joins with what is new; the smallest depth.
+
+    Parents more than most_steps away, where that is given, are refused, not left out."""
     frontier = roots.select(F.col(child).alias("node")).distinct()
     seen = frontier.withColumn("depth", F.lit(0))
-    for depth in range(1, most_steps + 1):
+    for depth in count(1):
         step = frontier.join(edges, frontier["node"] == edges[child]).select(F.col(parent).alias("node")).where("node IS NOT NULL").distinct()
         frontier = written(step.join(seen.select("node"), "node", "left_anti"))
         if not frontier.take(1):
             break
+        if most_steps is not None and depth > most_steps:
+            raise ValueError(f"ancestors farther than {most_steps} steps")
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
     return seen.where("depth > 0")

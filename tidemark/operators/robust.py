@@ -6,6 +6,8 @@ the next row that is not qualified ends the walk and says why.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,22 +72,25 @@ def point_geometry(points: DataFrame, bounds: Bounds, metric: str, keys: list[st
     return walks.join(near, at).join(spread, at).join(box, at).withColumn("completeness", done).drop("_cut", "_legal")
 
 
-def medoid_costs(points: DataFrame, axes: list[str], most_rounds: int = 1000) -> DataFrame:
+def medoid_costs(points: DataFrame, axes: list[str], most_rounds: int | None = None) -> DataFrame:
     """(axes, cost): the sum of step distances from each point to all it reaches by single steps on qualified points.
 
-    Distances spread one step a round from all starts at once; what is new in a round is what the next one extends."""
+    Distances spread one step a round from all starts at once; what is new in a round is what the next one extends.
+    Distances over most_rounds, where that is given, are refused, not left out."""
     base = points.select(*axes).distinct()
     edges = written(axis_neighbours(base, [], axes))
     start = [F.col(a).alias(f"s_{a}") for a in axes]
     names = [f"s_{a}" for a in axes]
     frontier = base.select(*start, *axes)
     seen = frontier.withColumn("d", F.lit(0))
-    for d in range(1, most_rounds):
+    for d in count(1):
         step = frontier.join(edges, axes).select(*names, *[F.col(f"n_{a}").alias(a) for a in axes]).distinct()
         frontier = step.join(seen, [*names, *axes], "left_anti")
         frontier = written(frontier)
         if not frontier.take(1):
             break
+        if most_rounds is not None and d > most_rounds:
+            raise ValueError(f"points farther than {most_rounds} steps")
         seen = seen.unionByName(frontier.withColumn("d", F.lit(d)))
     return seen.groupBy(*names).agg(F.sum("d").alias("cost")).select(*[F.col(f"s_{a}").alias(a) for a in axes], "cost")
 
