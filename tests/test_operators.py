@@ -503,3 +503,38 @@ def test_bounds_of_rounds_refuse_and_configurations_are_all_counted(spark):
     assert {r.component for r in grid.grid_components(line, ["x", "y"], F.col("x").cast("long")).collect()} == {0}
     with pytest.raises(ValueError):
         grid.grid_components(line, ["x", "y"], F.col("x").cast("long"), 1)
+
+
+# prices that are not positive
+
+
+def test_zero_prices_give_nulls_and_do_not_count(spark):
+    from tidemark.operators import indicators as I
+
+    closes = [(10.0, 11.0, 9.0, 10.0), (10.0, 12.0, 10.0, 11.0), (0.0, 12.0, 0.0, 0.0), (11.0, 12.0, 11.0, 12.0), (12.0, 12.0, 12.0, 12.0), (0.0, 0.0, 0.0, 0.0), (12.0, 13.0, 11.0, 12.5)]
+    df = spark.createDataFrame([(i * DAY, *row, 1.0) for i, row in enumerate(closes)], BARS)
+    at = lambda rows, c: [r[c] for r in rows.orderBy("open_time_ms").collect()]
+    made = I.coordinates(df, [])
+    assert at(made, "open_time_ms") == [i * DAY for i in (1, 3, 4, 6)]
+    assert at(made, "g") == pytest.approx([0.0, 0.0, 0.0, 0.0]) and at(made, "b")[1] == pytest.approx(math.log(12 / 11))
+    assert at(I.true_range_log(df, []), "scale")[5] is None
+    act = I.activity(df, [], 3)
+    assert at(act, "hl_mean")[3] == pytest.approx((math.log(1.2) + math.log(12 / 11)) / 2)  # of rows 1 to 3; row 2 has no ratio
+    targets = I.forward_targets(df, [], 2)
+    assert at(targets, "up")[2] is None and at(targets, "down")[0] is None and at(targets, "up")[0] == pytest.approx(math.log(1.2))
+    assert at(W.future_activity(df, [], 2), "future_hl_mean")[0] == pytest.approx(math.log(1.2))
+    assert at(I.micro_signal(I.indicators(df, [])), "signal") == [None] * 7
+    assert I.market_regime(I.indicators(df, [])).count() == 7
+    navs = df.select("open_time_ms", F.col("close").alias("nav"))
+    assert PF.report(navs, []).count() == 1
+    back = RS.back_adjusted(df, []).orderBy("open_time_ms").collect()
+    assert len(back) == 7 and all(math.isfinite(r["close"]) for r in back)
+
+
+def test_chains_past_a_hundred_parents_and_configurations_past_a_thousand(spark):
+    edges = spark.range(1, 121).select(F.col("id").alias("c"), (F.col("id") - 1).alias("p"))
+    found = J.ancestors(edges, spark.createDataFrame([(120,)], "c long"), "c", "p")
+    assert found.count() == 120 and found.agg(F.max("depth")).first()[0] == 120
+    own = spark.range(1001).select(F.col("id").alias("config"), F.col("id").alias("key")).unionByName(spark.createDataFrame([(0, 5000)], "config long, key long"))
+    missing = J.missing_by_configuration(own, "config", "key")
+    assert missing.count() == 1001 * 1002 - 1002

@@ -8,6 +8,34 @@ from pyspark.sql import functions as F
 FAST, SLOW, VOL_SHORT = 21, 112, 16
 
 
+def ratio(a: Column | str, b: Column | str) -> Column:
+    """a / b, null where b is 0: a bar with a price of 0 has no ratios and does not count in means over them."""
+    return F.try_divide(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
+
+
+def log_ratio(a: Column | str, b: Column | str) -> Column:
+    """ln(a / b) of positive prices, else null."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.when((a > 0) & (b > 0), F.log(F.try_divide(a, b)))
+
+
+def true_range_ratio(before: Column) -> Column:
+    """The true range over a positive close before, else null."""
+    widest = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+    return F.when(before > 0, F.try_divide(widest, before))
+
+
+def activity_terms(before: Column) -> dict[str, Column]:
+    """What activity features are means and deviations of, bar by bar; null where a price needed is not positive."""
+    return {
+        "_tr": true_range_ratio(before),
+        "_hl": log_ratio("high", "low"),
+        "_on": log_ratio(F.col("open"), before),
+        "_oc": log_ratio("close", "open"),
+        "_rs": log_ratio("high", "close") * log_ratio("high", "open") + log_ratio("low", "close") * log_ratio("low", "open"),
+    }
+
+
 def window(keys: list[str]):
     return Window.partitionBy(*(keys or [F.lit(0)])).orderBy("open_time_ms")
 
@@ -52,8 +80,8 @@ def mean_abs_change(rows: DataFrame, keys: list[str], period: int, to: str, valu
 def volatility_ratio(rows: DataFrame, keys: list[str], value: str = "close", to: str = "volatility_ratio") -> DataFrame:
     """Short over long mean change in [0.1, 3]; 1 if either is not above 0."""
     out = mean_abs_change(mean_abs_change(rows, keys, VOL_SHORT, "_s", value), keys, SLOW, "_l", value)
-    ratio = F.col("_s") / F.nullif(F.col("_l"), F.lit(0.0))
-    return out.withColumn(to, F.when((F.col("_s") > 0) & (F.col("_l") > 0), F.least(F.greatest(ratio, F.lit(0.1)), F.lit(3.0))).otherwise(1.0)).drop("_s", "_l")
+    clipped = F.least(F.greatest(ratio("_s", "_l"), F.lit(0.1)), F.lit(3.0))
+    return out.withColumn(to, F.when((F.col("_s") > 0) & (F.col("_l") > 0), clipped).otherwise(1.0)).drop("_s", "_l")
 
 
 def indicators(bars: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,13 +89,12 @@ def indicators(bars: DataFrame, keys: list[str]) -> DataFrame:
     sigma (of the last 21 log returns), momentum (21-bar log return) and n (rows so far)."""
     w = window(keys)
     rows = volatility_ratio(ema(ema(bars, keys, FAST, to="ema_fast"), keys, SLOW, to="ema_slow"), keys)
-    positive = lambda a, b: F.when((a > 0) & (b > 0), F.log(a / F.nullif(b, F.lit(0.0))))
     rows = rows.withColumns(
         {
             "n": F.row_number().over(w),
             "high_slow": F.max("close").over(w.rowsBetween(-(SLOW - 1), 0)),
-            "log_return": positive(F.col("close"), F.lag("close").over(w)),
-            "momentum": positive(F.col("close"), F.lag("close", FAST).over(w)),
+            "log_return": log_ratio(F.col("close"), F.lag("close").over(w)),
+            "momentum": log_ratio(F.col("close"), F.lag("close", FAST).over(w)),
         }
     )
     return rows.withColumn("sigma", trailing_std("log_return", w, FAST))
@@ -77,19 +104,18 @@ def micro_signal(rows: DataFrame, reversion: float = 1.0, momentum: float = 1.0,
     """Adds signal to indicators(): weighted mean reversion, momentum and breakout; null before 22 rows."""
     sigma = F.greatest(F.col("sigma"), F.lit(0.001))
     s = (
-        reversion * (F.col("close") / F.col("ema_fast") - 1) / sigma
+        reversion * (ratio("close", "ema_fast") - 1) / sigma
         + momentum * F.coalesce("momentum", F.lit(0.0))
-        + breakout * (F.col("close") / F.col("high_slow") - 1)
+        + breakout * (ratio("close", "high_slow") - 1)
     )
     return rows.withColumn("signal", F.when(F.col("n") >= FAST + 1, s))
 
 
 def market_regime(rows: DataFrame) -> DataFrame:
     """Adds regime, time_multiplier, beta_multiplier and is_quiet to indicators()."""
-    slope = F.col("ema_fast") / F.col("ema_slow") - 1
-    depth = F.col("close") / F.col("high_slow") - 1
+    slope, depth = ratio("ema_fast", "ema_slow") - 1, ratio("close", "high_slow") - 1
     shock = (F.col("volatility_ratio") > 1.8) | ((F.col("n") >= FAST + 2) & (F.col("sigma") > 0) & (F.abs("log_return") > 2.5 * F.col("sigma")))
-    calm = (F.col("volatility_ratio") < 0.75) & (F.abs(F.col("close") / F.col("ema_fast") - 1) < 0.015)
+    calm = (F.col("volatility_ratio") < 0.75) & (F.abs(ratio("close", "ema_fast") - 1) < 0.015)
     early = F.col("n") < FAST + 1
     which = F.when(early, "early").when(shock, "shock").when((slope < -0.03) | (depth < -0.2), "bear").when((slope > 0.03) & (F.coalesce("momentum", F.lit(0.0)) > 0), "bull").when(calm, "calm").otherwise("plain")
     of = lambda **v: F.element_at(F.create_map(*[F.lit(x) for kv in v.items() for x in kv]), F.col("_which"))
@@ -126,16 +152,7 @@ def activity(bars: DataFrame, keys: list[str], lookback: int) -> DataFrame:
     Parkinson and Yang-Zhang volatility. Terms that need the bar before use lookback - 1 rows."""
     w = window(keys)
     before = F.lag("close").over(w)
-    rows = bars.withColumns(
-        {
-            "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)) / before,
-            "_hl": F.log(F.col("high") / F.col("low")),
-            "_on": F.log(F.col("open") / before),
-            "_oc": F.log(F.col("close") / F.col("open")),
-            "_rs": F.log(F.col("high") / F.col("close")) * F.log(F.col("high") / F.col("open")) + F.log(F.col("low") / F.col("close")) * F.log(F.col("low") / F.col("open")),
-            "_n": F.row_number().over(w),
-        }
-    )
+    rows = bars.withColumns({**activity_terms(before), "_n": F.row_number().over(w)})
     whole, short = w.rowsBetween(-(lookback - 1), 0), w.rowsBetween(-(lookback - 2), 0)
     k = 0.34 / (1.34 + (lookback + 1) / (lookback - 1))
     yz = F.var_samp("_on").over(short) + k * F.var_samp("_oc").over(whole) + (1 - k) * F.avg("_rs").over(whole)
@@ -156,7 +173,7 @@ def history_ratio(rows: DataFrame, keys: list[str], value: str, to: str) -> Data
     """The value over the median of all strictly earlier positive values; null without any."""
     past = window(keys).rowsBetween(Window.unboundedPreceding, -1)
     median = F.percentile(F.when(F.col(value) > 0, F.col(value)), F.lit(0.5)).over(past)
-    return rows.withColumn("_h", median).withColumn(to, F.col(value) / F.nullif(F.col("_h"), F.lit(0.0))).drop("_h")
+    return rows.withColumn("_h", median).withColumn(to, ratio(value, "_h")).drop("_h")
 
 
 def forward_targets(bars: DataFrame, keys: list[str], horizon: int) -> DataFrame:
@@ -168,8 +185,8 @@ def forward_targets(bars: DataFrame, keys: list[str], horizon: int) -> DataFrame
     rows = rows.where("_end IS NOT NULL").withColumns(
         {
             "direction": (F.col("_end") > F.col("close")).cast("int"),
-            "up": F.greatest(F.log(F.col("_hi") / F.col("close")), F.lit(0.0)),
-            "down": F.greatest(F.log(F.col("close") / F.col("_lo")), F.lit(0.0)),
+            "up": F.when(F.col("close") > 0, F.greatest(log_ratio("_hi", "close"), F.lit(0.0))),
+            "down": F.when(F.col("_lo") > 0, F.greatest(log_ratio("close", "_lo"), F.lit(0.0))),
         }
     )
     total = F.col("up") + F.col("down")
@@ -195,16 +212,12 @@ def walk_forward_folds(rows: DataFrame, keys: list[str], min_train: int, purge:
 
 
 def coordinates(bars: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds log gap, body, upper and lower wick of each bar after the first."""
-    before = F.lag("close").over(window(keys))
-    rows = bars.withColumn("g", F.log(F.col("open") / before)).where("g IS NOT NULL")
-    return rows.withColumns(
-        {
-            "b": F.log(F.col("close") / F.col("open")),
-            "u": F.log(F.col("high") / F.greatest("open", "close")),
-            "d": F.log(F.least("open", "close") / F.col("low")),
-        }
-    )
+    """Adds log gap, body, upper and lower wick of each bar after the first.
+
+    A bar with a price that is not positive has no coordinates and is left out; the gap of the next is from the last close before it."""
+    priced = bars.where(F.least("open", "high", "low", "close") > 0)
+    rows = priced.withColumn("g", log_ratio(F.col("open"), F.lag("close").over(window(keys)))).where("g IS NOT NULL")
+    return rows.withColumns({"b": log_ratio("close", "open"), "u": log_ratio(F.col("high"), F.greatest("open", "close")), "d": log_ratio(F.least("open", "close"), F.col("low"))})
 
 
 def from_coordinates(path: DataFrame, keys: list[str], first_close: float) -> DataFrame:
@@ -216,6 +229,6 @@ def from_coordinates(path: DataFrame, keys: list[str], first_close: float) -> Da
 
 
 def true_range_log(bars: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds scale: the log true range against the close before."""
+    """Adds scale: the log true range against the close before; parts with a price that is not positive do not count."""
     before = F.lag("close").over(window(keys))
-    return bars.withColumn("scale", F.greatest(F.log(F.col("high") / F.col("low")), F.abs(F.log(F.col("high") / before)), F.abs(F.log(F.col("low") / before))))
+    return bars.withColumn("scale", F.greatest(log_ratio("high", "low"), F.abs(log_ratio(F.col("high"), before)), F.abs(log_ratio(F.col("low"), before))))

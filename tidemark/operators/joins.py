@@ -39,14 +39,14 @@ def matched_changes(left: DataFrame, right: DataFrame, keys: list[str], time: st
     """Inner join of two series on time, then each one's change between matched rows (0 in the first)."""
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(time)
     rows = left.select(*keys, time, F.col("nav").alias("left_nav")).join(right.select(*keys, time, F.col("nav").alias("right_nav")), [*keys, time])
-    change = lambda c: F.coalesce(F.when(F.lag(c).over(w) > 0, F.col(c) / F.lag(c).over(w) - 1), F.lit(0.0))
+    change = lambda c: F.coalesce(F.when(F.lag(c).over(w) > 0, F.try_divide(F.col(c), F.lag(c).over(w)) - 1), F.lit(0.0))
     return rows.withColumns({"left_change": change("left_nav"), "right_change": change("right_nav")})
 
 
 def with_benchmark(path: DataFrame, benchmark: DataFrame, keys: list[str], time: str = "open_time_ms") -> DataFrame:
     """Left join of a path with a benchmark whose own returns are taken before the join."""
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(time)
-    own = benchmark.select(*keys, time, F.col("nav").alias("benchmark_nav"), (F.col("nav") / F.lag("nav").over(w) - 1).alias("benchmark_return"))
+    own = benchmark.select(*keys, time, F.col("nav").alias("benchmark_nav"), (F.try_divide(F.col("nav"), F.lag("nav").over(w)) - 1).alias("benchmark_return"))
     return path.join(own, [*keys, time], "left")
 
 
@@ -137,17 +137,23 @@ def missing_by_configuration(points: DataFrame, config: str, key: str) -> DataFr
 
 
 def ancestors(edges: DataFrame, roots: DataFrame, child: str, parent: str, most_steps: int | None = None) -> DataFrame:
-    """(node, depth): all transitive parents of the roots, by rounds of joins with what is new; the smallest depth.
+    """(node, depth): all transitive parents of the roots, with the smallest depth.
 
+    Steps double: in round i the nodes known so far take hops of 2^i parents, and two such hops make one of the next
+    round, so a chain of n parents takes about log2(n) rounds. A round that finds no new node is the last, cycles or not.
     Parents more than most_steps away, where that is given, are refused, not left out."""
-    frontier = roots.select(F.col(child).alias("node")).distinct()
-    seen = frontier.withColumn("depth", F.lit(0))
-    for depth in count(1):
-        step = frontier.join(edges, frontier["node"] == edges[child]).select(F.col(parent).alias("node")).where("node IS NOT NULL").distinct()
-        frontier = written(step.join(seen.select("node"), "node", "left_anti"))
-        if not frontier.take(1):
+    hops = written(edges.select(F.col(child).alias("a"), F.col(parent).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    seen = written(roots.select(F.col(child).alias("node")).distinct().withColumn("depth", F.lit(0)))
+    known = seen.count()
+    for i in count():
+        far = seen.join(hops, F.col("node") == F.col("a")).select(F.col("b").alias("node"), (F.col("depth") + (1 << i)).alias("depth"))
+        seen = written(seen.unionByName(far).groupBy("node").agg(F.min("depth").alias("depth")))
+        now = seen.count()
+        if now == known:
             break
-        if most_steps is not None and depth > most_steps:
-            raise ValueError(f"ancestors farther than {most_steps} steps")
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
+        known = now
+        second = hops.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        hops = written(hops.join(second, "b").select("a", F.col("c").alias("b")).distinct())
+    if most_steps is not None and seen.where(F.col("depth") > most_steps).take(1):
+        raise ValueError(f"ancestors farther than {most_steps} steps")
     return seen.where("depth > 0")

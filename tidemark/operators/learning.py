@@ -211,15 +211,18 @@ def projected_on_simplex(x: np.ndarray) -> np.ndarray:
 def activity_scale(rows: DataFrame, features: list[str], target: str, order: str, iterations: int = 300) -> dict:
     """ln(target) = c + weighted mean of ln(features): which features, and their weights (0 or more, sum 1).
 
-    All subsets are fitted to the first four fifths of the rows and judged by the mean absolute error on the rest; the smallest
-    within one standard error of the best wins. One aggregation gives every subset its sums of products, another its errors."""
+    All subsets are fitted to the first four fifths of the rows, rows of one `order` together, and judged by the mean absolute error on
+    the rest; the smallest within one standard error of the best wins. Where a subset's rows are cut comes from counts by `order`, added
+    up before the shuffle. One aggregation gives every subset its sums of products, another its errors."""
     n = len(features)
     ok = [(F.col(f) > 0) for f in features]
     logs = rows.where(F.col(target) > 0).select(order, F.log(target).alias("_y"), *[F.when(c, F.log(f)).alias(f) for f, c in zip(features, ok)])
     masks = F.explode(F.filter(F.sequence(F.lit(1), F.lit((1 << n) - 1)), lambda m: sum((F.when((F.shiftright(m, i).bitwiseAND(1) == 1) & F.col(f).isNull(), 1).otherwise(0) for i, f in enumerate(features)), F.lit(0)) == 0))
     each = logs.withColumn("mask", masks)
     w = Window.partitionBy("mask")
-    each = each.withColumns({"_i": F.row_number().over(w.orderBy(order)), "_n": F.count(F.lit(1)).over(w)}).withColumn("_train", F.col("_i") <= F.floor(F.col("_n") * 0.8)).where("_n >= 20").persist()
+    times = each.groupBy("mask", order).agg(F.count(F.lit(1)).alias("_c")).withColumns({"_to": F.sum("_c").over(w.orderBy(order)), "_n": F.sum("_c").over(w)})
+    cuts = times.where("_n >= 20 AND _to <= floor(_n * 0.8)").groupBy("mask").agg(F.max(order).alias("_cut"))
+    each = each.join(F.broadcast(cuts), "mask").withColumn("_train", F.col(order) <= F.col("_cut")).persist()  # cuts: a row a subset
     x = [F.lit(1.0), *[F.coalesce(F.col(f), F.lit(0.0)) for f in features]]
 
     def fit(part: DataFrame) -> dict[int, tuple[float, dict[str, float]]]:
@@ -253,6 +256,7 @@ def activity_scale(rows: DataFrame, features: list[str], target: str, order: str
     model = fit(final)
     e = error(model)
     stats = final.agg(F.avg(e).alias("mean"), F.percentile(e, F.lit(0.5)).alias("median"), F.percentile(e, F.lit(0.9)).alias("p90")).first()
+    each.unpersist()
     return {"constant": math.exp(model[mask][0]), "weights": model[mask][1], "mean_error": stats["mean"], "median_error": stats["median"], "p90_error": stats["p90"]}
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import keyed_uniform, reflected
-from tidemark.operators.indicators import window
+from tidemark.operators.indicators import log_ratio, window
 
 CHANNELS = ("g", "b", "u", "d")
 FEATURES = ("mean_return", "trend_efficiency", "drawdown_shape", "runup_shape", "direction_reversal", "mean_tr", "activity_concentration", "gap_share", "wick_share", "wick_asymmetry")
@@ -94,7 +94,7 @@ def perturbed(bars: DataFrame, keys: list[str], draws: DataFrame, source: str =
     Middle, body and wicks move by a triangular draw times alpha times the bar's log true range against the source's own close
     before, so copies do not depend on each other. Prices are rounded to ten digits."""
     before = F.lag("close").over(window(keys))
-    scale = F.greatest(F.log(F.col("high") / F.col("low")), F.abs(F.log(F.col("high") / before)), F.abs(F.log(F.col("low") / before)))
+    scale = F.greatest(log_ratio("high", "low"), F.abs(log_ratio(F.col("high"), before)), F.abs(log_ratio(F.col("low"), before)))
     rows = bars.withColumn("_scale", scale).crossJoin(F.broadcast(draws.select("seed", "alpha")))  # every draw copies the series
     z = [
         keyed_uniform(F.col("seed"), F.lit(source), *[F.col(k) for k in keys], F.col("open_time_ms"), F.lit(k), F.lit(0))

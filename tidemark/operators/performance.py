@@ -36,7 +36,7 @@ def describe(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def period_returns(path: DataFrame, keys: list[str], unit: str, value: str = "nav", time: str = "open_time_ms") -> DataFrame:
     """Return of each period's last row on the one before; the first period has none."""
     last = last_of_period(path, keys, unit, time)
-    return last.withColumn("ret", F.col(value) / F.lag(value).over(_w(keys, time)) - 1).where("ret IS NOT NULL")
+    return last.withColumn("ret", F.try_divide(F.col(value), F.lag(value).over(_w(keys, time))) - 1).where("ret IS NOT NULL")
 
 
 def histogram(rows: DataFrame, keys: list[str], value: str, bins: int = 20) -> DataFrame:
@@ -58,15 +58,15 @@ def histogram(rows: DataFrame, keys: list[str], value: str, bins: int = 20) -> D
 def accumulation(path: DataFrame, keys: list[str], value: str = "nav") -> DataFrame:
     """Adds the running sum of simple returns and the compounded return since the first row."""
     w = _w(keys)
-    rows = path.withColumn("ret", F.coalesce(F.col(value) / F.lag(value).over(w) - 1, F.lit(0.0)))
-    return rows.withColumns({"arithmetic": F.sum("ret").over(w), "compounded": F.col(value) / F.first(value).over(w) - 1})
+    rows = path.withColumn("ret", F.coalesce(F.try_divide(F.col(value), F.lag(value).over(w)) - 1, F.lit(0.0)))
+    return rows.withColumns({"arithmetic": F.sum("ret").over(w), "compounded": F.try_divide(F.col(value), F.first(value).over(w)) - 1})
 
 
 def drawdowns(path: DataFrame, keys: list[str], value: str = "nav") -> DataFrame:
     """Adds peak, drawdown (at or below 0), and the start and number of the spell under water."""
     w = _w(keys)
     rows = path.withColumn("peak", F.max(value).over(w))
-    rows = rows.withColumn("drawdown", F.col(value) / F.col("peak") - 1).withColumn("spell", F.sum((F.col(value) >= F.col("peak")).cast("int")).over(w))
+    rows = rows.withColumn("drawdown", F.try_divide(F.col(value), F.col("peak")) - 1).withColumn("spell", F.sum((F.col(value) >= F.col("peak")).cast("int")).over(w))
     under = F.col(value) < F.col("peak")
     start = F.min(F.when(under, F.col("open_time_ms"))).over(Window.partitionBy(*keys, "spell"))
     return rows.withColumn("under_ms", F.when(under, F.col("open_time_ms") - start).otherwise(0))
@@ -74,7 +74,7 @@ def drawdowns(path: DataFrame, keys: list[str], value: str = "nav") -> DataFrame
 
 def max_drawdown(path: DataFrame, keys: list[str], value: str = "nav") -> DataFrame:
     peak = path.withColumn("_peak", F.max(value).over(_w(keys)))
-    return peak.groupBy(*keys).agg(F.max((F.col("_peak") - F.col(value)) / F.col("_peak")).alias("max_drawdown"))
+    return peak.groupBy(*keys).agg(F.max(F.try_divide(F.col("_peak") - F.col(value), F.col("_peak"))).alias("max_drawdown"))
 
 
 def underwater_spells(path: DataFrame, keys: list[str], value: str = "nav") -> DataFrame:
@@ -103,13 +103,13 @@ def exposure(path: DataFrame, keys: list[str], exposed: str = "actual_exposure",
     ends = path.groupBy(*keys).agg(F.min_by(value, "open_time_ms").alias("_first"), F.max_by(value, "open_time_ms").alias("_last"))
     e = daily.groupBy(*keys).agg(F.avg((F.col(exposed) > 0).cast("int")).alias("exposed_ratio"), F.avg(exposed).alias("average_exposure"))
     both = e.join(ends, keys) if keys else e.crossJoin(F.broadcast(ends))  # one row each
-    adjusted = (F.col("_last") / F.col("_first") - 1) / F.nullif(F.col("average_exposure"), F.lit(0.0))
+    adjusted = (F.try_divide(F.col("_last"), F.col("_first")) - 1) / F.nullif(F.col("average_exposure"), F.lit(0.0))
     return both.select(*keys, "exposed_ratio", "average_exposure", adjusted.alias("adjusted_return"))
 
 
 def cagr(path: DataFrame, keys: list[str], value: str = "nav") -> DataFrame:
     ends = path.groupBy(*keys).agg(F.min_by(value, "open_time_ms").alias("_a"), F.max_by(value, "open_time_ms").alias("_b"), ((F.max("open_time_ms") - F.min("open_time_ms")) / DAY_MS).alias("_d"))
-    return ends.select(*keys, F.when((F.col("_a") > 0) & (F.col("_b") > 0) & (F.col("_d") > 0), F.pow(F.col("_b") / F.col("_a"), YEAR_DAYS / F.nullif(F.col("_d"), F.lit(0.0))) - 1).alias("cagr"))
+    return ends.select(*keys, F.when((F.col("_a") > 0) & (F.col("_b") > 0) & (F.col("_d") > 0), F.pow(F.try_divide(F.col("_b"), F.col("_a")), YEAR_DAYS / F.nullif(F.col("_d"), F.lit(0.0))) - 1).alias("cagr"))
 
 
 def sortino(path: DataFrame, keys: list[str], risk_free: float = 0.0, value: str = "nav") -> DataFrame:
@@ -141,7 +141,7 @@ def daily_beta(path: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFr
     a = path.groupBy(*keys, period_key("open_time_ms", "day").alias("day")).agg(F.max_by("nav", "open_time_ms").alias("a"))
     b = benchmark.groupBy(period_key("open_time_ms", "day").alias("day")).agg(F.max_by("value", "open_time_ms").alias("b"))
     w = _w(keys, "day")
-    both = a.join(b, "day").withColumns({"ra": F.col("a") / F.lag("a").over(w) - 1, "rb": F.col("b") / F.lag("b").over(w) - 1}).where("ra IS NOT NULL")
+    both = a.join(b, "day").withColumns({"ra": F.try_divide(F.col("a"), F.lag("a").over(w)) - 1, "rb": F.try_divide(F.col("b"), F.lag("b").over(w)) - 1}).where("ra IS NOT NULL AND rb IS NOT NULL")
     cov, var = F.covar_pop("ra", "rb"), F.var_pop("rb")
     return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (cov / F.nullif(var, F.lit(0.0))).alias("beta"), F.corr("ra", "rb").alias("correlation"))
 

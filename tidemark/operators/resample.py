@@ -107,10 +107,10 @@ def preclose_snapshots(ticks: DataFrame, keys: list[str], tz: str, before: int =
 def back_adjusted(bars: DataFrame, keys: list[str], low: float = 0.35, high: float = 2.85) -> DataFrame:
     """Scales all rows before a jump of the close out of [low, high] by that jump."""
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("open_time_ms")
-    ratio = F.col("close") / F.lag("close").over(w)
+    ratio = F.try_divide(F.col("close"), F.lag("close").over(w))  # null, hence no jump, after a close of 0
     rows = bars.withColumn("_jump", F.when((ratio < low) | (ratio > high), ratio).otherwise(1.0))
     back = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("open_time_ms").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    factor = F.exp(F.coalesce(F.sum(F.log("_jump")).over(back), F.lit(0.0)))
+    factor = F.exp(F.coalesce(F.sum(F.log(F.when(F.col("_jump") > 0, F.col("_jump")))).over(back), F.lit(0.0)))
     rows = rows.withColumn("_f", factor)
     return rows.select(*keys, "open_time_ms", *[(F.col(c) * F.col("_f")).alias(c) for c in ("open", "high", "low", "close")], "volume")
 
@@ -123,7 +123,7 @@ def leveraged(bars: DataFrame, keys: list[str], multiple: float, base: float = 1
     first = F.coalesce(F.col("previous_close"), F.col("open")) if "previous_close" in bars.columns else F.col("open")
     before = F.coalesce(F.lag("close").over(w), first)
     rows = bars.withColumn("_before", before)
-    growth = lambda c: 1 + multiple * (F.col(c) / F.col("_before") - 1)
+    growth = lambda c: 1 + multiple * F.coalesce(F.try_divide(F.col(c), F.col("_before")) - 1, F.lit(0.0))
     rows = rows.withColumn("_close", base * F.product(growth("close")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     start = F.coalesce(F.lag("_close").over(w), F.lit(base))
     return rows.select(*keys, "open_time_ms", (start * growth("open")).alias("open"), F.col("_close").alias("close"))

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.indicators import window
+from tidemark.operators.indicators import activity_terms, log_ratio, ratio, window
 
 
 def _latched(enter: Column, keep: Column, w: Window) -> Column:
@@ -76,7 +76,7 @@ def trend_deviation(rows: DataFrame, keys: list[str], value: str = "close", to:
     at = at.withColumns({"_b": F.regr_slope("_y", "_x").over(past), "_a": F.regr_intercept("_y", "_x").over(past)})
     at = at.withColumn("_e", F.when(F.col("_x") >= 2, F.col("_y") - F.col("_a") - F.col("_b") * F.col("_x")))
     spread = F.coalesce(F.stddev_samp("_e").over(past), F.lit(0.0))
-    return at.withColumn("_s", spread).withColumn(to, F.when((F.col("_x") >= 3) & (F.col("_s") > 0), F.col("_e") / F.nullif(F.col("_s"), F.lit(0.0)))).drop("_x", "_y", "_a", "_b", "_e", "_s")
+    return at.withColumn("_s", spread).withColumn(to, F.when((F.col("_x") >= 3) & (F.col("_s") > 0), ratio("_e", "_s"))).drop("_x", "_y", "_a", "_b", "_e", "_s")
 
 
 def blended_scale(rows: DataFrame, keys: list[str], normal: str, observed: str, kappa: float = 20.0, to: str = "effective_scale") -> DataFrame:
@@ -95,15 +95,7 @@ def future_activity(bars: DataFrame, keys: list[str], horizon: int) -> DataFrame
     w = window(keys)
     ahead = w.rowsBetween(1, horizon)
     before = F.lag("close").over(w)
-    rows = bars.withColumns(
-        {
-            "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)) / before,
-            "_hl": F.log(F.col("high") / F.col("low")),
-            "_on": F.log(F.col("open") / before),
-            "_oc": F.log(F.col("close") / F.col("open")),
-            "_rs": F.log(F.col("high") / F.col("close")) * F.log(F.col("high") / F.col("open")) + F.log(F.col("low") / F.col("close")) * F.log(F.col("low") / F.col("open")),
-        }
-    ).withColumn("_full", F.count(F.lit(1)).over(ahead) == horizon)
+    rows = bars.withColumns(activity_terms(before)).withColumn("_full", F.count(F.lit(1)).over(ahead) == horizon)
     k = 0.34 / (1.34 + (horizon + 1) / max(1, horizon - 1))
     zero = F.lit(0.0)
     yz = F.coalesce(F.var_samp("_on").over(ahead), zero) + k * F.coalesce(F.var_samp("_oc").over(ahead), zero) + (1 - k) * F.avg("_rs").over(ahead)
@@ -121,7 +113,7 @@ def normalized_sequence(bars: DataFrame, keys: list[str], lookback: int, to: str
     """Adds an array of [ln open, high, low, close against the close before] of the last lookback - 1 rows; null before there are enough."""
     w = window(keys)
     before = F.lag("close").over(w)
-    cell = F.array(*[F.log(F.col(c) / before) for c in ("open", "high", "low", "close")])
+    cell = F.array(*[log_ratio(F.col(c), before) for c in ("open", "high", "low", "close")])
     rows = bars.withColumns({"_c": cell, "_n": F.row_number().over(w)})
     frame = w.rowsBetween(-(lookback - 2), 0)
     return rows.withColumn(to, F.when(F.col("_n") >= lookback, F.collect_list("_c").over(frame))).drop("_c", "_n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidemark.operators import indicators as I
 from tidemark.operators import performance as P
-from tidemark.plans.base import BE, BEH, BO, DAY, HOUR, Book, DataFrame, F, SparkSession, rounded
+from tidemark.plans.base import BE, BEH, BO, DAY, HOUR, PRICED, Book, DataFrame, F, SparkSession, lr, rounded
 from tidemark.sources.bars import bars_events, bars_orders
 
 BOOK = Book()
@@ -145,7 +145,7 @@ def w1(spark: SparkSession, d: str) -> DataFrame:
 
 W = "WINDOW w AS (PARTITION BY event_type ORDER BY open_time_ms)"
 IND = f"""{BEH}, e0 AS (SELECT *, {EMA.format(a=2 / 22)} AS ema_fast, {EMA.format(a=2 / 113)} AS ema_slow, row_number() OVER w AS n, lag(close) OVER w AS pc, lag(close, 21) OVER w AS pc21, max(close) OVER (PARTITION BY event_type ORDER BY open_time_ms ROWS 111 PRECEDING) AS high_slow FROM be {W}),
-    e1 AS (SELECT *, ln(close / pc) AS log_return, ln(close / pc21) AS momentum, abs(close - pc) AS dc FROM e0),
+    e1 AS (SELECT *, {lr('close', 'pc')} AS log_return, {lr('close', 'pc21')} AS momentum, abs(close - pc) AS dc FROM e0),
     e2 AS (SELECT *, coalesce(stddev_samp(log_return) OVER (PARTITION BY event_type ORDER BY open_time_ms ROWS 20 PRECEDING), 0) AS sigma, coalesce(avg(dc) OVER (PARTITION BY event_type ORDER BY open_time_ms ROWS 14 PRECEDING), 0) AS vs, coalesce(avg(dc) OVER (PARTITION BY event_type ORDER BY open_time_ms ROWS 110 PRECEDING), 0) AS vl FROM e1),
     e3 AS (SELECT *, CASE WHEN vs > 0 AND vl > 0 THEN least(greatest(vs / vl, 0.1), 3) ELSE 1 END AS volatility_ratio FROM e2)"""
 
@@ -167,17 +167,17 @@ def w8(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_type", "open_time_ms", "regime", "time_multiplier", "beta_multiplier", "is_quiet")
 
 
-@add("w21_true_range", f"""WITH {BEH}, p AS (SELECT *, lag(close) OVER w AS pc FROM be {W}) SELECT event_type, open_time_ms, round(CASE WHEN pc IS NULL THEN ln(high / low) ELSE greatest(ln(high / low), abs(ln(high / pc)), abs(ln(low / pc))) END, 6) AS scale FROM p""")
+@add("w21_true_range", f"""WITH {BEH}, p AS (SELECT *, lag(close) OVER w AS pc FROM be {W}) SELECT event_type, open_time_ms, round(greatest({lr('high', 'low')}, abs({lr('high', 'pc')}), abs({lr('low', 'pc')})), 6) AS scale FROM p""")
 def w21(spark: SparkSession, d: str) -> DataFrame:
     return rounded(I.true_range_log(bars_events(spark, d, HOUR), ["event_type"]).select("event_type", "open_time_ms", "scale"))
 
 
-@add("w22_coordinates", f"""WITH {BEH}, p AS (SELECT *, lag(close) OVER w AS pc FROM be {W}) SELECT event_type, open_time_ms, round(ln(open / pc), 6) AS g, round(ln(close / open), 6) AS b, round(ln(high / greatest(open, close)), 6) AS u, round(ln(least(open, close) / low), 6) AS d FROM p WHERE pc IS NOT NULL""")
+@add("w22_coordinates", f"""WITH {BEH}, p AS (SELECT *, lag(close) OVER w AS pc FROM be WHERE {PRICED} {W}) SELECT event_type, open_time_ms, round(ln(open / pc), 6) AS g, round(ln(close / open), 6) AS b, round(ln(high / greatest(open, close)), 6) AS u, round(ln(least(open, close) / low), 6) AS d FROM p WHERE pc IS NOT NULL""")
 def w22(spark: SparkSession, d: str) -> DataFrame:
     return rounded(I.coordinates(bars_events(spark, d, HOUR), ["event_type"]).select("event_type", "open_time_ms", "g", "b", "u", "d"))
 
 
-@add("w23_reconstruction", f"""WITH {BE}, r AS (SELECT *, row_number() OVER w AS k, first_value(close) OVER w AS c0 FROM be {W}) SELECT event_type, open_time_ms, round(ln(open / c0), 6) AS open, round(ln(high / c0), 6) AS high, round(ln(low / c0), 6) AS low, round(ln(close / c0), 6) AS close FROM r WHERE k > 1""")
+@add("w23_reconstruction", f"""WITH {BE}, r AS (SELECT *, row_number() OVER w AS k, first_value(close) OVER w AS c0 FROM be WHERE {PRICED} {W}) SELECT event_type, open_time_ms, round(ln(open / c0), 6) AS open, round(ln(high / c0), 6) AS high, round(ln(low / c0), 6) AS low, round(ln(close / c0), 6) AS close FROM r WHERE k > 1""")
 def w23(spark: SparkSession, d: str) -> DataFrame:
     path = I.from_coordinates(I.coordinates(bars_events(spark, d), ["event_type"]).select("event_type", "open_time_ms", "g", "b", "u", "d"), ["event_type"], 1.0)
     return rounded(path.select("event_type", "open_time_ms", *[F.log(c).alias(c) for c in ("open", "high", "low", "close")]))
@@ -194,7 +194,7 @@ def w25(spark: SparkSession, d: str) -> DataFrame:
 
 L = 16
 ACT = f"""{BEH}, p AS (SELECT *, lag(close) OVER w AS pc, row_number() OVER w AS n FROM be {W}),
-    t AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) / pc AS tr0, ln(high / low) AS hl, ln(open / pc) AS ov, ln(close / open) AS oc, ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS rs FROM p),
+    t AS (SELECT *, CASE WHEN pc > 0 THEN greatest(high - low, abs(high - pc), abs(low - pc)) / pc END AS tr0, {lr('high', 'low')} AS hl, {lr('open', 'pc')} AS ov, {lr('close', 'open')} AS oc, ({lr('high', 'close')}) * ({lr('high', 'open')}) + ({lr('low', 'close')}) * ({lr('low', 'open')}) AS rs FROM p),
     t2 AS (SELECT *, CASE WHEN pc IS NULL THEN NULL ELSE tr0 END AS tr FROM t),
     act AS (SELECT *, CASE WHEN n >= {L} THEN avg(tr) OVER ws END AS tr_mean, CASE WHEN n >= {L} THEN stddev_samp(tr) OVER ws END AS tr_std, CASE WHEN n >= {L} THEN avg(hl) OVER wl END AS hl_mean, CASE WHEN n >= {L} THEN stddev_samp(hl) OVER wl END AS hl_std,
         CASE WHEN n >= {L} THEN sqrt(avg(hl * hl) OVER wl / (4 * ln(2))) END AS parkinson,
@@ -215,7 +215,7 @@ def w34(spark: SparkSession, d: str) -> DataFrame:
 
 
 @add("w36_forward_targets", f"""WITH {BEH}, p AS (SELECT *, lead(close, 20) OVER w AS c2, max(high) OVER (PARTITION BY event_type ORDER BY open_time_ms ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS hi, min(low) OVER (PARTITION BY event_type ORDER BY open_time_ms ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS lo FROM be {W}),
-    t AS (SELECT *, greatest(0, ln(hi / close)) AS up, greatest(0, ln(close / lo)) AS down FROM p WHERE c2 IS NOT NULL)
+    t AS (SELECT *, CASE WHEN close > 0 THEN greatest(0, {lr('hi', 'close')}) END AS up, CASE WHEN lo > 0 THEN greatest(0, {lr('close', 'lo')}) END AS down FROM p WHERE c2 IS NOT NULL)
     SELECT event_type, open_time_ms, (c2 > close)::INT AS direction, round(up, 6) AS up, round(down, 6) AS down, round(quantile_cont(CASE WHEN up + down > 0 THEN up + down END, 0.5) OVER (PARTITION BY event_type ORDER BY open_time_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 20 PRECEDING), 6) AS normaliser FROM t""")
 def w36(spark: SparkSession, d: str) -> DataFrame:
     return rounded(I.forward_targets(bars_events(spark, d, HOUR), ["event_type"], 20).select("event_type", "open_time_ms", "direction", "up", "down", "normaliser"))

@@ -23,6 +23,15 @@ HOUR = 3_600_000
 BE, BEH = be(), be(HOUR)
 
 
+def lr(a: str, b: str) -> str:
+    """SQL: ln(a / b) of positive prices, else null."""
+    return f"CASE WHEN {a} > 0 AND {b} > 0 THEN ln({a} / {b}) END"
+
+
+#: Bars whose prices are all positive.
+PRICED = "least(open, high, low, close) > 0"
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, and -0 made 0, so that the order of summation does not show."""
     return df.select(*[(F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
@@ -45,4 +54,4 @@ class Book:
         return put
 
 
-__all__ = ["BE", "BEH", "BO", "DAY", "HOUR", "Book", "Column", "DataFrame", "F", "SparkSession", "be", "rounded"]
+__all__ = ["BE", "BEH", "BO", "DAY", "HOUR", "Book", "Column", "DataFrame", "F", "SparkSession", "PRICED", "be", "lr", "rounded"]

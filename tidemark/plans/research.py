@@ -13,7 +13,7 @@ from tidemark.operators import sampling as G
 from tidemark.operators import simulate as S
 from tidemark.operators import states as W
 from tidemark.operators import strategy as B
-from tidemark.plans.base import BE, BEH, BO, DAY, HOUR, Book, DataFrame, F, SparkSession, rounded
+from tidemark.plans.base import BE, BEH, BO, DAY, HOUR, PRICED, Book, DataFrame, F, SparkSession, lr, rounded
 from tidemark.session import table
 from tidemark.sources.bars import bars_events, bars_orders
 
@@ -124,14 +124,14 @@ def F_window(*keys: str):
 AHEAD = "(PARTITION BY event_type ORDER BY open_time_ms ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)"
 
 
-@add("w37_future_activity", f"""WITH {BEH}, p AS (SELECT *, lag(close) OVER w AS pc FROM be {WIN}), t AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) / pc AS tr0, ln(high / low) AS hl, ln(open / pc) AS ov, ln(close / open) AS oc, ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS rs FROM p),
+@add("w37_future_activity", f"""WITH {BEH}, p AS (SELECT *, lag(close) OVER w AS pc FROM be {WIN}), t AS (SELECT *, CASE WHEN pc > 0 THEN greatest(high - low, abs(high - pc), abs(low - pc)) / pc END AS tr0, {lr('high', 'low')} AS hl, {lr('open', 'pc')} AS ov, {lr('close', 'open')} AS oc, ({lr('high', 'close')}) * ({lr('high', 'open')}) + ({lr('low', 'close')}) * ({lr('low', 'open')}) AS rs FROM p),
     a AS (SELECT event_type, open_time_ms, count(*) OVER {AHEAD} AS n, avg(tr0) OVER {AHEAD} AS m, stddev_samp(tr0) OVER {AHEAD} AS sd, sqrt(avg(hl * hl) OVER {AHEAD} / (4 * ln(2))) AS pk, sqrt(greatest(0, var_samp(ov) OVER {AHEAD} + (0.34 / (1.34 + 6 / 4.0)) * var_samp(oc) OVER {AHEAD} + (1 - 0.34 / (1.34 + 6 / 4.0)) * avg(rs) OVER {AHEAD})) AS yz FROM t)
     SELECT event_type, open_time_ms, round(CASE WHEN n = 5 THEN m END, 6) AS future_tr_mean, round(CASE WHEN n = 5 THEN sd END, 6) AS future_tr_std, round(CASE WHEN n = 5 THEN pk END, 6) AS future_parkinson, round(CASE WHEN n = 5 THEN yz END, 6) AS future_yang_zhang FROM a""")
 def w37(spark: SparkSession, d: str) -> DataFrame:
     return rounded(W.future_activity(bars_events(spark, d, HOUR), KEY, 5).select("event_type", "open_time_ms", "future_tr_mean", "future_tr_std", "future_parkinson", "future_yang_zhang"))
 
 
-@add("w35_normalized_sequence", f"""WITH {BE}, p AS (SELECT *, lag(close) OVER w AS pc, row_number() OVER w AS n FROM be {WIN}) SELECT event_type, open_time_ms, round(CASE WHEN n >= 8 THEN sum(ln(open / pc)) OVER (PARTITION BY event_type ORDER BY open_time_ms ROWS 6 PRECEDING) END, 6) AS opens, round(CASE WHEN n >= 8 THEN sum(ln(close / pc)) OVER (PARTITION BY event_type ORDER BY open_time_ms ROWS 6 PRECEDING) END, 6) AS closes FROM p""")
+@add("w35_normalized_sequence", f"""WITH {BE}, p AS (SELECT *, lag(close) OVER w AS pc, row_number() OVER w AS n FROM be {WIN}) SELECT event_type, open_time_ms, round(CASE WHEN n >= 8 THEN sum({lr('open', 'pc')}) OVER (PARTITION BY event_type ORDER BY open_time_ms ROWS 6 PRECEDING) END, 6) AS opens, round(CASE WHEN n >= 8 THEN sum({lr('close', 'pc')}) OVER (PARTITION BY event_type ORDER BY open_time_ms ROWS 6 PRECEDING) END, 6) AS closes FROM p""")
 def w35(spark: SparkSession, d: str) -> DataFrame:
     rows = W.normalized_sequence(bars_events(spark, d), KEY, 8)
     total = lambda i: F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x[i])
@@ -162,7 +162,7 @@ def l26(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.groupBy("event_type", "regions").agg(F.sum("n").alias("n"), F.avg("joint_nll").alias("joint_nll"), F.avg("calibration_error").alias("calibration_error")), 4)
 
 
-COORD = f"""{BE}, p AS (SELECT *, lag(close) OVER w AS pc FROM be {WIN}), c AS (SELECT event_type, row_number() OVER w - 1 AS idx, ln(open / pc) AS g, ln(close / open) AS b, ln(high / greatest(open, close)) AS u, ln(least(open, close) / low) AS d FROM p WHERE pc IS NOT NULL {WIN})"""
+COORD = f"""{BE}, p AS (SELECT *, lag(close) OVER w AS pc FROM be WHERE {PRICED} {WIN}), c AS (SELECT event_type, row_number() OVER w - 1 AS idx, ln(open / pc) AS g, ln(close / open) AS b, ln(high / greatest(open, close)) AS u, ln(least(open, close) / low) AS d FROM p WHERE pc IS NOT NULL {WIN})"""
 
 
 def coordinates(spark: SparkSession, d: str) -> DataFrame:
@@ -207,7 +207,7 @@ HASH = lambda i, j: f"('0x' || sha256(seed || '|orders|' || open_time_ms || '|{i
 Z = [f"({HASH(i, 0)} - {HASH(i, 1)})" for i in range(4)]
 
 
-@add("g9_perturbed_series", f"""WITH {BO}, p AS (SELECT *, lag(close) OVER (ORDER BY open_time_ms) AS pc FROM bo), s AS (SELECT *, CASE WHEN pc IS NULL THEN ln(high / low) ELSE greatest(ln(high / low), abs(ln(high / pc)), abs(ln(low / pc))) END AS sc FROM p),
+@add("g9_perturbed_series", f"""WITH {BO}, p AS (SELECT *, lag(close) OVER (ORDER BY open_time_ms) AS pc FROM bo), s AS (SELECT *, greatest({lr('high', 'low')}, abs({lr('high', 'pc')}), abs({lr('low', 'pc')})) AS sc FROM p),
     x AS (SELECT *, seed::VARCHAR AS seed_, ln(high) - ln(greatest(open, close)) AS up, ln(least(open, close)) - ln(low) AS dn FROM s, (VALUES (1, 0.05), (2, 0.2)) v(seed, alpha)),
     m AS (SELECT seed, alpha, sc, open, close, (ln(open) + ln(close)) / 2 + alpha * sc * {Z[0]} AS m, ln(close) - ln(open) + alpha * sc * {Z[1]} AS b FROM x)
     SELECT seed, alpha::DOUBLE AS alpha, count(*) AS n, round(max(abs(m - b / 2 - ln(open))), 5) AS open_max, round(max(abs(m + b / 2 - ln(close))), 5) AS close_max FROM m WHERE sc > 0 GROUP BY ALL""")
@@ -334,21 +334,34 @@ def g5(spark: SparkSession, d: str) -> DataFrame:
 
 
 LATTICE = {"x": (1, 7, False, True), "y": (1, 50, True, True), "z": (0, 4, False, False)}
-QUAL = "g AS (SELECT l_linenumber AS x, l_quantity::INT AS y, l_suppkey % 5 AS z, avg(l_extendedprice) AS v FROM lineitem WHERE l_discount >= 0.09 GROUP BY ALL)"
+QUAL = "g AS (SELECT l_linenumber AS x, l_quantity::INT AS y, l_suppkey % 5 AS z, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL)"
 
 
 def lattice(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_discount >= 0.09")
+    li = table(spark, d, "lineitem")
     g = li.groupBy(F.col("l_linenumber").alias("x"), F.col("l_quantity").cast("int").alias("y"), (F.col("l_suppkey") % 5).alias("z")).agg(F.avg("l_extendedprice").alias("v"))
     return g.withColumn("state", F.when(F.col("v") > 40_000, "qualified").otherwise("unqualified"))
 
 
-@add("l2_axis_tolerance", f"""WITH {QUAL}, f AS (SELECT x.r + 1 AS x, y.r + 1 AS y, z.r AS z FROM range(7) x(r), range(50) y(r), range(5) z(r)), s AS (SELECT f.*, CASE WHEN v > 40000 THEN 'q' WHEN v IS NULL THEN 'k' ELSE 'u' END AS st FROM f LEFT JOIN g USING (x, y, z)),
-    a AS (SELECT *, first_value(CASE WHEN st <> 'q' THEN y END IGNORE NULLS) OVER w AS ny, first_value(CASE WHEN st <> 'q' THEN st END IGNORE NULLS) OVER w AS ns FROM s WINDOW w AS (PARTITION BY x, z ORDER BY y ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
-    SELECT x, y, z, (coalesce(ny, 51) - y - 1)::INT AS steps, CASE ns WHEN 'u' THEN 'observed_failure' WHEN 'k' THEN 'unknown_gap' ELSE 'legal_boundary' END AS stop FROM a WHERE st = 'q'""")
+def _walks() -> str:
+    """SQL: the walk along each axis of the lattice, both ways."""
+    parts = []
+    for axis, (lo, hi, legal_lo, legal_hi) in LATTICE.items():
+        rest = ", ".join(x for x in LATTICE if x != axis)
+        for way, order, end, legal in (("up", "ASC", hi + 1, legal_hi), ("down", "DESC", lo - 1, legal_lo)):
+            over = f"OVER (PARTITION BY {rest} ORDER BY {axis} {order} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+            first = lambda c: f"first_value(CASE WHEN st <> 'q' THEN {c} END IGNORE NULLS) {over}"
+            edge = "legal_boundary" if legal else "research_boundary"
+            parts.append(
+                f"SELECT x, y, z, '{axis}' AS axis, '{way}' AS direction, (abs(coalesce(na, {end}) - {axis}) - 1)::INT AS steps, CASE ns WHEN 'u' THEN 'observed_failure' WHEN 'k' THEN 'unknown_gap' ELSE '{edge}' END AS stop "
+                f"FROM (SELECT *, {first(axis)} AS na, {first('st')} AS ns FROM s) WHERE st = 'q'"
+            )
+    return " UNION ALL ".join(parts)
+
+
+@add("l2_axis_tolerance", f"""WITH {QUAL}, f AS (SELECT x.r + 1 AS x, y.r + 1 AS y, z.r AS z FROM range(7) x(r), range(50) y(r), range(5) z(r)), s AS (SELECT f.*, CASE WHEN v > 40000 THEN 'q' WHEN v IS NULL THEN 'k' ELSE 'u' END AS st FROM f LEFT JOIN g USING (x, y, z)) {_walks()}""")
 def l2(spark: SparkSession, d: str) -> DataFrame:
-    found = R.tolerance(lattice(spark, d).select("x", "y", "z", "state"), LATTICE)
-    return found.where("axis = 'y' AND direction = 'up'").select("x", "y", "z", "steps", "stop")
+    return R.tolerance(lattice(spark, d).select("x", "y", "z", "state"), LATTICE).select("x", "y", "z", "axis", "direction", "steps", "stop")
 
 
 @add("u11_medoid_cost", """WITH RECURSIVE q AS (SELECT x, y FROM (SELECT l_linenumber AS x, (l_quantity // 5)::INT AS y, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL) WHERE v > 30000),
@@ -419,8 +432,8 @@ def l17(spark: SparkSession, d: str) -> DataFrame:
 @add("l18_activity_scale", None)
 def l18(spark: SparkSession, d: str) -> DataFrame:
     rows = I.activity(bars_events(spark, d, HOUR), KEY, 16)
-    rows = I.forward_targets(rows, KEY, 5).withColumn("space", F.col("up") + F.col("down")).withColumn("at", F.concat_ws(":", F.lpad(F.col("open_time_ms").cast("string"), 16, "0"), "event_type"))
-    m = L.activity_scale(rows, ["tr_mean", "tr_std", "parkinson"], "space", "at", 100)
+    rows = I.forward_targets(rows, KEY, 5).withColumn("space", F.col("up") + F.col("down"))
+    m = L.activity_scale(rows, ["tr_mean", "tr_std", "hl_mean", "hl_std", "parkinson", "yang_zhang"], "space", "open_time_ms")
     return rounded(spark.createDataFrame([(float(m["constant"]), float(sum(m["weights"].values())), float(m["mean_error"]), float(m["p90_error"]))], "constant double, weight_sum double, mean_error double, p90_error double"), 4)
 
 

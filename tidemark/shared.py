@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's spark.checkpoint.dir; only where that is unset, as in tests, one in /tmp is taken."""
+    """A fresh folder below the cluster's spark.checkpoint.dir; where that is unset, a local master (as in tests) gets one in /tmp, any other an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = "/tmp/tidemark-checkpoints"
         spark.sparkContext.setCheckpointDir(base)

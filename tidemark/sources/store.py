@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidemark.sources.bars import checked_blocks
 from tidemark.sources.upsert import upsert, with_parents
@@ -19,9 +19,12 @@ def _months(rows: DataFrame) -> DataFrame:
 def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The table at a path, or no rows where there is none yet."""
     try:
-        return spark.read.parquet(path).select(*like.columns, MONTH)
-    except AnalysisException:
+        found = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return _months(like.limit(0))
+    return found.select(*like.columns, MONTH)
 
 
 def put_bars(rows: DataFrame, path: str, keys: list[str]) -> None:
