@@ -9,12 +9,12 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.shared import shared_folder, written
 
-__all__ = ["LOWER", "PLAIN_GAP", "SPACE_WORD", "UPPER", "buffers", "lower_ascii", "per_process", "shared_folder", "without", "written"]
+__all__ = ["LOWER", "PLAIN_GAP", "SPACE_WORD", "UPPER", "buffers", "lower_ascii", "one_a_task", "per_process", "shared_folder", "split_join", "without", "written"]
 
 #: Words are runs of anything but ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -51,7 +51,28 @@ def per_process(key: str, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def one_a_task(manifest: DataFrame, order: str) -> DataFrame:
+    """The rows of a table of files, each in a task of its own, whatever their sizes: a row stands for a whole file."""
+    at = F.row_number().over(Window.orderBy(order)) - 1  # as many rows as there are files
+    return manifest.withColumn("_at", at).repartitionById(max(1, manifest.count()), F.col("_at")).drop("_at")
+
+
 def without(docs: DataFrame, *names: str) -> DataFrame:
     """docs but for columns of these names, whatever their case: those an operator adds."""
     taken = {n.lower() for n in names}
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
+
+
+def split_join(rows: DataFrame, sized: DataFrame, keys: list[str], total: int, tie: list[str], how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with `sized`, which has one row a key and a column n: how many of the `total` rows have the key.
+
+    A key with more than a 1024th of all rows is dealt to as many parts as its share asks, by the hash of the columns `tie`, and
+    its row in sized goes to each of them, so no task gets more of one key. There are fewer than 1024 such keys, which bounds
+    the list that is broadcast. n is left out of the result.
+    """
+    limit = max(500, total // 1024)
+    parts = F.greatest(F.ceil(F.col("n") / limit), F.lit(1)).cast("int")
+    hot = sized.where(F.col("n") > limit).select(*keys, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(*tie), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    spread = sized.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return dealt.join(spread, [*keys, "_part"], how).drop("_part")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import buffers, written
+from tidemark.llm.common import buffers, split_join, written
 from tidemark.llm.components import components, forest
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
@@ -168,6 +168,8 @@ def links(points: DataFrame, threshold: int = THRESHOLD, crowd: int = 4096) -> D
     if threshold > 4:
         raise ValueError("this covering holds for 4 bits or fewer")
     spark = points.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    points = points.select("fp").repartition(n, "fp")  # few bytes, but each becomes many copies
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +201,6 @@ def links(points: DataFrame, threshold: int = THRESHOLD, crowd: int = 4096) -> D
     every = F.sequence(F.lit(0), F.when(F.col("home"), c).otherwise(h) - 1)
     block = F.explode(F.transform(every, lambda x: F.when(F.col("home"), own * c + x).otherwise(x * c + own)))
     rows = rows.select("anchor", "home", "fp", block.alias("block"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "anchor", "block").select((F.col("anchor") * 4096 + F.col("block")).alias("key"), "home", "fp")
     dealt = dealt.sortWithinPartitions("key")
 
@@ -230,6 +231,14 @@ def links(points: DataFrame, threshold: int = THRESHOLD, crowd: int = 4096) -> D
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def named(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(fp, least, root, n) of each fingerprint of prints (doc_id, fp): its smallest id and its rows, and the fingerprint that
+    stands for its component."""
+    points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    found = components(links(points.select("fp"), threshold))
+    return points.join(found, points["fp"] == found["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row: 16 hex digits, and the smallest id that links reach.
 
@@ -237,9 +246,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     null id is the component of documents whose ids are all null. Empty tables stay empty.
     """
     prints = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_of(F.col(text)).alias("fp")))
-    points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(points.select("fp"), threshold))
-    of_point = points.join(found, points["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = of_point.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of_point.select("fp", "root").join(roots, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_point = written(named(prints, threshold))
+    roots = of_point.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    own = split_join(of_point.select("fp", "root", F.col("n").alias("_rows")), roots, ["root"], of_point.count(), ["fp"])
+    sized = own.select("fp", "component_id", F.col("_rows").alias("n"))
+    both = split_join(prints, sized, ["fp"], prints.count(), ["doc_id"])
+    return both.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of docs that stay when of each component one row is kept, that with the smallest doc_id.
+
+    Of rows that share that id the one whose text has the smallest hash stays, of rows alike in id and text the one whose columns
+    have; a null id comes after all others. Rows that share an id but lie in unlike components do not touch each other. Texts are
+    shuffled once, copies of one row are brought down to one before. Columns keep their names and order.
+    """
+    columns = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    at = {c: f"c{i}" for i, c in enumerate(columns)}
+    hashable = [f"c{i}" for i, f in enumerate(docs.schema.fields) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    row = plain.select(F.col(at[doc_id]).alias("doc_id"), F.xxhash64(at[text]).alias("hash"), F.struct(*plain.columns).alias("row"), F.xxhash64(*hashable).alias("order"))
+    prints = written(plain.select(F.col(at[doc_id]).alias("doc_id"), F.xxhash64(at[text]).alias("hash"), fingerprint_of(F.col(at[text])).alias("fp")))
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "hash")).alias("first"))
+    best = named(prints, threshold).join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = best.select(F.col("first.doc_id").alias("_id"), F.col("first.hash").alias("_hash"))
+    single = row.groupBy("doc_id", "hash").agg(F.min_by("row", "order").alias("row"))
+    kept = single.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi")
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)])
