@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import per_process, written
+from tidemark.llm.common import one_a_task, per_process, written
 
 MAGIC = b"TIDESST1"
 #: Bloom filter place, index place, index size, blocks, documents, ids, the width of an id in bytes, magic.
@@ -346,7 +346,7 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield _batch(rows)
 
-    files = manifest.select("file", before.alias("start")).repartition("file")
+    files = one_a_task(manifest.withColumn("start", before), "shard").select("file", "start")
     return files.mapInArrow(read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_folder, written
+from tidemark.llm.common import one_a_task, shared_folder, split_join, written
 
 #: The magic number of a dictionary's skippable frame.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -42,23 +42,22 @@ def payloads_of(pages: DataFrame, page_id: str = "page_id", html: str = "html")
 def with_revisits(rows: DataFrame, least: int = 1000) -> DataFrame:
     """Adds refers_to to rows of payloads_of(): null for responses.
 
-    Copies meet by digest and length; counts are added up before the shuffle, and only keys
-    that repeat are joined back, so a page copied into a third of all rows is no hot group.
+    Copies meet by digest and length; counts are added up before the shuffle, and the copies of one page are dealt to
+    several tasks where they are many. A payload of a revisit is not carried on, only its digest and length.
     Pages alike in id and payload are all responses; a null id is smaller than any other.
     """
-    copies = rows.where(F.col("length") >= least).groupBy("digest", "length").agg(F.max("page_id").alias("_kept"), F.count(F.lit(1)).alias("_n"))
-    kept = copies.where("_n > 1").select("digest", "length", "_kept")
-    found = rows.join(kept, ["digest", "length"], "left")
+    kept = rows.where(F.col("length") >= least).groupBy("digest", "length").agg(F.max("page_id").alias("_kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
     other = F.col("_kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_kept"))
-    return found.select("page_id", "url", "payload", "digest", F.when(other, F.col("_kept")).alias("refers_to"))
+    found = split_join(rows, kept, ["digest", "length"], rows.count(), ["page_id"], "left").withColumn("refers_to", F.when(other, F.col("_kept")))
+    return found.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "length", "refers_to")
 
 
 def record_uri(page_id: Column) -> Column:
     return F.concat(F.lit("urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")))
 
 
-def _block(payload: bytes, digest: str, uri: str, url: str | None, refers_to: str | None) -> bytes:
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def _block(payload: bytes | None, digest: str, length: int, uri: str, url: str | None, refers_to: str | None) -> bytes:
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
     body = http if refers_to is not None else http + payload
     head = [
         "WARC/1.1",
@@ -78,20 +77,19 @@ def _block(payload: bytes, digest: str, uri: str, url: str | None, refers_to: st
 
 def dictionary(rows: DataFrame, records: int = 400, longest: int = 65536, size: int = 32768) -> bytes:
     """A dictionary of at most `size` bytes from a bounded sample: whole payloads of at most `longest`
-    bytes, the `records` of them with the smallest hashes. Too few give an empty dictionary."""
+    bytes, the `records` of them with the smallest hashes. Where they are too few or too alike to train on, the dictionary is
+    their own bytes, after an empty record's."""
     few = rows.where(F.length("payload").between(64, longest))
     # twice the records wanted are taken by hash before they are ordered: else every task would send so many to the driver
     share = min(1.0, 2 * records / max(1, few.count()))
     spot = F.pmod(F.xxhash64("page_id", "digest"), F.lit(1 << 30))
     near = few.where(spot < F.lit(math.ceil(share * (1 << 30))))
-    sample = near.orderBy(spot, "digest").limit(records).select("payload", "digest", record_uri(F.col("page_id")), "url").collect()
-    texts = [_block(bytes(r[0]), r[1], r[2], r[3], None) for r in sample]
-    if len(texts) < 20:
-        return b""
+    sample = near.orderBy(spot, "digest").limit(records).select("payload", "digest", "length", record_uri(F.col("page_id")), "url").collect()
+    texts = [_block(bytes(r[0]), r[1], r[2], r[3], r[4], None) for r in sample]
     try:
         return zstandard.train_dictionary(size, texts).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    except (zstandard.ZstdError, ValueError):
+        return b"".join([_block(b"", hashlib.sha1(b"").hexdigest(), 0, "urn:page:0", "http://", None), *texts])[:size]
 
 
 def write(rows: DataFrame, folder: str, trained: bytes, level: int = 6) -> DataFrame:
@@ -100,25 +98,23 @@ def write(rows: DataFrame, folder: str, trained: bytes, level: int = 6) -> DataF
     A file appears whole, under a name of its own for each attempt; the table names those
     of the attempts that counted, so a task that is run again leaves nothing wrong behind.
     """
-    packed = zstandard.ZstdCompressor(level=19).compress(trained) if trained else b""
-    records = rows.select("payload", "digest", record_uri(F.col("page_id")).alias("uri"), "url", F.when(F.col("refers_to").isNotNull(), record_uri(F.col("refers_to"))).alias("refers"))
+    packed = zstandard.ZstdCompressor(level=19).compress(trained)
+    records = rows.select("payload", "digest", "length", record_uri(F.col("page_id")).alias("uri"), "url", F.when(F.col("refers_to").isNotNull(), record_uri(F.col("refers_to"))).alias("refers"))
 
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, base = pafs.FileSystem.from_uri(folder)
         target.create_dir(base, recursive=True)
         short = f"records-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}.warc.zst"
         name = f"{base}/{short}"
-        packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained)) if trained else zstandard.ZstdCompressor(level=level)
+        packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained))
         n = size = 0
         out = None
         for batch in batches:
             for i in range(batch.num_rows):
                 if out is None:
                     out = target.open_output_stream(name + ".part", buffer_size=1 << 20)
-                    if packed:
-                        out.write(struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed)
-                payload, digest, uri, url, refers = (batch.column(c)[i].as_py() for c in range(5))
-                frame = packer.compress(_block(payload, digest, uri, url, refers))
+                    out.write(struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed)
+                frame = packer.compress(_block(*(batch.column(c)[i].as_py() for c in range(6))))
                 out.write(frame)
                 n, size = n + 1, size + len(frame)
         if out is not None:
@@ -180,7 +176,7 @@ def read(spark: SparkSession, manifest: DataFrame, payloads: bool = True) -> Dat
                 if rows:
                     yield _batch(rows, names)
 
-    files = manifest.select("file").repartition("file")
+    files = one_a_task(manifest, "file")
     return files.mapInArrow(read_files, SCHEMA)
 
 
