@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE_WORD, without
 
+#: Spots that documents are dealt to before their source's number of shards is known: so many at least, and two for each shard that all
+#: documents could fill.
 SPOTS = 4096
 OWN = ("mix_size", "mix_source_size", "mix_target", "mix_taken", "_source", "_spot", "_shard", "_words", "_quota", "_n", "_to", "_start", "_run")
 
@@ -93,18 +95,19 @@ def mix(
 
     A null or empty text has size 0 and takes 0. A null source is a source of its own, last. No
     row takes more than cap times its size. A source's taken words differ from its target by about
-    a block and what its shards' last, shorter blocks lack. Rows alike in id and size are
-    interchangeable. An empty table gives an empty one. Columns of docs named
+    a block and what its shards' last, shorter blocks lack. Rows of one id stand by the hash of
+    their texts; rows alike in both are interchangeable. An empty table gives an empty one. Columns of docs named
     like those added, or like this function's own (see OWN), are left out.
     """
     docs = without(docs, *OWN)
+    spots_in_all = max(SPOTS, 1 << (2 * docs.count() // docs_per_shard).bit_length())
     named = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))
-    sized = docs.withColumns({"mix_size": n_words(F.col(text)), "_source": named, "_spot": _spot(seed, F.col(doc_id)) % SPOTS})
+    sized = docs.withColumns({"mix_size": n_words(F.col(text)), "_source": named, "_spot": _spot(seed, F.col(doc_id)) % spots_in_all})
     spots = sized.groupBy("_source", "_spot").agg(F.first(source).alias("source"), F.sum("mix_size").alias("words"), F.count(F.lit(1)).alias("n"))
     sources = spots.groupBy("_source").agg(F.first("source").alias("source"), F.sum("words").alias("size"), F.sum("n").alias("n"))
     sources = targets(sources, weights, cap).withColumn("_all", F.floor(F.sum("size").over(Window.partitionBy(F.lit(0))) / block + 0.5).cast("long"))
     sources = apportion(sources, [], ["_source"], "target", "_all", "_blocks").withColumn(
-        "_shards", F.least(F.ceil(F.col("n") / docs_per_shard), F.lit(SPOTS)).cast("long")
+        "_shards", F.ceil(F.col("n") / docs_per_shard).cast("long")
     )
     of_source = sources.select("_source", "size", "target", "_blocks", "_shards")
     spots = spots.select("_source", "_spot", "words").join(of_source, "_source").withColumn("_shard", F.col("_spot") % F.col("_shards"))
@@ -117,7 +120,7 @@ def mix(
     n = F.ceil(F.col("_words") / block).cast("long")
     rows = rows.withColumn("_n", F.greatest(n, F.lit(1))).withColumn("_quota", F.least(F.col("_quota"), F.col("_n") * cap))
     start = _spot(seed, F.col("_source"), F.col("_shard")) % F.col("_n") * block
-    order = Window.partitionBy("_source", "_shard").orderBy(_spot(seed + 1, F.col(doc_id)), doc_id, "mix_size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("_source", "_shard").orderBy(_spot(seed + 1, F.col(doc_id)), doc_id, "mix_size", F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"_to": F.sum("mix_size").over(order), "_start": start, "_run": F.col("_quota") % F.col("_n") * block})
     end, whole = F.col("_start") + F.col("_run"), F.col("_n") * block
 
