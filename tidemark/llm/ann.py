@@ -19,6 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RESULT = "query_id long, vec_id long, score double"
+#: Rows a part, and the least and most parts of a table; rows of the sample for each part.
+ROWS, LEAST_PARTS, MOST_PARTS, SAMPLED = 32_768, 16, 1024, 64
+#: Components that a block of one side holds.
+BLOCK = 1 << 21
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -145,10 +149,15 @@ def matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.n
     return x[ok], at[ok]
 
 
-def learn(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = 8192, parts: int = 16, recall: float = 0.96) -> Router:
-    """Fits a router to a bounded sample of about `sample` rows, those with the smallest hashes of their
-    ids: one half gives the parts, the other tells how many parts to probe for the recall."""
+def learn(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = 8192, parts: int | None = None, recall: float = 0.96) -> Router:
+    """Fits a router to a bounded sample, those rows with the smallest hashes of their ids: one half gives the parts, the
+    other tells how many parts to probe for the recall.
+
+    Unless given, the parts grow with the table, one for each ROWS rows from LEAST_PARTS to MOST_PARTS, and the sample with
+    them: about `sample` rows, or SAMPLED rows a part where these are more, so never more than SAMPLED * MOST_PARTS."""
     n = vectors.count()
+    parts = parts or min(MOST_PARTS, max(LEAST_PARTS, n // ROWS))
+    sample = max(sample, SAMPLED * parts)
     rows = vectors.where(F.col(embedding).isNotNull())
     if n > sample:
         rows = rows.where(F.pmod(F.xxhash64(vec_id), F.lit(1 << 30)) < F.lit(int(sample / n * (1 << 30))))
@@ -196,7 +205,7 @@ def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, router: Router, k: int = 5, probes: int | None = None, block: int = 8192, vec_id: str = "vec_id", embedding: str = "embedding"
+    vectors: DataFrame, queries: DataFrame, router: Router, k: int = 5, probes: int | None = None, block: int | None = None, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows in the parts it is sent to.
 
@@ -204,8 +213,9 @@ def search(
     zero, hold a null or non-finite component, have another number of components or a null id
     take no part. probes is the router's own unless given; a query goes on to further parts until those hold more than k rows; with
     fewer candidates it gets all. Repeated ids are one candidate, the nearest. Empty tables
-    give no row.
+    give no row. A part's rows and the queries sent there meet in blocks of `block` rows (about BLOCK components unless given).
     """
+    block = block or max(1024, BLOCK // router.width)
     base = routed(vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding")).where("vec_id IS NOT NULL"), router)
     base = base.where(F.size("_parts") > 0).withColumn("part", F.col("_parts")[0]).drop("_parts")
     asked = routed(queries.select(F.col(vec_id).alias("query_id"), F.col(embedding).alias("embedding")).where("query_id IS NOT NULL"), router).where(F.size("_parts") > 0)
