@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import buffers, written
+from tidemark.llm.common import buffers, split_join, written
 from tidemark.llm.components import components
 
 SHINGLE, LONG, LEAST, REACH = 5, 64, 16, 16
@@ -319,20 +319,26 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     bodies = fresh.select("hash", "body").join(wanted, "hash", "left_semi").groupBy("hash").agg(F.first("body").alias("body"))
     met = shared.join(bodies, "hash").select("bucket", "hash", "body")
     links = met.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_verify(threshold), "a long, b long")
-    found = written(components(links))
-    rows = cut.select("doc_id", "par", "word", "n", "fine", "hash").join(found, F.col("hash") == F.col("node"), "left")
-    rows = rows.select("doc_id", "par", "word", "n", "fine", F.coalesce("root", "hash").alias("cluster"))
-    first = F.min(F.struct("doc_id", "par"))
-    clusters = rows.groupBy("cluster").agg(first.alias("first"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("doc_id").alias("known"), F.count(F.lit(1)).alias("members"))
-    several = (F.col("least") != F.col("most")) | ((F.col("known") > 0) & (F.col("known") < F.col("members")))
-    clusters = written(clusters.where(several).select("cluster", "first", "least", "members"))
-    return rows.join(clusters, "cluster").select(
+    found = components(links)
+    # what is known of each hash, added up before the shuffle; most stand in one document alone and go no further
+    per = cut.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("doc_id").alias("known"), F.count(F.lit(1)).alias("n"))
+    several = (F.col("least") != F.col("most")) | ((F.col("known") > 0) & (F.col("known") < F.col("n")))
+    per = per.join(found, F.col("hash") == F.col("node"), "left").where(several | F.col("root").isNotNull())
+    per = written(per.select("hash", F.coalesce("root", "hash").alias("cluster"), "least", "most", "known", "n"))
+    clusters = per.groupBy("cluster").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("known").alias("known"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("hashes"))
+    clusters = clusters.where(several).select("cluster", F.col("least").alias("cluster_doc"), F.col("n").alias("members"), F.col("hashes").alias("n"))
+    wanted = split_join(per.select("hash", "cluster", F.col("n").alias("rows")), clusters, ["cluster"], per.count(), ["hash"])
+    wanted = written(wanted.select("hash", "cluster", "cluster_doc", "members", F.col("rows").alias("n")))
+    total = cut.count()
+    rows = split_join(cut.select("doc_id", "par", "word", F.col("n").alias("n_words"), "fine", "hash"), wanted, ["hash"], total, ["doc_id", "par"])
+    first = F.min("par").over(Window.partitionBy("cluster", "doc_id"))
+    return rows.select(
         "doc_id",
         F.col("par").alias("paragraph"),
         F.col("word").alias("first_word"),
-        F.col("n").alias("n_words"),
+        "n_words",
         F.col("fine").alias("exact_only"),
-        F.col("least").alias("cluster_doc"),
+        "cluster_doc",
         "members",
-        F.struct("doc_id", "par").eqNullSafe(F.col("first")).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("cluster_doc")) & (F.col("par") == first)).alias("kept"),
     )
