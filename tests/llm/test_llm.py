@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -209,7 +210,7 @@ def test_code_lengths_are_those_of_a_plain_ppm():
 
 def test_language_id_on_held_out_documents(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model = language_id.train(docs.where(~language_id.held_out()), order_by=F.col("doc_id"))
+    model = language_id.train(docs.where(~language_id.held_out()))
     found = language_id.predict(docs, model).where(language_id.held_out())
     right, n = found.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int")), F.count("*")).first()
     assert n > 30 and right > 0.95
@@ -424,6 +425,18 @@ def test_components_of_chains_and_stars(spark):
 # op6
 
 
+def brute_templates(w, templates):
+    """The best share of each template's words in any run of 64 words, or of twice its own number where that is more."""
+    best = {}
+    for label, template in templates.items():
+        v = plain_words(template)
+        s, block = set(v), max(64, 2 * len(v))
+        for i in range(max(len(w) - block, 0) + 1):
+            if (c := len(s & set(w[i : i + block])) / len(s)) >= 0.8:
+                best[label] = max(best.get(label, 0), c)
+    return best
+
+
 def test_license_scan_equals_brute_force(spark, odd_docs, no_docs):
     long = " ".join(rng_words(11, 500)) + " This work is licensed under the GNU General Public License, version 3. " + " ".join(rng_words(12, 300))
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()] + [
@@ -439,15 +452,7 @@ def test_license_scan_equals_brute_force(spark, odd_docs, no_docs):
     for doc_id, text in rows:
         w = plain_words(text)
         places = [(k, label) for p, label in license_scan.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
-        best = {}
-        for line in (text or "").split("\n"):
-            v = plain_words(line)
-            for k in range(max(0, -(-(len(v) - 64) // 32)) + 1):
-                for label, t in license_scan.TEMPLATES.items():
-                    s = set(plain_words(t))
-                    c = len(set(v[32 * k : 32 * k + 64]) & s) / len(s)
-                    if c >= 0.8:
-                        best[label] = max(best.get(label, 0), c)
+        best = brute_templates(w, license_scan.TEMPLATES)
         at = [k for k, _ in places]
         expected.append((doc_id, len(w), len(at), min(at, default=None), max(at, default=None), sorted({x for _, x in places}), sorted(best), max(best.values(), default=0.0)))
     real = [(x.doc_id, x.scan_words, x.scan_base, x.scan_first, x.scan_last, sorted(x.scan_labels), x.scan_templates, x.scan_score) for x in got]
@@ -469,21 +474,23 @@ def test_license_query_reads_across_lines(spark, odd_docs, tmp_path):
             w.insert(r.randrange(len(w)), "\n".join(rng_words(r.randrange(99), r.choice([1, 20, 50]))))
         text = [*rng_words(k, r.choice([0, 30, 63, 64, 65, 128, 400])), *w, *rng_words(k + 50, r.choice([0, 40, 64, 300]))]
         rows.append((100 + k, "".join(x + r.choice([" ", "\n"]) for x in text)))
+    for k, label in enumerate(("mit-text", "bsd-2-text", "apache-2.0-header", "gpl-header")):  # wrapped at 72 columns as comments, with words changed
+        lines = textwrap.wrap(t[label], 72)
+        rows.append((300 + k, " */\nint main() {}\n * ".join([" ".join(rng_words(90 + k, 300)), "\n * ".join(lines), "x y z"])))
+        rows.append((400 + k, "\n".join(x.replace("the", "THE ").replace("any", "some") for x in lines)))
+        rows.append((500 + k, "\n".join(x for j, x in enumerate(lines) if j % 2)))
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(x.doc_id, x.labels, round(x.score, 9)) for x in op6_license_scan(spark, str(tmp_path)).collect()}
     expected = set()
     for doc_id, text in rows:
-        w, best = plain_words(text), {}
-        for i in range(max(len(w) - 64, 0) + 1):
-            for label, words in t.items():
-                s = set(plain_words(words))
-                if (c := len(s & set(w[i : i + 64])) / len(s)) >= 0.8:
-                    best[label] = max(best.get(label, 0), c)
+        w = plain_words(text)
+        best = brute_templates(w, t)
         said = f" {' '.join(w)} "
         base = {label for p, label in license_scan.PHRASES.items() if f" {p} " in said}
         expected.add((doc_id, ",".join(sorted(base | set(best))), round(max(best.values(), default=0.0), 9)))
     assert got == expected
     assert {(30, "bsd", 1.0), (31, "mpl-2.0", 1.0)} <= got
+    assert all(any(i == 300 + k and label in labels.split(",") for i, labels, _ in got) for k, label in enumerate(("mit-text", "bsd-2-text", "apache-2.0-header", "gpl-header")))
 
 
 # op7

@@ -98,7 +98,7 @@ class Model:
         n = np.array([c for _, _, c in counts], float)
         self.trees = [ContextTree(grams[which == i], n[which == i]) for i in range(len(self.langs))]
         self.known = np.unique(grams)
-        self.table = self._bits(self.known).astype(np.float32)
+        self.table = self._bits(self.known)
 
     def _bits(self, grams: np.ndarray) -> np.ndarray:
         return np.stack([t.bits(grams) for t in self.trees], 1) if self.trees else np.zeros((len(grams), 0))
@@ -121,21 +121,22 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", order_by: Column | None = None, max_texts: int = 1500) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_texts: int = 1500) -> Model:
     """Learns the context trees from labelled rows.
 
-    A language with more than max_texts labelled texts is learnt from a sample of about so
-    many whole texts, those with the smallest hashes of order_by (the text by default); this
-    bounds the model and what reaches the driver. Rows with a null text or label are left
-    out. No rows at all give a model that knows no language.
+    A language with more than max_texts unlike texts is learnt from a sample of about so many whole texts, those with
+    the smallest hashes, so the model depends on nothing but texts and labels; this bounds the model and what reaches the
+    driver. Copies of a text under one label count once. Rows with a null text or label are left out. No rows at all
+    give a model that knows no language.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    sizes = {r[0]: max(1, r[1]) for r in rows.groupBy(lang).agg(F.approx_count_distinct(F.xxhash64(text))).collect()}
     if not sizes:
         return Model([])
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_texts / n))])
-    spot = F.pmod(F.xxhash64(order_by if order_by is not None else F.col(text)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(spot < F.element_at(share, F.col(lang))).select(F.col(lang).alias("lang"), F.lower(text).cast("binary").alias("data"))
+    spot = F.pmod(F.xxhash64(text), F.lit(1 << 30)) / float(1 << 30)
+    chosen = rows.where(spot < F.element_at(share, F.col(lang))).select(F.col(lang).alias("lang"), F.col(text).alias("text")).distinct()
+    chosen = chosen.select("lang", F.lower("text").cast("binary").alias("data"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

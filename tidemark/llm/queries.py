@@ -18,7 +18,7 @@ def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = language_id.train(docs.where(~language_id.held_out()), order_by=F.col("doc_id"))
+    model = language_id.train(docs.where(~language_id.held_out()))
     return language_id.predict(docs.select("doc_id", language_id.held_out().alias("held_out"), "text"), model).drop("text")
 
 
@@ -47,7 +47,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), across_lines=True)
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     both = F.array_sort(F.array_distinct(F.concat("scan_labels", "scan_templates")))
     return found.select(
         "doc_id",
