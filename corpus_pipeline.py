@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages from documents to token shards.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again
-before the next. All but the last return the columns of documents.
+before the next. All but the last return the columns of documents, extra ones too, whatever their names: the operators see
+numbered columns, so none of theirs can clash. An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -10,41 +11,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, language_id, mixing, simhash, sst
-from tidemark.llm.common import shared_folder, without, written
+from tidemark.llm.common import shared_folder, written
 from tidemark.session import table
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under the names column_0, column_1 and so on, and which name stands for which."""
+    names = [f"column_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names))
+
+
+def named_again(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The numbered columns of found under the names that docs has."""
+    return found.select(*[f"column_{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or text, and those for which no language has half the probability."""
-    model = language_id.train(docs.where(~language_id.held_out()), order_by=F.col("doc_id"))
-    found = language_id.predict(docs.select(*docs.columns), model)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
+    """Drops documents without a letter or text, and those for which no language has half the probability.
+
+    A null label is no example; a null id is not held out; repeated rows are judged alike."""
+    plain, at = numbered(docs)
+    model = language_id.train(plain.where(~language_id.held_out(at["doc_id"])), at["text"], at["lang"])
+    found = language_id.predict(plain, model, at["text"])
+    return named_again(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= 0.5)), docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each SimHash component, that with the smallest doc_id.
+    """Keeps one row of each SimHash component, that with the smallest doc_id, a null id last.
 
-    A row without an id goes by a number from its text above all real ids."""
-    stand_in = F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
-    keyed = without(docs, "_key").withColumn("_key", F.coalesce("doc_id", stand_in))
-    found = simhash.near_duplicates(keyed.select("_key", "text"), "_key")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    Repeated rows are one; rows that share an id but lie in unlike components stay, each for its own."""
+    return simhash.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a benchmark's windows cover a twentieth or more."""
+    """Drops documents of which a benchmark's windows cover a twentieth or more; a null or empty text has none and stays."""
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return decontaminate.judged(decontaminate.scan(docs, items)).where(~F.col("contaminated")).select(*docs.columns)
+    plain, at = numbered(docs)
+    return named_again(decontaminate.judged(decontaminate.scan(plain, items, at["text"])).where(~F.col("contaminated")), docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes its words, to the nearest whole number; 0 drops it.
+    """Repeats each document as often as the mix takes its words, to the nearest whole number; 0 drops it, as it does texts without a word.
 
     Only documents at an end of a shard's run are taken in part, so this keeps the sources' shares."""
+    plain, at = numbered(docs)
     times = F.floor(F.col("mix_taken") / F.col("mix_size") + 0.5).cast("int")
-    found = mixing.mix(docs).where((F.col("mix_size") > 0) & (F.col("mix_taken") > 0)).withColumn("_times", times).where("_times > 0")
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    found = mixing.mix(plain, at["doc_id"], at["source"], at["text"]).where((F.col("mix_size") > 0) & (F.col("mix_taken") > 0)).withColumn("times", times).where("times > 0")
+    return named_again(found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))), docs)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
