@@ -299,6 +299,25 @@ def _verify(threshold: float):
     return verify
 
 
+def _sieve(hashes: DataFrame, column: str, most_bits: int = 28):
+    """A test for rows whose column may be among the given hashes: a table of bits, 16 for each hash up to 2^most_bits (32 MB) in all.
+
+    It lets pass what it should not (more the fuller it is), so a join follows; it only spares that join's shuffle."""
+    size = min(most_bits, max(10, (16 * hashes.count()).bit_length()))
+    spot = F.col("hash").bitwiseAND((1 << size) - 1)
+    words = hashes.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (size - 6), np.uint64)
+    bits[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+
+    @F.arrow_udf("boolean")
+    def may(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            h = np.asarray(batch).view(np.uint64)
+            yield pa.array((bits[(h & np.uint64((1 << size) - 1)) >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+    return may(F.col(column))
+
+
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, crowd: int = 1000) -> DataFrame:
     """One row for each paragraph that is repeated, or nearly, in another document.
 
@@ -315,8 +334,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     banded = fresh.select("hash", "keys", "n").mapInArrow(_once, "key long, hash long, n int")
     bucketed = banded.repartition(n, "key").sortWithinPartitions("key", "hash").mapInArrow(_buckets(crowd), "bucket long, hash long")
     shared = written(bucketed.distinct())
-    wanted = shared.select("hash").distinct()
-    bodies = fresh.select("hash", "body").join(wanted, "hash", "left_semi").groupBy("hash").agg(F.first("body").alias("body"))
+    wanted = written(shared.select("hash").distinct())
+    bodies = fresh.select("hash", "body").where(_sieve(wanted, "hash")).join(wanted, "hash", "left_semi").groupBy("hash").agg(F.first("body").alias("body"))
     met = shared.join(bodies, "hash").select("bucket", "hash", "body")
     links = met.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_verify(threshold), "a long, b long")
     found = components(links)
@@ -330,7 +349,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     wanted = split_join(per.select("hash", "cluster", F.col("n").alias("rows")), clusters, ["cluster"], per.count(), ["hash"])
     wanted = written(wanted.select("hash", "cluster", "cluster_doc", "members", F.col("rows").alias("n")))
     total = cut.count()
-    rows = split_join(cut.select("doc_id", "par", "word", F.col("n").alias("n_words"), "fine", "hash"), wanted, ["hash"], total, ["doc_id", "par"])
+    rows = split_join(cut.select("doc_id", "par", "word", F.col("n").alias("n_words"), "fine", "hash").where(_sieve(wanted, "hash")), wanted, ["hash"], total, ["doc_id", "par"])
     first = F.min("par").over(Window.partitionBy("cluster", "doc_id"))
     return rows.select(
         "doc_id",
