@@ -254,6 +254,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return both.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _identity(doc_id: str) -> list[Column]:
+    """An id that may be null as two columns that are not."""
+    return [F.isnull(doc_id).alias("absent"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id")]
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """The rows of docs that stay when of each component one row is kept, that with the smallest doc_id.
 
@@ -265,11 +270,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     at = {c: f"c{i}" for i, c in enumerate(columns)}
     hashable = [f"c{i}" for i, f in enumerate(docs.schema.fields) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    row = plain.select(F.col(at[doc_id]).alias("doc_id"), F.xxhash64(at[text]).alias("hash"), F.struct(*plain.columns).alias("row"), F.xxhash64(*hashable).alias("order"))
+    row = plain.select(*_identity(at[doc_id]), F.xxhash64(at[text]).alias("hash"), F.struct(*plain.columns).alias("row"), F.xxhash64(*hashable).alias("order"))
     prints = written(plain.select(F.col(at[doc_id]).alias("doc_id"), F.xxhash64(at[text]).alias("hash"), fingerprint_of(F.col(at[text])).alias("fp")))
     first = prints.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "hash")).alias("first"))
     best = named(prints, threshold).join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    chosen = best.select(F.col("first.doc_id").alias("_id"), F.col("first.hash").alias("_hash"))
-    single = row.groupBy("doc_id", "hash").agg(F.min_by("row", "order").alias("row"))
-    kept = single.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi")
+    chosen = best.select(*_identity("first.doc_id"), F.col("first.hash").alias("hash"))
+    single = row.groupBy("absent", "id", "hash").agg(F.min_by("row", "order").alias("row"))
+    kept = single.join(chosen, ["absent", "id", "hash"], "left_semi")  # by the columns that rows are grouped by: no second shuffle
     return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)])
