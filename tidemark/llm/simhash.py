@@ -169,7 +169,7 @@ def links(points: DataFrame, threshold: int = THRESHOLD, crowd: int = 4096) -> D
         raise ValueError("this covering holds for 4 bits or fewer")
     spark = points.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    points = points.select("fp").repartition(n, "fp")  # few bytes, but each becomes many copies
+    points = points.select("fp").repartition(n, F.xxhash64("fp"))  # few bytes, but each becomes many copies
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
