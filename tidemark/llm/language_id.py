@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import buffers, without
 
 ORDER = 3
-SLICE = 1 << 20
+#: Bytes scored or counted at once: a worker holds some 150 bytes for each, however long a text is.
+SLICE = 1 << 18
 UNKNOWN = "und"
 SCHEMA = "lang_pred string, score double, bits_per_byte double"
 
@@ -145,8 +146,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_texts: in
             for name in sorted(set(langs)):
                 parts = [data[offsets[i] : offsets[i + 1]] for i in np.flatnonzero(langs == name)]
                 ends = np.cumsum([0, *map(len, parts)])
-                grams, n = np.unique(_grams(np.concatenate(parts), ends, 0, int(ends[-1])), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(grams), pa.string()), "gram": pa.array(grams.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+                joined = np.concatenate(parts)
+                for lo in range(0, len(joined), SLICE):
+                    grams, n = np.unique(_grams(joined, ends, lo, min(lo + SLICE, len(joined))), return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(grams), pa.string()), "gram": pa.array(grams.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
     counted = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     return Model([tuple(r) for r in counted.collect()])
