@@ -18,6 +18,27 @@ def positive(*cs: Column) -> Column:
     return reduce(lambda a, b: a & b, [F.coalesce(finite(c) & (c > 0), F.lit(False)) for c in cs])
 
 
+def valid_bar(timed: bool = True, ordered: bool = True, counted: bool = False) -> Column:
+    """Whether a bar's prices are finite and above 0, by the rule that its reader needs: timed asks for a time above 0, ordered
+    for a high and a low that hold open and close, counted for a finite volume of 0 or more.
+
+    Features take timed bars as they are, geometry takes timed and ordered ones, perturbation ordered and counted ones."""
+    o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
+    ok = positive(o, h, lo, c)
+    if timed:
+        ok = ok & F.coalesce(F.col("open_time_ms") > 0, F.lit(False))
+    if ordered:
+        ok = ok & (h >= F.greatest(o, c)) & (lo <= F.least(o, c))
+    if counted:
+        ok = ok & F.coalesce(finite(F.col("volume")) & (F.col("volume") >= 0), F.lit(False))
+    return F.coalesce(ok, F.lit(False))
+
+
+def usable_version(status: str = "status", published: str = "published", archived: str = "archived_at") -> Column:
+    """Whether a version is completed, published and not archived."""
+    return F.coalesce((F.col(status) == "completed") & F.col(published) & F.col(archived).isNull(), F.lit(False))
+
+
 def series_faults(bars: DataFrame, keys: list[str], ordered: bool = False) -> DataFrame:
     """(keys, n, bad_bars, not_increasing, gaps): rows that are no valid bar, times not above the one before, and with
     `ordered` ordinals that do not follow on the one before. A series with n = 0 is not listed."""

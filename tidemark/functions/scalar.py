@@ -61,6 +61,11 @@ def lattice(x: Column, low: float, high: float, step: float = 0.05) -> Column:
     return clip(F.round(x / step) * step, low, high)
 
 
+def trailing(values: Column, period: Column) -> Column:
+    """The last `period` values of an array; all of them where that is 0 or less, or more than there are."""
+    return F.when((period <= 0) | (period >= F.size(values)), values).otherwise(F.slice(values, -F.greatest(period, F.lit(1)), F.greatest(period, F.lit(1))))
+
+
 def symbol(x: Column) -> Column:
     return F.upper(F.trim(x))
 

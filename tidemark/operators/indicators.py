@@ -111,13 +111,17 @@ def micro_signal(rows: DataFrame, reversion: float = 1.0, momentum: float = 1.0,
     return rows.withColumn("signal", F.when(F.col("n") >= FAST + 1, s))
 
 
+def is_shock() -> Column:
+    """Whether a row of indicators() is a shock: a volatility ratio over 1.8, or a last return of over 2.5 deviations of the 21 that hold it."""
+    return (F.col("volatility_ratio") > 1.8) | ((F.col("n") >= FAST + 2) & (F.col("sigma") > 0) & (F.abs("log_return") > 2.5 * F.col("sigma")))
+
+
 def market_regime(rows: DataFrame) -> DataFrame:
     """Adds regime, time_multiplier, beta_multiplier and is_quiet to indicators()."""
     slope, depth = ratio("ema_fast", "ema_slow") - 1, ratio("close", "high_slow") - 1
-    shock = (F.col("volatility_ratio") > 1.8) | ((F.col("n") >= FAST + 2) & (F.col("sigma") > 0) & (F.abs("log_return") > 2.5 * F.col("sigma")))
     calm = (F.col("volatility_ratio") < 0.75) & (F.abs(ratio("close", "ema_fast") - 1) < 0.015)
     early = F.col("n") < FAST + 1
-    which = F.when(early, "early").when(shock, "shock").when((slope < -0.03) | (depth < -0.2), "bear").when((slope > 0.03) & (F.coalesce("momentum", F.lit(0.0)) > 0), "bull").when(calm, "calm").otherwise("plain")
+    which = F.when(early, "early").when(is_shock(), "shock").when((slope < -0.03) | (depth < -0.2), "bear").when((slope > 0.03) & (F.coalesce("momentum", F.lit(0.0)) > 0), "bull").when(calm, "calm").otherwise("plain")
     of = lambda **v: F.element_at(F.create_map(*[F.lit(x) for kv in v.items() for x in kv]), F.col("_which"))
     out = rows.withColumns({"trend_slope": slope, "depth": depth, "_which": which})
     return out.withColumns(

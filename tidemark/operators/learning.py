@@ -346,6 +346,31 @@ def policy_value(mode: str, low: float, high: float, base: float, terms: dict[st
     raise ValueError(f"unknown mode: {mode}")
 
 
+def combined_predictions(direction: DataFrame, joint: DataFrame, activity: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """Out-of-fold parts that all three models have for a row, side by side. The activity model predicts ln(1 + x) of the features,
+    which come back as x, 1e-12 at least."""
+    decoded = activity.select(*keys, *[F.greatest(F.expm1(f), F.lit(1e-12)).alias(f) for f in features])
+    return direction.join(joint, keys).join(decoded, keys)
+
+
+def examples(features: DataFrame, targets: DataFrame, keys: list[str], kind: str, columns: list[str], available: Column | None = None) -> DataFrame:
+    """(features' columns, target): rows with features at hand and an array of what is to be learnt.
+
+    direction: 1.0 or 0.0 of one boolean; joint: the columns divided by `normaliser`, where that is above 0; activity: ln(1 + x)."""
+    values = [F.col(c) for c in columns]
+    if kind == "direction":
+        target = F.array(*[v.cast("double") for v in values])
+    elif kind == "joint":
+        targets = targets.where("normaliser > 0")
+        target = F.array(*[v / F.col("normaliser") for v in values])
+    elif kind == "activity":
+        target = F.array(*[F.log1p(v) for v in values])
+    else:
+        raise ValueError(f"unknown kind: {kind}")
+    ready = features.where(available) if available is not None else features
+    return ready.join(targets.select(*keys, target.alias("target")), keys)
+
+
 def policy_signals(probabilities: dict[str, Column], activities: dict[str, tuple[Column, Column, Column]], deviation: Column | None = None) -> dict[str, Column]:
     """Signals in [-1, 1] for policy_value, null where they would leave it: 2p - 1 of probabilities, tanh(ln(predicted / median)) of
     activities (predicted, current, ratio to the median) and tanh of a trend deviation."""

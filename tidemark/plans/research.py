@@ -138,11 +138,6 @@ def w35(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("event_type", "open_time_ms", total(0).alias("opens"), total(3).alias("closes")))
 
 
-@add("w40_geometry_features", None)
-def w40(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(W.geometry(bars_events(spark, d), KEY, 7, 0).select("event_type", "open_time_ms", "area", "slope"))
-
-
 def samples(spark: SparkSession, d: str) -> DataFrame:
     """Geometry before and after each daily bar, both at hand."""
     rows = W.geometry(W.geometry(bars_events(spark, d), KEY, 5, 0, "area", "slope"), KEY, 0, 1, "t_area", "t_slope")
@@ -307,22 +302,12 @@ def x27(spark: SparkSession, d: str) -> DataFrame:
 GRID = {"a": (0, 9), "b": (1, 12), "c": (0, 4)}
 
 
-@add("g1_discrete_sample", None)
-def g1(spark: SparkSession, d: str) -> DataFrame:
-    return G.discrete_sample(spark, GRID, 100, 5, legal=F.col("a") <= F.col("b")).select("a", "b", "c")
-
-
 @add("g2_shuffles", """WITH o AS (SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1) SELECT event_type, r.r::INT AS sequence, n, total FROM o, range(3) r(r)""")
 def g2(spark: SparkSession, d: str) -> DataFrame:
     s = G.shuffled(table(spark, d, "events"), KEY, "event_id", "value", 3, 3)
     return rounded(s.groupBy("event_type", "sequence").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 4)
 
 
-@add("g3_halton_sample", None)
-def g3(spark: SparkSession, d: str) -> DataFrame:
-    return G.halton_sample(spark, GRID, 120, 10)
-
-
 @add("g4_global_plan", None)
 def g4(spark: SparkSession, d: str) -> DataFrame:
     return G.global_plan(spark, GRID, {"a": 5, "b": 6, "c": 2}, 128, legal=F.col("a") <= F.col("b"))
@@ -542,6 +527,3 @@ def x36(spark: SparkSession, d: str) -> DataFrame:
     return H.dataset_hash(bars_events(spark, d), KEY, "open_time_ms", ["open_time_ms", "volume"], 8)
 
 
-@add("x29_normal_cdf", None)
-def x29(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select("c_custkey", F.round(X.normal_cdf(F.col("c_acctbal") / 3000), 9).alias("p"))

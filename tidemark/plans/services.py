@@ -117,11 +117,6 @@ def w17(spark: SparkSession, d: str) -> DataFrame:
     return rounded(K.first_by_priority(e, ["release", "event_type"], [F.col("user_id").desc(), F.col("event_id").desc()]).select("release", "event_type", "value"))
 
 
-@add("w41_geometry_targets", None)
-def w41(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(W.geometry(bars_events(spark, d), KEY, 0, 4, "area", "slope").select("event_type", "open_time_ms", "area", "slope"))
-
-
 @add("w46_percent_change", f"""WITH {BE} SELECT event_type, open_time_ms, round(coalesce(CASE WHEN lag(close - 50) OVER w > 0 THEN (close - 50) / lag(close - 50) OVER w - 1 END, 0), 6) AS change FROM be {WIN}""")
 def w46(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("close") - 50

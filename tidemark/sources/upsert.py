@@ -29,6 +29,19 @@ def earliest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def archived(series: DataFrame, versions: DataFrame, chosen: DataFrame, key: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Series and their versions with archived_at set for the chosen keys: of versions those that are completed, published and
+    not archived yet. A null `now` takes the marks away from chosen series and from all of their versions."""
+    mark = chosen.select(key).distinct().withColumn("_chosen", F.lit(True))
+    open_ = (F.col("status") == "completed") & F.col("published") & F.col("archived_at").isNull()
+
+    def put(rows: DataFrame, which: Column) -> DataFrame:
+        at = F.when(F.col("_chosen") & (which | now.isNull()), now).otherwise(F.col("archived_at"))
+        return rows.join(mark, key, "left").withColumn("archived_at", at).drop("_chosen").select(*rows.columns)
+
+    return put(series, F.lit(True)), put(versions, open_)
+
+
 def changed_since(rows: DataFrame, since: Column, updated: str, created: str) -> DataFrame:
     """Rows touched since a time, for an incremental export."""
     return rows.where((F.col(updated) >= since) | (F.col(created) >= since))
