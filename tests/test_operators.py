@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import checks as C
 from tidemark.functions import hashing as H
 from tidemark.functions import scalar as X
+from tidemark.operators import indicators as I
 from tidemark.operators import joins as J
 from tidemark.operators import learning as L
 from tidemark.operators import paths as P
@@ -23,6 +24,7 @@ from tidemark.operators import search
 from tidemark.operators import simulate as S
 from tidemark.operators import states as W
 from tidemark.operators import strategy as B
+from tidemark.sources import upsert
 
 DAY = 86_400_000
 BARS = "open_time_ms long, open double, high double, low double, close double, volume double"
@@ -538,3 +540,70 @@ def test_chains_past_a_hundred_parents_and_configurations_past_a_thousand(spark)
     own = spark.range(1001).select(F.col("id").alias("config"), F.col("id").alias("key")).unionByName(spark.createDataFrame([(0, 5000)], "config long, key long"))
     missing = J.missing_by_configuration(own, "config", "key")
     assert missing.count() == 1001 * 1002 - 1002
+
+
+@pytest.mark.parametrize("period", [2, 21, 300])
+def test_ema_over_many_chunks(spark, period):
+    rng = random.Random(period)
+    xs = [rng.uniform(1, 9) * (1e6 if i < 50 else 1) for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(xs)), "open_time_ms long, close double")
+    got = [r["ema"] for r in I.ema(df, [], period, chunk=16).orderBy("open_time_ms").collect()]
+    want, alpha = [xs[0]], 2 / (period + 1)
+    for x in xs[1:]:
+        want.append(alpha * x + (1 - alpha) * want[-1])
+    assert got == pytest.approx(want, rel=1e-9)
+    spoilt = I.ema(df.withColumn("close", F.when(F.col("open_time_ms") == 40, float("nan")).otherwise(F.col("close"))), [], period, chunk=16)
+    assert [math.isnan(r["ema"]) for r in spoilt.orderBy("open_time_ms").collect()] == [i >= 40 for i in range(3000)]
+
+
+def test_bar_rules_differ(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [
+        (1, 10.0, 12.0, 9.0, 11.0, 5.0),  # sound
+        (0, 10.0, 12.0, 9.0, 11.0, 5.0),  # no time
+        (1, 10.0, 10.5, 9.0, 11.0, 5.0),  # high below the close
+        (1, 10.0, 12.0, 10.5, 11.0, 5.0),  # low above the open
+        (1, 10.0, 12.0, 9.0, 11.0, -1.0),  # negative volume
+        (1, 10.0, 12.0, 9.0, 11.0, nan),
+        (1, 10.0, 12.0, 0.0, 11.0, 5.0),
+        (1, nan, 12.0, 9.0, 11.0, 5.0),
+        (1, 10.0, inf, 9.0, 11.0, 5.0),
+        (1, None, 12.0, 9.0, 11.0, 5.0),
+        (None, 10.0, 12.0, 9.0, 11.0, None),
+    ]
+    df = spark.createDataFrame(rows, BARS).select(C.valid_bar(timed=False, counted=True).alias("p"), C.valid_bar(ordered=False).alias("f"), C.valid_bar().alias("g"))
+    got = [tuple(r) for r in df.collect()]
+    assert [r[0] for r in got] == [True, True] + [False] * 9
+    assert [r[1] for r in got] == [True, False, True, True, True, True] + [False] * 5
+    assert [r[2] for r in got] == [True, False, False, False, True, True] + [False] * 5
+
+
+def test_archive_marks_come_and_go(spark):
+    series = spark.createDataFrame([(1, None), (2, None)], "series long, archived_at string")
+    versions = spark.createDataFrame([(10, 1, "completed", True, None), (11, 1, "running", True, None), (12, 1, "completed", True, "old"), (13, 1, "completed", None, None), (20, 2, "completed", True, None)], "id long, series long, status string, published boolean, archived_at string")
+    one = series.where("series = 1")
+    s, v = upsert.archived(series, versions, one, "series", F.lit("now"))
+    assert {r["series"]: r["archived_at"] for r in s.collect()} == {1: "now", 2: None}
+    assert {r["id"]: r["archived_at"] for r in v.collect()} == {10: "now", 11: None, 12: "old", 13: None, 20: None}
+    assert [r["id"] for r in versions.where(C.usable_version()).orderBy("id").collect()] == [10, 20]
+    s, v = upsert.archived(s, v, one, "series", F.lit(None).cast("string"))
+    assert s.where("archived_at IS NOT NULL").count() == 0 and v.where("archived_at IS NOT NULL").count() == 0
+
+
+def test_examples_and_out_of_fold_parts(spark):
+    features = spark.createDataFrame([(i, i != 1) for i in range(4)], "at long, ready boolean")
+    targets = spark.createDataFrame([(0, True, 2.0, 4.0, 2.0), (1, True, 1.0, 1.0, 1.0), (2, False, 3.0, 0.0, 0.0), (9, True, 1.0, 1.0, 1.0)], "at long, way boolean, up double, down double, normaliser double")
+    of = lambda kind, cs: {r["at"]: r["target"] for r in L.examples(features, targets, ["at"], kind, cs, F.col("ready")).collect()}
+    assert of("direction", ["way"]) == {0: [1.0], 2: [0.0]}
+    assert of("joint", ["up", "down"]) == {0: [1.0, 2.0]}  # no normaliser, no example
+    assert of("activity", ["up"]) == {0: [pytest.approx(math.log(3))], 2: [pytest.approx(math.log(4))]}
+    with pytest.raises(ValueError):
+        of("other", ["up"])
+    part = lambda name, ids: spark.createDataFrame([(i, 0.5) for i in ids], f"at long, {name} double")
+    both = L.combined_predictions(part("p", [1, 2, 3]), part("j", [2, 3, 4]), spark.createDataFrame([(2, math.log(3)), (3, -1.0), (5, 0.0)], "at long, a double"), ["at"], ["a"])
+    assert {r["at"]: r["a"] for r in both.collect()} == {2: pytest.approx(2.0), 3: 1e-12}
+
+
+def test_trailing_takes_what_there_is(spark):
+    df = spark.createDataFrame([([1, 2, 3, 4], p) for p in (-1, 0, 1, 3, 4, 9)] + [([], 2)], "v array<int>, p int")
+    assert [r[0] for r in df.select(X.trailing(F.col("v"), F.col("p"))).collect()] == [[1, 2, 3, 4], [1, 2, 3, 4], [4], [2, 3, 4], [1, 2, 3, 4], [1, 2, 3, 4], []]

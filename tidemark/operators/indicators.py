@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,9 @@ def ema(rows: DataFrame, keys: list[str], period: int, value: str = "close", to:
     """Exponential mean over the whole prefix, seeded with the first value; alpha is 2 / (period + 1).
 
     Linear in its state, so it is computed in chunks: within a chunk the weighted sum of its own rows,
-    then the state that the chunks before hand on. Every weight stays a power below one.
+    then the state that the chunks before hand on. Every weight stays a power below one. Chunks so far back that
+    their weight is below 2^-200 lie beyond a double's digits and are not read again (one that holds a NaN still counts), so a
+    row's cost depends on the period, not on the length of the series.
     """
     if period <= 1:
         return rows.withColumn(to, F.col(value))
@@ -57,10 +61,12 @@ def ema(rows: DataFrame, keys: list[str], period: int, value: str = "close", to:
     # sum of x_j * keep^(o - j): powers stay within keep^-chunk, far from overflow for the periods in use
     own = seeded.withColumn("_s", F.sum(F.col("_x") * F.pow(F.lit(keep), -F.col("_o"))).over(inside) * F.pow(F.lit(keep), F.col("_o")))
     last = own.groupBy(*keys, "_c").agg(F.max_by("_s", "_o").alias("_s"), (F.max("_o") + 1).alias("_n"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_c")
+    before = chunks.rowsBetween(-max(1, math.ceil(200 / (chunk * -math.log2(keep)))), -1)
+    spoilt = F.coalesce(F.max(F.isnan("_s")).over(chunks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     fold = lambda a, p: F.struct((a["s"] * F.pow(F.lit(keep), p["_n"]) + p["_s"]).alias("s"))
     state = F.aggregate(F.collect_list(F.struct("_s", "_n")).over(before), F.struct(F.lit(0.0).alias("s")), fold)["s"]
-    carried = last.select(*keys, "_c", state.alias("_state"))
+    carried = last.select(*keys, "_c", F.when(spoilt, float("nan")).otherwise(state).alias("_state"))
     out = own.join(carried, [*keys, "_c"])
     return out.withColumn(to, F.col("_s") + F.coalesce("_state", F.lit(0.0)) * F.pow(F.lit(keep), F.col("_o") + 1)).drop("_i", "_x", "_c", "_o", "_s", "_state")
 

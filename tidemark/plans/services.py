@@ -12,7 +12,6 @@ from tidemark.operators import ranking as K
 from tidemark.operators import resample as R
 from tidemark.operators import robust as RB
 from tidemark.operators import sampling as G
-from tidemark.operators import states as W
 from tidemark.plans.base import BE, BEH, BO, DAY, HOUR, Book, DataFrame, F, SparkSession, rounded
 from tidemark.session import table
 from tidemark.sources import store
