@@ -115,7 +115,7 @@ def perturbed(bars: DataFrame, keys: list[str], draws: DataFrame, source: str =
     no, nc = F.col("_m") - F.col("_b") / 2, F.col("_m") + F.col("_b") / 2
     new = {"open": no, "close": nc, "high": F.greatest(no, nc) + F.col("_u"), "low": F.least(no, nc) - F.col("_d")}
     made = {f"new_{k}": F.when(F.col("_scale") > 0, F.round(F.exp(v), 10)).otherwise(F.col(k)) for k, v in new.items()}
-    rows = rows.withColumns(made).withColumns({f"moved_{k}": F.abs(F.log(F.col(f"new_{k}") / F.col(k))) for k in new})
+    rows = rows.withColumns(made).withColumns({f"moved_{k}": F.abs(log_ratio(f"new_{k}", k)) for k in new})
     rows = rows.withColumn("moved", F.greatest(*[F.col(f"moved_{k}") for k in new]))
     return rows.select(*keys, "seed", "alpha", "open_time_ms", *[F.col(f"new_{k}").alias(k) for k in ("open", "high", "low", "close")], "volume", *[f"moved_{k}" for k in ("open", "high", "low", "close")], "moved")
 

@@ -212,7 +212,22 @@ def g9(spark: SparkSession, d: str) -> DataFrame:
     return rounded(p.groupBy("seed", "alpha").agg(F.count(F.lit(1)).alias("n"), F.max("moved_open").alias("open_max"), F.max("moved_close").alias("close_max")), 5)
 
 
-@add("a18_deviation_summary", None)
+def positive_log(x: str) -> str:
+    """SQL: ln(x), null where x is not positive."""
+    return f"CASE WHEN {x} > 0 THEN ln({x}) END"
+
+
+DRAW = lambda i, j: f"('0x' || sha256(seed || '|source|' || event_type || '|' || open_time_ms || '|{i}|{j}')[1:13])::BIGINT / 16.0 ^ 13"
+OFF = [f"({DRAW(i, 0)} - {DRAW(i, 1)})" for i in range(4)]
+
+
+@add("a18_deviation_summary", f"""WITH {BE}, p AS (SELECT *, lag(close) OVER w AS pc FROM be {WIN}), s AS (SELECT *, greatest({lr('high', 'low')}, abs({lr('high', 'pc')}), abs({lr('low', 'pc')})) AS sc FROM p),
+    x AS (SELECT s.*, r.r AS seed, 0.1 * sc AS amount, {positive_log('open')} AS o, {positive_log('high')} AS h, {positive_log('low')} AS l, {positive_log('close')} AS c FROM s, range(4) r(r)),
+    y AS (SELECT *, (o + c) / 2 + amount * {OFF[0]} AS m, c - o + amount * {OFF[1]} AS b, h - greatest(o, c) AS up, least(o, c) - l AS dn FROM x),
+    z AS (SELECT event_type, seed, sc, CASE WHEN sc > 0 THEN abs(m - b / 2 - o) WHEN open > 0 THEN 0 END AS mo, CASE WHEN sc > 0 THEN abs(m + b / 2 - c) WHEN close > 0 THEN 0 END AS mc,
+        CASE WHEN sc > 0 THEN abs(m + abs(b) / 2 + up + least(amount, up) * {OFF[2]} - h) WHEN high > 0 THEN 0 END AS mh, CASE WHEN sc > 0 THEN abs(m - abs(b) / 2 - dn - least(amount, dn) * {OFF[3]} - l) WHEN low > 0 THEN 0 END AS ml FROM y),
+    v AS (SELECT *, greatest(mo, mh, ml, mc) AS moved FROM z)
+    SELECT event_type, seed::INT AS seed, round(max(moved), 6) AS maximum, round(max(mo), 6) AS open_max, round(max(mh), 6) AS high_max, round(max(ml), 6) AS low_max, round(max(mc), 6) AS close_max, round(quantile_cont(moved, 0.5), 6) AS median, round(quantile_cont(moved, 0.95), 6) AS p95 FROM v GROUP BY event_type, seed""")
 def a18(spark: SparkSession, d: str) -> DataFrame:
     draws = spark.createDataFrame([(s, 0.1) for s in range(4)], "seed int, alpha double")
     return rounded(P.deviation_summary(P.perturbed(bars_events(spark, d), KEY, draws), ["event_type", "seed"]))
@@ -408,7 +423,11 @@ def l16(spark: SparkSession, d: str) -> DataFrame:
     return rounded(L.six_regions(m, ["id"], 0.2, 1.0))
 
 
-@add("l17_isotonic_calibrator", None)
+@add("l17_isotonic_calibrator", """WITH r AS (SELECT l_returnflag, least(9, floor(l_discount::DOUBLE * 10 * 10))::INT AS bin, (l_tax > 0.04)::INT AS y FROM lineitem), o AS (SELECT l_returnflag, avg(y) AS rate FROM r GROUP BY 1),
+    f AS (SELECT o.l_returnflag, b.r AS bin, count(y) + 2.0 AS w, coalesce(sum(y), 0) + 2 * any_value(rate) AS s FROM o CROSS JOIN range(10) b(r) LEFT JOIN r ON r.l_returnflag = o.l_returnflag AND r.bin = b.r GROUP BY ALL),
+    m AS (SELECT a.l_returnflag, a.bin AS i, b.bin AS j, sum(c.s) / sum(c.w) AS mean FROM f a JOIN f b ON b.l_returnflag = a.l_returnflag AND b.bin >= a.bin JOIN f c ON c.l_returnflag = a.l_returnflag AND c.bin BETWEEN a.bin AND b.bin GROUP BY ALL),
+    k AS (SELECT l_returnflag, k.r AS bin, i, min(mean) AS least FROM m, range(10) k(r) WHERE i <= k.r AND j >= k.r GROUP BY ALL)
+    SELECT l_returnflag, bin::INT AS bin, round(max(least), 6) AS value FROM k GROUP BY ALL""")
 def l17(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_returnflag", (F.col("l_discount") * 10).alias("p"), (F.col("l_tax") > 0.04).cast("double").alias("y"))
     return rounded(L.isotonic_calibrator(li, ["l_returnflag"], "p", "y"))
