@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat_windows, decontaminate, language_id, license_scan, mixing, paragraph_dedup, simhash, sst, warc
+from tidemark.llm import ann, chat_windows, decontaminate, language_id, license_scan, mixing, paragraph_dedup, simhash, sort_means, sst, warc
 from tidemark.llm.common import shared_folder
 from tidemark.session import table
 
@@ -89,6 +89,10 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"), ann.learn(vectors))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_paragraph_dedup": op1_paragraph_dedup,
     "op2_language_id": op2_language_id,
@@ -100,10 +104,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_shards": op8_token_shards,
     "op9_warc": op9_warc,
     "op10_ann": op10_ann,
+    "op11_centroids": op11_centroids,
 }
 
+
+def _rounds_in_sql(rounds: int = 10, k: int = 8) -> str:
+    """The clustering of op11 as one query: two tables a round, whole numbers throughout."""
+    parts = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+          WHERE len(embedding) = 64 AND len([1 for x in embedding if x IS NOT NULL AND isfinite(x)]) = 64)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM v ORDER BY c LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS MATERIALIZED (SELECT r, vec_id, v.v, min((list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(v.v, c{i}.v)]), c)) AS best
+            FROM v, c{i} GROUP BY r, vec_id, v.v)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""s{i} AS MATERIALIZED (SELECT c, p, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT best[2] AS c, unnest(v) AS x, unnest(range(64)) AS p FROM a{i}) GROUP BY ALL),
+            c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN
+              (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS v FROM s{i} GROUP BY c) m ON m.c = c{i}.c)"""
+            )
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, best[2]::INTEGER AS cluster, best[1]::BIGINT AS distance, sum(best[1]) OVER (PARTITION BY best[2])::BIGINT AS cluster_inertia, "
+        f"sum(best[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = best[2]"
+    )
+
 #: The contract in SQL, over whole tables.
 ORACLES: dict[str, str] = {
+    "op11_centroids": _rounds_in_sql(),
     "op4_decontamination": """
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
