@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat_windows, decontaminate, language_id, license_scan, mixing, paragraph_dedup, simhash, sort_means, sst, warc
+from tidemark.llm import ann, chat_windows, decontaminate, language_id, license_scan, mixing, paragraph_dedup, simhash, sort_means, spelling, sst, warc
 from tidemark.llm.common import shared_folder
 from tidemark.session import table
 
@@ -93,6 +93,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sort_means.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_paragraph_dedup": op1_paragraph_dedup,
     "op2_language_id": op2_language_id,
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_ann": op10_ann,
     "op11_centroids": op11_centroids,
+    "op12_spelling": op12_spelling,
 }
 
 
