@@ -138,6 +138,25 @@ def _rounds_in_sql(rounds: int = 10, k: int = 8) -> str:
 
 #: The contract in SQL, over whole tables.
 ORACLES: dict[str, str] = {
+    # the checksum by bytes over its table of 256 remainders, near words by what is left without one letter
+    "op12_spelling": """
+        WITH RECURSIVE crc AS MATERIALIZED (SELECT list(x ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+               lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS x FROM range(256) r(i))),
+        r AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+              FROM documents) GROUP BY ALL),
+        b AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM r),
+        h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, [('0x' || substr(x, 2 * i + 1, 2))::BIGINT for i in range(len(x) // 2)]),
+              lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS h FROM b, crc),
+        w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+        v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        a AS (SELECT DISTINCT d.word, d.n, v.word AS o, v.n AS m FROM d JOIN v ON v.word = d.s),
+        e AS MATERIALIZED (SELECT word, o, m FROM a UNION ALL SELECT o, word, n FROM a UNION ALL SELECT x.word, y.word, y.n FROM d x JOIN d y ON x.i = y.i AND x.s = y.s AND x.word <> y.word),
+        g AS (SELECT word, count(*) AS n_near, min((-m, o)) AS best FROM e GROUP BY word),
+        f AS MATERIALIZED (SELECT v.word, CASE WHEN -best[1] >= 5 * v.n THEN best[2] END AS form, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best[1] >= 5 * v.n THEN (-best[1])::BIGINT END AS form_n
+              FROM v LEFT JOIN g ON g.word = v.word),
+        p AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT p.word, f.form, k + 1 FROM p JOIN f ON f.word = p.root WHERE f.form IS NOT NULL)
+        SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, k) AS root FROM p GROUP BY word) z ON z.word = f.word""",
     "op11_centroids": _rounds_in_sql(),
     "op4_decontamination": """
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),

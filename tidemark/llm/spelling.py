@@ -89,12 +89,11 @@ def near(words: DataFrame) -> DataFrame:
     whole = words.withColumn("side", F.explode(F.array(F.lit(1), F.lit(2)))).select(
         F.col("word").alias("short"), F.col("n").alias("short_n"), F.col("key").alias("less"), (F.col("length") + 1).alias("length"), "side", _half(F.col("side"), F.col("word"), F.floor(F.col("length") / 2).cast("int"), F.lit(1))
     )
-    # the letter taken out is the first at which the words differ, so a pair has one side even where equal letters stand in a row
-    half = F.floor((F.col("length") - 1) / 2)
-    added = less.join(whole, ["less", "length", "side", "half"]).where(F.levenshtein("word", "short", 1) == 1)
-    added = added.where(F.when(_first_unlike(F.col("word"), F.col("short")) >= half, 1).otherwise(2) == F.col("side"))
+    # letters may repeat, so a pair can meet by both sides; it counts by that of the first place where the words differ
+    side = lambda other: F.when(_first_unlike(F.col("word"), F.col(other)) >= F.floor((F.col("length") - 1) / 2), 1).otherwise(2) == F.col("side")
+    added = less.join(whole, ["less", "length", "side", "half"]).where((F.levenshtein("word", "short", 1) == 1) & side("short"))
     other = less.select(F.col("word").alias("other"), F.col("n").alias("other_n"), "less", "length", "side", "half", F.col("letter").alias("other_letter"))
-    exchanged = less.join(other, ["less", "length", "side", "half"]).where((F.col("letter") != F.col("other_letter")) & (F.levenshtein("word", "other", 1) == 1))
+    exchanged = less.join(other, ["less", "length", "side", "half"]).where((F.col("letter") != F.col("other_letter")) & (F.levenshtein("word", "other", 1) == 1) & side("other"))
     both = added.select("word", F.col("short").alias("other"), F.col("short_n").alias("other_n")).unionByName(added.select(F.col("short").alias("word"), F.col("word").alias("other"), F.col("n").alias("other_n")))
     found = written(both.unionByName(exchanged.select("word", "other", "other_n")))
     removed(words.sparkSession, folder)
