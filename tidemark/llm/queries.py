@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat_windows, decontaminate, language_id, license_scan, mixing, paragraph_dedup, simhash, sort_means, spelling, sst, warc
+from tidemark.llm import ann, chat_windows, decontaminate, interpolation, language_id, license_scan, mixing, paragraph_dedup, simhash, sort_means, spelling, sst, warc
 from tidemark.llm.common import shared_folder
 from tidemark.session import table
 
@@ -97,6 +97,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = interpolation.score(table(spark, sf_dir, "documents").select("doc_id", "text"), interpolation.part_of())
+    return found.withColumn("held_out", interpolation.held_out())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_paragraph_dedup": op1_paragraph_dedup,
     "op2_language_id": op2_language_id,
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ann": op10_ann,
     "op11_centroids": op11_centroids,
     "op12_spelling": op12_spelling,
+    "op13_interpolation": op13_interpolation,
 }
 
 
