@@ -26,7 +26,7 @@ from tidemark.llm.common import buffers, lower_ascii, shared_folder, written
 from tidemark.shared import removed
 
 #: Tokens of a block, of a piece of one text, and grams that blocks ask of a bucket.
-BLOCK, PIECE, BUCKET = 1 << 20, 1 << 20, 1 << 22
+BLOCK, PIECE, BUCKET = 1 << 20, 1 << 20, 1 << 21
 #: Parts of the table: what counts are taken from, what weights are learned from, and what is only scored.
 KEPT, DEV, TEST = 0, 1, 2
 #: Token numbers of a text's start and end, beside the hashes of words; the order of a gram stands in its last three bits.
@@ -71,7 +71,7 @@ class Block:
             grams.append(key)
         self.is_start = tokens == START
         self.keys, where = np.unique(np.concatenate(grams), return_inverse=True)
-        self.where = where.reshape(order, -1)
+        self.where = where.astype(np.int32).reshape(order, -1)
 
     def counted(self, part: np.ndarray) -> np.ndarray:
         """Occurrences of each key in (kept, dev) texts, scored places and starts alone; part: of each piece."""
@@ -195,12 +195,16 @@ ANSWER = "bucket int, block long, piece int, dev boolean, body binary, kept_word
 
 def _answers(asked: pa.Table) -> pa.Table:
     """Each row's grams' counts in (kept, dev) texts of all blocks; the bucket's own row, without a block, tells its distinct words."""
-    bodies = [_unpacked(b, 3) for b in asked.column("body").to_pylist()]
-    keys = np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in bodies])
-    distinct, where = np.unique(keys, return_inverse=True)
-    n = [np.bincount(where, weights=np.concatenate([b[k] for b in bodies]), minlength=len(distinct)).astype(np.int64) for k in (1, 2)]
-    ends = np.cumsum([b.shape[1] for b in bodies])
-    out = [_packed(n[0][where[a:b]], n[1][where[a:b]]) for a, b in zip(ends - [b.shape[1] for b in bodies], ends)]
+    bodies = [b.as_buffer() for b in asked.column("body").combine_chunks()]
+    sizes = np.array([b.size // 24 for b in bodies])
+    ends = np.cumsum(sizes)
+    distinct, where = np.unique(np.concatenate([np.cumsum(_unpacked(b, 3)[0], dtype=np.uint64) for b in bodies]), return_inverse=True)
+    where = where.astype(np.int32)
+    n = np.zeros((2, len(distinct)), np.int64)
+    for b, lo, hi in zip(bodies, ends - sizes, ends):
+        for k, x in enumerate(_unpacked(b, 3)[1:]):
+            n[k, where[lo:hi]] += x.astype(np.int64)  # a block asks for a gram once
+    out = [_packed(n[0][where[a:b]], n[1][where[a:b]]) for a, b in zip(ends - sizes, ends)]
     start = _mix(np.array([START]) + np.uint64(1)) & ~np.uint64(7) | np.uint64(1)
     word = (distinct & np.uint64(7) == 1) & (distinct != start[0])
     rows = asked.num_rows
