@@ -317,12 +317,6 @@ def x27(spark: SparkSession, d: str) -> DataFrame:
 GRID = {"a": (0, 9), "b": (1, 12), "c": (0, 4)}
 
 
-@add("g2_shuffles", """WITH o AS (SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1) SELECT event_type, r.r::INT AS sequence, n, total FROM o, range(3) r(r)""")
-def g2(spark: SparkSession, d: str) -> DataFrame:
-    s = G.shuffled(table(spark, d, "events"), KEY, "event_id", "value", 3, 3)
-    return rounded(s.groupBy("event_type", "sequence").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 4)
-
-
 @add("g4_global_plan", None)
 def g4(spark: SparkSession, d: str) -> DataFrame:
     return G.global_plan(spark, GRID, {"a": 5, "b": 6, "c": 2}, 128, legal=F.col("a") <= F.col("b"))
