@@ -7,6 +7,9 @@ contains a template to the threshold must hold one of the template's first |t| -
 meet templates on these alone. At the first token in common, what is left of the template and of the row's own tokens bounds the
 overlap (position), and the overlap itself must reach the need (length); only rows that pass are cut into blocks, and an exact
 intersection decides. DataFrame functions only. Only the templates, of fixed number and size, are broadcast.
+
+Word sets alone cannot tell a license from its neighbours, which differ by a word or a number. So a template may name phrases of which
+one must stand in the block as it is (REQUIRED), and phrases that must not (FORBIDDEN): `version 3` behind the name, `nc` in it, a third clause.
 """
 
 from __future__ import annotations
@@ -68,6 +71,24 @@ TEMPLATES = {
         OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
 
+#: Of these phrases one must stand in a template's block; they hold what tells the license from its neighbours.
+REQUIRED = {
+    "gpl-3.0": ("gnu general public license version 3", "gnu general public license v3", "gnu general public license v 3"),
+    "apache-2.0": ("licensed under the apache license version 2 0", "licensed under apache license version 2 0"),
+    "cc-by-nc-4.0": ("licensed under cc by nc 4 0", "licensed under a cc by nc 4 0", "licensed under the cc by nc 4 0"),
+    "mit-notice": ("released under the mit license", "licensed under the mit license", "distributed under the mit license", "released under mit license"),
+    "bsd": ("redistribution and use in source and binary forms",),
+    "mpl-2.0": ("mozilla public license v 2 0", "mozilla public license version 2 0"),
+    "apache-2.0-header": ("apache license version 2 0",),
+    "gpl-header": ("gnu general public license as published by the free software foundation either version 3", "gnu general public license as published by the free software foundation version 3"),
+    "mit-text": ("the above copyright notice and this permission notice shall be included",),
+    "isc-text": ("provided that the above copyright notice and this permission notice appear in all copies",),
+    "bsd-2-text": ("redistributions in binary form must reproduce the above copyright notice",),
+}
+
+#: None of these may stand there; they belong to another license with much the same words.
+FORBIDDEN = {"bsd-2-text": ("neither the name", "all advertising materials"), "apache-2.0": ("llvm exceptions",)}
+
 #: The least words of a block.
 BLOCK = 64
 ADDED = ("scan_words", "scan_base", "scan_first", "scan_last", "scan_labels", "scan_templates", "scan_score")
@@ -79,9 +100,10 @@ def words_of(text: str) -> list[str]:
 
 
 class Templates:
-    """Word sets, needs and block lengths of templates."""
+    """Word sets, needs, block lengths and phrases of templates."""
 
-    def __init__(self, templates: dict[str, str], threshold: float):
+    def __init__(self, templates: dict[str, str], threshold: float, required: dict[str, tuple[str, ...]], forbidden: dict[str, tuple[str, ...]]):
+        self.phrases = {label: tuple([" ".join(words_of(p)) for p in listed.get(label, ())] for listed in (required, forbidden)) for label in templates}
         self.words = {label: sorted(set(words_of(t))) for label, t in templates.items() if words_of(t)}
         self.need = {label: max(1, math.ceil(round(threshold * len(w), 9))) for label, w in self.words.items()}
         self.block = {label: max(BLOCK, 2 * len(words_of(templates[label]))) for label in self.words}
@@ -129,8 +151,14 @@ def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
+def _one_of(text: Column | str, listed: str) -> Column:
+    """Whether one of the listed phrases stands in a normalised text; where none is listed, none is asked for."""
+    text = F.col(text) if isinstance(text, str) else text
+    return (F.size(listed) == 0) | F.exists(listed, lambda p: F.contains(text, F.concat(F.lit(" "), p, F.lit(" "))))
+
+
 def matches(rows: DataFrame, known: Templates) -> DataFrame:
-    """(_row, label, containment) of the templates that rows (_row, _norm, _held) hold to the threshold: the best block's share.
+    """(_row, label, containment) of the templates that rows (_row, _norm, _held) hold to the threshold: the share of the best block that has the template's phrases.
 
     _held are the tokens of the templates that the row holds."""
     spark = rows.sparkSession
@@ -141,8 +169,8 @@ def matches(rows: DataFrame, known: Templates) -> DataFrame:
     for label, words in known.words.items():
         ranked = sorted(words, key=place.__getitem__)
         size, need = len(words), known.need[label]
-        entries += [(w, label, r, size, need, known.block[label], words) for r, w in enumerate(ranked[: size - need + 1], 1)]
-    prefix = F.broadcast(spark.createDataFrame(entries, "token string, label string, rank int, size int, need int, block int, words array<string>"))
+        entries += [(w, label, r, size, need, known.block[label], words, *known.phrases[label]) for r, w in enumerate(ranked[: size - need + 1], 1)]
+    prefix = F.broadcast(spark.createDataFrame(entries, "token string, label string, rank int, size int, need int, block int, words array<string>, required array<string>, forbidden array<string>"))
     # a row's own tokens in the global order, so that a token's place in the array says how many are left after it
     own = F.array_intersect(_strings(order), F.col("_held"))
     met = rows.where("_norm IS NOT NULL").select("_row", "_norm", own.alias("_own")).withColumn("_count", F.size("_own"))
@@ -152,27 +180,44 @@ def matches(rows: DataFrame, known: Templates) -> DataFrame:
     met = met.where(1 + left >= F.col("need"))
     overlap = F.size(F.array_intersect("_own", "words"))
     first = F.array_position(F.col("_own"), F.element_at(F.array_intersect("_own", "words"), 1)) == F.col("at") + 1
-    met = met.where((overlap >= F.col("need")) & first)
+    met = met.where((overlap >= F.col("need")) & first & _one_of("_norm", "required"))
     words = F.filter(F.split("_norm", " "), lambda w: w != "")
-    spans = met.select("_row", "label", "size", "need", "block", "words", words.alias("_words"))
+    spans = met.select("_row", "label", "size", "need", "block", "words", "required", "forbidden", words.alias("_words"))
     starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size("_words") - 2 * F.col("block")) / F.col("block")), F.lit(0)).cast("int"))
-    spans = spans.select("_row", "label", "size", "need", "block", "words", F.explode(F.transform(starts, lambda i: F.slice(F.col("_words"), i * F.col("block") + 1, 2 * F.col("block")))).alias("_span"))
+    spans = spans.select("_row", "label", "size", "need", "block", "words", "required", "forbidden", F.explode(F.transform(starts, lambda i: F.slice(F.col("_words"), i * F.col("block") + 1, 2 * F.col("block")))).alias("_span"))
     spans = spans.where(F.size(F.array_intersect("_span", "words")) >= F.col("need"))
     begins = F.sequence(F.lit(0), F.greatest(F.size("_span") - F.col("block"), F.lit(0)))
-    best = F.array_max(F.transform(begins, lambda i: F.size(F.array_intersect(F.slice(F.col("_span"), i + 1, F.col("block")), F.col("words")))))
+    common = lambda block: F.size(F.array_intersect(block, F.col("words")))
+    said = lambda block: F.concat(F.lit(" "), F.array_join(block, " "), F.lit(" "))
+
+    def count(i: Column) -> Column:
+        block = F.slice(F.col("_span"), i + 1, F.col("block"))
+        fits = _one_of(said(block), "required") & ((F.size("forbidden") == 0) | ~F.exists("forbidden", lambda p: F.contains(said(block), F.concat(F.lit(" "), p, F.lit(" ")))))
+        return F.when(common(block) >= F.col("need"), F.when(fits, common(block)))
+
+    best = F.array_max(F.transform(begins, count))
     found = spans.select("_row", "label", "size", "need", best.alias("_n")).where(F.col("_n") >= F.col("need"))
     return found.groupBy("_row", "label").agg(F.max(F.col("_n") / F.col("size")).alias("containment"))
 
 
-def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = 0.8, with_text: bool = True) -> DataFrame:
+def scan(
+    docs: DataFrame,
+    text: str = "text",
+    templates: dict[str, str] = TEMPLATES,
+    threshold: float = 0.8,
+    with_text: bool = True,
+    required: dict[str, tuple[str, ...]] = REQUIRED,
+    forbidden: dict[str, tuple[str, ...]] = FORBIDDEN,
+) -> DataFrame:
     """Adds the columns of phrases() and scan_templates (array of labels) and scan_score to every row; without the text if with_text is false.
 
-    scan_score is the best containment of a template in a block, or 0. A null text has no words; every row has its own result,
+    A template counts in blocks that hold one of its required phrases and none of the forbidden ones; a label without such lists asks for none.
+    scan_score is the best containment of a template in such a block, or 0. A null text has no words; every row has its own result,
     rows alike the same; an empty table gives an empty one. Columns of docs named like those added, and _norm, _found,
     _held, _row, _labels and _score, are left out. The narrow table is written to the shared folder.
     """
     docs = without(docs, *ADDED, *OWN)
-    known = Templates(templates, threshold)
+    known = Templates(templates, threshold, required, forbidden)
     kept = [F.col(f"`{c}`") for c in docs.columns if with_text or c != text]
     rows = docs.withColumn("_norm", _normal(F.col(text)))
     rows = rows.withColumns({"_found": F.regexp_count("_norm", F.lit(_any_of(PHRASES))), "_held": F.array_intersect(_strings(known.vocabulary), F.split("_norm", " "))})
