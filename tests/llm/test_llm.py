@@ -861,3 +861,25 @@ def test_router_parts_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(ann, "LEAST_PARTS", 2)
     monkeypatch.setattr(ann, "ROWS", 100)
     assert ann.learn(vectors).parts == 4
+
+
+def test_mix_of_a_hot_id_fills_many_shards(spark):
+    rows = [(7, " ".join(rng_words(i, 20 + i % 9)), "en", "a", 0) for i in range(600)] + [(i, " ".join(rng_words(i, 25)), "en", "b", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOC)
+    whole = mixing.mix(docs, docs_per_shard=50)
+    lean = mixing.mix(mixing.narrow(docs), docs_per_shard=50, size="size")
+    key = lambda r: (r.doc_id, r.source, r.mix_size, r.mix_source_size, round(r.mix_target, 6), r.mix_taken)
+    assert sorted(map(key, whole.collect())) == sorted(map(key, mixing.mix(docs, docs_per_shard=50).collect()))
+    for got in (whole.collect(), lean.collect()):
+        for source in "ab":
+            own = [r for r in got if r.source == source]
+            assert abs(sum(r.mix_taken for r in own) - own[0].mix_target) < 0.02 * own[0].mix_target + 64
+            assert all(r.mix_taken <= 3 * r.mix_size for r in own)
+    spread = mixing._spot(7, F.col("doc_id"), F.xxhash64("text"))
+    assert docs.where("doc_id = 7").select(spread.alias("s")).distinct().count() > 500
+
+
+def test_narrow_table_of_the_mix_holds_no_text(spark, odd_docs):
+    lean = mixing.narrow(odd_docs)
+    assert dict(lean.dtypes) == {"doc_id": "bigint", "source": "string", "size": "bigint", "text": "bigint"}
+    assert sorted(r["size"] for r in lean.collect()) == sorted(len(space_words(r.text)) for r in odd_docs.collect())

@@ -13,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_WORD, without
+from tidemark.llm.common import SPACE_WORD, without, written
 
 #: Spots that documents are dealt to before their source's number of shards is known: so many at least, and two for each shard that all
 #: documents could fill.
 SPOTS = 4096
-OWN = ("mix_size", "mix_source_size", "mix_target", "mix_taken", "_source", "_spot", "_shard", "_words", "_quota", "_n", "_to", "_start", "_run")
+OWN = ("mix_size", "mix_source_size", "mix_target", "mix_taken", "_source", "_spot", "_shard", "_words", "_quota", "_n", "_to", "_start", "_run", "_tie")
 
 
 def n_words(text: Column) -> Column:
@@ -80,6 +80,11 @@ def apportion(rows: DataFrame, within: list[str], order: list[str], value: str,
     return won.groupBy(*rows.columns).agg((F.max("_sure") + F.sum("_won")).alias(to))
 
 
+def narrow(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """(doc_id, source, size, text) for mix(size="size"): a table in the shared folder, for which texts are read once; text is a hash."""
+    return written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(text).alias("text")))
+
+
 def mix(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -90,19 +95,25 @@ def mix(
     block: int = 16,
     docs_per_shard: int = 2000,
     seed: int = 7,
+    size: str | None = None,
 ) -> DataFrame:
     """Adds mix_size, mix_source_size, mix_target and mix_taken (words, repeats counted) to every row.
 
     A null or empty text has size 0 and takes 0. A null source is a source of its own, last. No
     row takes more than cap times its size. A source's taken words differ from its target by about
-    a block and what its shards' last, shorter blocks lack. Rows of one id stand by the hash of
-    their texts; rows alike in both are interchangeable. An empty table gives an empty one. Columns of docs named
-    like those added, or like this function's own (see OWN), are left out.
+    a block and what its shards' last, shorter blocks lack. Rows are dealt and ordered by their id and the hash of their text, so
+    one id with many texts fills many shards; rows alike in both are interchangeable and share a shard. An empty table gives an empty one.
+    Columns of docs named like those added, or like this function's own (see OWN), are left out.
+
+    With `size`, a column that holds the words of each row, text may be a hash of the text: nothing but that column, id and
+    source is read again, and texts are neither counted nor carried (`narrow`).
     """
     docs = without(docs, *OWN)
     spots_in_all = max(SPOTS, 1 << (2 * docs.count() // docs_per_shard).bit_length())
     named = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))
-    sized = docs.withColumns({"mix_size": n_words(F.col(text)), "_source": named, "_spot": _spot(seed, F.col(doc_id)) % spots_in_all})
+    tie = F.xxhash64(text)
+    words = n_words(F.col(text)) if size is None else F.col(size).cast("long")
+    sized = docs.withColumns({"mix_size": words, "_source": named, "_spot": _spot(seed, F.col(doc_id), tie) % spots_in_all, "_tie": tie})
     spots = sized.groupBy("_source", "_spot").agg(F.first(source).alias("source"), F.sum("mix_size").alias("words"), F.count(F.lit(1)).alias("n"))
     sources = spots.groupBy("_source").agg(F.first("source").alias("source"), F.sum("words").alias("size"), F.sum("n").alias("n"))
     sources = targets(sources, weights, cap).withColumn("_all", F.floor(F.sum("size").over(Window.partitionBy(F.lit(0))) / block + 0.5).cast("long"))
@@ -120,7 +131,7 @@ def mix(
     n = F.ceil(F.col("_words") / block).cast("long")
     rows = rows.withColumn("_n", F.greatest(n, F.lit(1))).withColumn("_quota", F.least(F.col("_quota"), F.col("_n") * cap))
     start = _spot(seed, F.col("_source"), F.col("_shard")) % F.col("_n") * block
-    order = Window.partitionBy("_source", "_shard").orderBy(_spot(seed + 1, F.col(doc_id)), doc_id, "mix_size", F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("_source", "_shard").orderBy(_spot(seed + 1, F.col(doc_id)), doc_id, "mix_size", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"_to": F.sum("mix_size").over(order), "_start": start, "_run": F.col("_quota") % F.col("_n") * block})
     end, whole = F.col("_start") + F.col("_run"), F.col("_n") * block
 
