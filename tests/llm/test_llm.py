@@ -883,3 +883,14 @@ def test_narrow_table_of_the_mix_holds_no_text(spark, odd_docs):
     lean = mixing.narrow(odd_docs)
     assert dict(lean.dtypes) == {"doc_id": "bigint", "source": "string", "size": "bigint", "text": "bigint"}
     assert sorted(r["size"] for r in lean.collect()) == sorted(len(space_words(r.text)) for r in odd_docs.collect())
+
+
+def test_stores_that_arrow_cannot_open_are_refused_by_name(spark, no_docs, tokenizer_path):
+    from tidemark.llm.common import arrow_uri
+
+    assert arrow_uri("s3a://bucket/x") == "s3://bucket/x" and arrow_uri("file:///x/y") == "file:///x/y" and arrow_uri("hdfs://n:8020/x") == "hdfs://n:8020/x"
+    for bad in ("dbfs:/x", "/x", "oss://b/x"):
+        with pytest.raises(ValueError, match="Arrow"):
+            sst.write(no_docs, bad, tokenizer_path)
+        with pytest.raises(ValueError, match="Arrow"):
+            warc.archive(spark.createDataFrame([], "page_id long, url string, html string"), bad)

@@ -9,12 +9,13 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.shared import shared_folder, written
 
-__all__ = ["LOWER", "PLAIN_GAP", "SPACE_WORD", "UPPER", "buffers", "lower_ascii", "one_a_task", "per_process", "shared_folder", "split_join", "without", "written"]
+__all__ = ["LOWER", "PLAIN_GAP", "SPACE_WORD", "UPPER", "arrow_files", "arrow_uri", "buffers", "lower_ascii", "one_a_task", "per_process", "shared_folder", "split_join", "without", "written"]
 
 #: Words are runs of anything but ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +44,23 @@ def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[lo:hi], offsets - lo
 
 
+#: Schemes that Arrow opens, and what it calls those that Hadoop knows by another name.
+ARROW_SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def arrow_uri(folder: str) -> str:
+    """The folder's URI as Arrow names it; a store that Arrow cannot open is refused by name, before a task starts."""
+    scheme, mark, rest = folder.partition("://")
+    if not mark or scheme not in ARROW_SCHEMES:
+        raise ValueError(f"files are written by Arrow, which has no file system for {folder!r}; it knows {', '.join(sorted(set(ARROW_SCHEMES)))}")
+    return f"{ARROW_SCHEMES[scheme]}://{rest}"
+
+
+def arrow_files(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a folder or file of the shared store."""
+    return pafs.FileSystem.from_uri(arrow_uri(folder))
+
+
 def per_process(key: str, make: Callable[[], Any]) -> Any:
     """One object for each Python worker, kept from task to task (what a task brings along is not)."""
     kept = sys.modules.setdefault("_tidemark_kept", types.ModuleType("_tidemark_kept")).__dict__

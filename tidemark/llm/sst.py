@@ -29,12 +29,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import one_a_task, per_process, written
+from tidemark.llm.common import arrow_files, arrow_uri, one_a_task, per_process, written
 
 MAGIC = b"TIDESST1"
 #: Bloom filter place, index place, index size, blocks, documents, ids, the width of an id in bytes, magic.
@@ -294,6 +293,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
     spark.sql.shuffle.partitions unless given. A shard appears whole under a name of its own
     for each attempt, and the table names those that counted.
     """
+    arrow_uri(folder)
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
@@ -309,7 +309,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
                 if encoder is None:
                     encoder = per_process(f"encoder {tokenizer}", lambda: Encoder(tokenizer))
                     end = np.array([end_id], encoder.kind).tobytes()
-                    target, base = pafs.FileSystem.from_uri(folder)
+                    target, base = arrow_files(folder)
                     target.create_dir(base, recursive=True)
                     shard = TaskContext.get().partitionId()
                     short = f"shard-{shard:05d}-{uuid.uuid4().hex[:12]}.sst"
@@ -334,7 +334,7 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                source, path = pafs.FileSystem.from_uri(name)
+                source, path = arrow_files(name)
                 with source.open_input_file(path) as stream:
                     rows = []
                     for key, ids in Reader(stream):

@@ -18,12 +18,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import one_a_task, shared_folder, split_join, written
+from tidemark.llm.common import arrow_files, arrow_uri, one_a_task, shared_folder, split_join, written
 
 #: The magic number of a dictionary's skippable frame.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -98,11 +97,12 @@ def write(rows: DataFrame, folder: str, trained: bytes, level: int = 6) -> DataF
     A file appears whole, under a name of its own for each attempt; the table names those
     of the attempts that counted, so a task that is run again leaves nothing wrong behind.
     """
+    arrow_uri(folder)
     packed = zstandard.ZstdCompressor(level=19).compress(trained)
     records = rows.select("payload", "digest", "length", record_uri(F.col("page_id")).alias("uri"), "url", F.when(F.col("refers_to").isNotNull(), record_uri(F.col("refers_to"))).alias("refers"))
 
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, base = pafs.FileSystem.from_uri(folder)
+        target, base = arrow_files(folder)
         target.create_dir(base, recursive=True)
         short = f"records-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}.warc.zst"
         name = f"{base}/{short}"
@@ -158,7 +158,7 @@ def read(spark: SparkSession, manifest: DataFrame, payloads: bool = True) -> Dat
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows, size = [], 0
-                source, path = pafs.FileSystem.from_uri(name)
+                source, path = arrow_files(name)
                 with source.open_input_file(path) as stream:
                     for fields, block in records_of(stream):
                         head, _, body = block.partition(b"\r\n\r\n")
