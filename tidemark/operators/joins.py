@@ -130,10 +130,18 @@ def paired_differences(points: DataFrame, left: str, right: str, config: str, ke
     return a.join(b, key).select(key, *[(F.col(f"l_{v}") - F.col(f"r_{v}")).alias(v) for v in values])
 
 
-def missing_by_configuration(points: DataFrame, config: str, key: str) -> DataFrame:
-    """For each configuration the keys that others have and it lacks."""
-    every = points.select(key).distinct().crossJoin(points.select(config).distinct())
-    return every.join(points.select(config, key).distinct(), [config, key], "left_anti")
+def missing_by_configuration(points: DataFrame, config: str, key: str, most: int = 100_000) -> DataFrame:
+    """For each configuration the keys that others have and it lacks.
+
+    A key's configurations are gathered and taken from the list of all, so the only rows made are those of the result. That list goes to
+    every task: more than `most` configurations are refused. Null configurations are left out; a null key is a key.
+    """
+    own = points.where(F.col(config).isNotNull()).groupBy(key).agg(F.collect_set(config).alias("_own"))
+    every = points.agg(F.array_sort(F.collect_set(config)).alias("_all"))
+    n = every.select(F.size("_all")).first()[0]
+    if n > most:
+        raise ValueError(f"{n} configurations, {most} are allowed")
+    return own.crossJoin(F.broadcast(every)).select(F.explode(F.array_except("_all", "_own")).alias(config), key)  # one row
 
 
 def ancestors(edges: DataFrame, roots: DataFrame, child: str, parent: str, most_steps: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ of one is made anywhere, in any order, and a longer one begins with a shorter on
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -100,27 +101,62 @@ def _fresh(rows: DataFrame, axes: list[str], *others: DataFrame | None) -> DataF
     return rows
 
 
+#: Grids up to this size are counted before points are drawn from them; beyond it, so many attempts are made at most.
+COUNTED, MOST_TRIES = 1 << 24, 1 << 33
+
+
+def _every_point(spark: SparkSession, grid: Grid) -> DataFrame:
+    rows = spark.range(1)
+    for a, (lo, hi) in grid.items():
+        rows = rows.withColumn(a, F.explode(F.sequence(F.lit(lo), F.lit(hi))))
+    return rows.select(*grid)
+
+
+def _refuse_too_few(spark: SparkSession, grid: Grid, count: int, legal: Column | None, *taken: DataFrame | None) -> None:
+    """Raises where a grid that can be counted has fewer than `count` legal points besides those taken."""
+    if combinations(grid) > COUNTED:
+        return
+    points = _every_point(spark, grid)
+    there = _fresh(points if legal is None else points.where(legal), list(grid), *taken).count()
+    if there < count:
+        raise ValueError(f"{count} points are asked for, and there are {there}")
+
+
+def _found(tries: Callable[[int], DataFrame], count: int, most: int = MOST_TRIES) -> DataFrame:
+    """tries(n) for n large enough to find `count` rows; n doubles from twice the count, and more than `most` is an error."""
+    n = 2 * max(count, 1)
+    while True:
+        rows = tries(n)
+        there = rows.count()
+        if there >= count:
+            return rows
+        if n >= most:
+            raise ValueError(f"{there} of {count} points found in {n} attempts")
+        n = min(2 * n, most)
+
+
 def halton_sample(spark: SparkSession, grid: Grid, count: int, offset: int = 0, excluded: DataFrame | None = None) -> DataFrame:
-    """(seq, axes): the first `count` different grid points of the Halton sequence after `offset`.
+    """(seq, axes): the first `count` different grid points of the Halton sequence after `offset`, without excluded ones.
 
-    Twice as many indices are tried as are needed, then four times as many, until there are enough; the range grows, not the job's state."""
+    Twice as many indices are tried as are needed, then twice as many again, until there are enough; the range grows, not the job's
+    state. A grid with too few points is refused."""
     axes = list(grid)
     if combinations(grid) < count:
         raise ValueError("the grid has fewer points than asked for")
-    tried = 2 * count
-    while True:
-        seq = spark.range(offset + 1, offset + 1 + tried).select(F.col("id").alias("seq"))
+    _refuse_too_few(spark, grid, count, None, excluded)
+
+    def tries(n: int) -> DataFrame:
+        seq = spark.range(offset + 1, offset + 1 + n).select(F.col("id").alias("seq"))
         points = seq.select("seq", *[_on_grid(radical_inverse(F.col("seq"), p), grid[a]).alias(a) for a, p in zip(axes, PRIMES)])
-        found = _fresh(_first_of_each(points, axes, "seq"), axes, excluded)
-        if tried >= 100 * count + 100 or found.count() >= count:
-            return found.orderBy("seq").limit(count).select("seq", *axes)
-        tried *= 2
+        return _fresh(_first_of_each(points, axes, "seq"), axes, excluded)
+
+    return _found(tries, count).orderBy("seq").limit(count).select("seq", *axes)
 
 
 def global_plan(spark: SparkSession, grid: Grid, base: dict[str, int], count: int, start: int = 0, existing: DataFrame | None = None, anchors: bool = True, legal: Column | None = None) -> DataFrame:
     """(axes, origin, origin_key, sobol_index): the base and the ends of each axis through it, then `count` new points of
     the Sobol sequence from `start` on, or the whole grid if that is no larger and start is 0. Points that exist, or are
-    not legal, are left out; a point belongs to its first origin."""
+    not legal, are left out; a point belongs to its first origin. A grid with fewer than `count` new legal points is refused."""
     axes = list(grid)
     kind = [f"{a} int" for a in axes]
     rows = []
@@ -136,21 +172,19 @@ def global_plan(spark: SparkSession, grid: Grid, base: dict[str, int], count: in
     fixed = fixed.groupBy(*axes).agg(F.min_by(F.struct("rank", "origin", "origin_key"), "rank").alias("o")).select(*axes, "o.rank", "o.origin", "o.origin_key", F.lit(None).cast("long").alias("sobol_index"))
     total = combinations(grid)
     if total <= count and start == 0:
-        every = spark.range(1)
-        for a in axes:
-            every = every.withColumn(a, F.explode(F.sequence(F.lit(grid[a][0]), F.lit(grid[a][1]))))
+        every = _every_point(spark, grid)
         more = every.select(*axes, F.lit(1 << 40).alias("rank"), F.lit("full_enumeration").alias("origin"), F.concat_ws(":", *axes).alias("origin_key"), F.lit(None).cast("long").alias("sobol_index"))
         more = _fresh(more.where(legal) if legal is not None else more, axes, existing, fixed)
         return fixed.unionByName(more).drop("rank")
-    tried = 2 * max(count, 1)
-    while True:
-        index = spark.range(start, start + tried).select(F.col("id").alias("sobol_index"))
+    _refuse_too_few(spark, grid, count, legal, existing, fixed)
+
+    def tries(n: int) -> DataFrame:
+        index = spark.range(start, start + n).select(F.col("id").alias("sobol_index"))
         points = index.select("sobol_index", *[_on_grid(sobol(F.col("sobol_index"), k), grid[a]).alias(a) for k, a in enumerate(axes)])
         points = points.where(legal) if legal is not None else points
-        found = _fresh(_first_of_each(points, axes, "sobol_index"), axes, existing, fixed)
-        if tried >= 1024 * count + 65_536 or found.count() >= count:
-            break
-        tried *= 2
+        return _fresh(_first_of_each(points, axes, "sobol_index"), axes, existing, fixed)
+
+    found = _found(tries, count, (1 << BITS) - start)
     chosen = found.orderBy("sobol_index").limit(count)
     more = chosen.select(*axes, F.lit(1 << 40).alias("rank"), F.lit("sobol").alias("origin"), F.concat(F.lit("sobol:"), F.col("sobol_index")).alias("origin_key"), "sobol_index")
     return fixed.unionByName(more).drop("rank")
@@ -161,23 +195,21 @@ def local_plan(spark: SparkSession, grid: Grid, centre: dict[str, int], radius:
     spans = {a: (max(lo, centre[a] - radius), min(hi, centre[a] + radius)) for a, (lo, hi) in grid.items()}
     if most is not None and combinations(spans) > most:
         raise ValueError("the box has more points than allowed")
-    rows = spark.range(1)
-    for a, (lo, hi) in spans.items():
-        rows = rows.withColumn(a, F.explode(F.sequence(F.lit(lo), F.lit(hi))))
-    return _fresh(rows.select(*grid), list(grid), existing)
+    return _fresh(_every_point(spark, spans), list(grid), existing)
 
 
 def discrete_sample(spark: SparkSession, grid: Grid, count: int, seed: int, excluded: DataFrame | None = None, legal: Column | None = None) -> DataFrame:
-    """(attempt, axes): `count` different legal points drawn evenly; attempts are numbered, so more attempts only add points."""
+    """(attempt, axes): `count` different legal points drawn evenly; attempts are numbered, so more attempts only add points. A
+    grid with too few legal points besides the excluded ones is refused."""
     axes = list(grid)
-    tried = 2 * count
-    while True:
-        rows = spark.range(tried).select(F.col("id").alias("attempt"), *[_on_grid(keyed_uniform(F.lit(seed), F.col("id"), F.lit(a)), grid[a]).alias(a) for a in axes])
+    _refuse_too_few(spark, grid, count, legal, excluded)
+
+    def tries(n: int) -> DataFrame:
+        rows = spark.range(n).select(F.col("id").alias("attempt"), *[_on_grid(keyed_uniform(F.lit(seed), F.col("id"), F.lit(a)), grid[a]).alias(a) for a in axes])
         rows = rows.where(legal) if legal is not None else rows
-        found = _fresh(_first_of_each(rows, axes, "attempt"), axes, excluded)
-        if tried >= 1000 * count or found.count() >= count:
-            return found.orderBy("attempt").limit(count).select("attempt", *axes)
-        tried *= 4
+        return _fresh(_first_of_each(rows, axes, "attempt"), axes, excluded)
+
+    return _found(tries, count).orderBy("attempt").limit(count).select("attempt", *axes)
 
 
 def rejections(spark: SparkSession, grid: Grid, attempts: int, seed: int, legal: Column) -> DataFrame:
