@@ -1,7 +1,6 @@
 """Models as Spark jobs: sums of products, trees and clusters by Spark, scoring by expressions.
 
-Linear fits need only sums of products, which are added up before a shuffle; what is solved on the driver has as many
-rows as there are coefficients.
+Models of a key are rows of a table (`fits`); nothing here grows a plan, or the driver, with the keys.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import inverse_normal, normal_cdf, radical_inverse
+from tidemark.operators import fits
 
 
 def folds_of(rows: DataFrame, keys: list[str], order: str, min_train: int, purge: int, folds: int) -> DataFrame:
@@ -37,77 +37,27 @@ def basis(ratios: list[str], interactions: bool = False) -> dict[str, Column]:
     return out
 
 
-def least_squares(rows: DataFrame, keys: list[str], x: list[str], y: list[str], ridge: float = 1e-9) -> dict[tuple, np.ndarray]:
-    """Coefficients (1 + len(x), len(y)) by key: all keys' sums of products in one aggregation, solved one by one."""
-    columns = [F.lit(1.0), *[F.col(c) for c in x]]
-    n = len(columns)
-    sums = [F.sum(columns[i] * columns[j]).alias(f"xx_{i}_{j}") for i in range(n) for j in range(i, n)] + [F.sum(columns[i] * F.col(c)).alias(f"xy_{i}_{k}") for i in range(n) for k, c in enumerate(y)]
-    out = {}
-    for r in rows.groupBy(*keys).agg(*sums).collect():
-        a = np.array([[r[f"xx_{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)], float) + ridge * np.eye(n)
-        b = np.array([[r[f"xy_{i}_{k}"] for k in range(len(y))] for i in range(n)], float)
-        out[tuple(r[k] for k in keys)] = np.linalg.lstsq(a, b, rcond=None)[0]
-    return out
-
-
-def predicted(keys: list[str], x: list[str], models: dict[tuple, np.ndarray], k: int = 0) -> Column:
-    """The fitted value of response k for a row's key; null for a key without a model."""
-    out = F.lit(None).cast("double")
-    for key, c in models.items():
-        fits = F.lit(True)
-        for name, v in zip(keys, key):
-            fits = fits & F.col(name).eqNullSafe(F.lit(v))
-        value = F.lit(float(c[0, k]))
-        for name, w in zip(x, c[1:, k]):
-            value = value + float(w) * F.col(name)
-        out = F.when(fits, value).otherwise(out)
-    return out
-
-
-def regions_by_area(rows: DataFrame, keys: list[str], regions: int, area: str, slope: str, rounds: int = 20) -> DataFrame:
-    """Adds region: k-means cells of (area, slope), started at the points at the odd 2k-ths of the areas."""
+def regions_by_area(rows: DataFrame, keys: list[str], regions: int, area: str, slope: str, rounds: int | None = None) -> DataFrame:
+    """Adds region: k-means cells of (area, slope), started at the points at the odd 2k-ths of the areas; they settle, or are assigned `rounds` times."""
     if regions == 1:
         return rows.withColumn("region", F.lit(0))
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
-    at = rows.withColumns({"_i": F.row_number().over(w.orderBy(area, slope)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    own = lambda r: {k: r[k] for k in keys}
-    places = F.array(*[F.floor((2 * j + 1) * F.col("_n") / (2 * regions)) for j in range(regions)])
-    start = at.where(F.array_contains(places, F.col("_i"))).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", area, slope))).alias("c"))
-    centres = [(own(r), [(c[area], c[slope]) for c in r["c"]]) for r in start.collect()]
-    for _ in range(rounds):
-        placed = _nearest(rows, centres, area, slope)
-        means = {(tuple(r[k] for k in keys), r["region"]): (r["a"], r["s"]) for r in placed.groupBy(*keys, "region").agg(F.avg(area).alias("a"), F.avg(slope).alias("s")).collect()}
-        new = [(k, [means.get((tuple(k.values()), i), c) for i, c in enumerate(cs)]) for k, cs in centres]
-        if new == centres:
-            break
-        centres = new
-    return _nearest(rows, centres, area, slope)
-
-
-def _nearest(rows: DataFrame, centres: list[tuple[dict, list[tuple[float, float]]]], area: str, slope: str) -> DataFrame:
-    out = F.lit(None).cast("int")
-    for key, cs in centres:
-        fits = F.lit(True)
-        for name, v in key.items():
-            fits = fits & F.col(name).eqNullSafe(F.lit(v))
-        d = lambda c: (F.col(area) - c[0]) * (F.col(area) - c[0]) + (F.col(slope) - c[1]) * (F.col(slope) - c[1])
-        best = F.array_min(F.array(*[F.struct(d(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(cs)]))["i"]
-        out = F.when(fits, best).otherwise(out)
-    return rows.withColumn("region", out)
+    values = [area, slope]
+    centres = fits.cells(rows, keys, values, fits.starts(rows, keys, values, values, regions), regions, None if rounds is None else rounds - 1)
+    return fits.nearest(rows, keys, values, centres, "region").drop("_c")
 
 
 def geometry_model(train: DataFrame, keys: list[str], x: tuple[str, str], y: tuple[str, str]) -> DataFrame:
     """(keys, region, weight, ca, cs, sa, ss, cov): linear fits of both responses on both features in each region, and the residuals' spread."""
     group = [*keys, "region"]
-    models = least_squares(train, group, list(x), list(y))
-    rows = train.withColumns({"_a": F.col(y[0]) - predicted(group, list(x), models, 0), "_s": F.col(y[1]) - predicted(group, list(x), models, 1)})
+    models = fits.least_squares(train, group, list(x), list(y)).withColumnsRenamed({y[0]: "ca", y[1]: "cs"}).drop("n")
+    rows = fits.met(train, models, group)
+    rows = rows.withColumns({"_a": F.col(y[0]) - fits.line("ca", list(x)), "_s": F.col(y[1]) - fits.line("cs", list(x))})
     floor = lambda c: F.sqrt(F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(1e-9)))
-    spread = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), floor(F.var_samp("_a")).alias("sa"), floor(F.var_samp("_s")).alias("ss"), F.coalesce(F.covar_samp("_a", "_s"), F.lit(0.0)).alias("cov"))
+    spread = rows.groupBy(*group).agg(F.any_value("ca").alias("ca"), F.any_value("cs").alias("cs"), F.count(F.lit(1)).alias("n"), floor(F.var_samp("_a")).alias("sa"), floor(F.var_samp("_s")).alias("ss"), F.coalesce(F.covar_samp("_a", "_s"), F.lit(0.0)).alias("cov"))
     limit = 0.999 * F.col("sa") * F.col("ss")
     spread = spread.withColumn("cov", F.greatest(F.least("cov", limit), -limit))
     total = F.sum("n").over(Window.partitionBy(*(keys or [F.lit(0)])))
-    coefficient = lambda k: [predicted(group, [], {m: c[i : i + 1] for m, c in models.items()}, k) for i in range(3)]
-    return spread.select(*group, (F.col("n") / total).alias("weight"), F.array(*coefficient(0)).alias("ca"), F.array(*coefficient(1)).alias("cs"), "sa", "ss", "cov")
+    return spread.select(*group, (F.col("n") / total).alias("weight"), "ca", "cs", "sa", "ss", "cov")
 
 
 def geometry_scores(rows: DataFrame, model: DataFrame, keys: list[str], x: tuple[str, str], y: tuple[str, str], id_: str) -> DataFrame:
@@ -167,40 +117,6 @@ def six_regions(components: DataFrame, keys: list[str], direction: float, magnit
     return named.groupBy(*keys).agg(*[(F.coalesce(F.sum(F.when(F.col("_r") == n, F.col("_w"))), F.lit(0.0)) / whole).alias(n) for n in names])
 
 
-def lognormal_mixture(rows: DataFrame, keys: list[str], value: str, k: int, rounds: int = 30) -> DataFrame:
-    """(keys, component, weight, mean, variance) of ln(value): one-dimensional k-means cells and their moments, started at the odd 2k-ths.
-
-    Cells of a line are intervals, so a round is one aggregation."""
-    logs = rows.where(F.col(value) > 0).select(*keys, F.log(value).alias("_x"))
-    if k == 1:
-        placed = logs.withColumn("component", F.lit(0))
-    else:
-        start = logs.groupBy(*keys).agg(F.percentile("_x", F.array(*[F.lit((2 * j + 1) / (2 * k)) for j in range(k)])).alias("_c"))
-        for _ in range(min(rounds, 8)):  # cells of a line settle within a few rounds
-            placed = _cells(logs, start, keys)
-            start = placed.groupBy(*keys, "component").agg(F.avg("_x").alias("_m")).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("component", "_m"))), lambda s: s["_m"]).alias("_c"))
-        placed = _cells(logs, start, keys)
-    total = F.sum("n").over(Window.partitionBy(*(keys or [F.lit(0)])))
-    per = placed.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"), F.greatest(F.coalesce(F.var_samp("_x"), F.lit(0.0)), F.lit(1e-6)).alias("variance"))
-    return per.select(*keys, "component", (F.col("n") / total).alias("weight"), "mean", "variance")
-
-
-def _cells(logs: DataFrame, centres: DataFrame, keys: list[str]) -> DataFrame:
-    both = logs.join(centres, keys) if keys else logs.crossJoin(F.broadcast(centres))  # one row of centres
-    nearest = F.array_min(F.transform("_c", lambda c, i: F.struct(F.abs(F.col("_x") - c).alias("d"), i.alias("i"))))["i"]
-    return both.withColumn("component", nearest).drop("_c")
-
-
-def mixture_nll(rows: DataFrame, mixture: DataFrame, keys: list[str], value: str, id_: str) -> DataFrame:
-    """(keys, nll, se): mean negative log density of ln(value) under each key's mixture and its standard error."""
-    logs = rows.where(F.col(value) > 0).select(*[k for k in keys if k in rows.columns], id_, F.log(value).alias("_x"))
-    both = logs.join(mixture, [k for k in keys if k in rows.columns]) if any(k in rows.columns for k in keys) else logs.crossJoin(F.broadcast(mixture))
-    d = F.col("_x") - F.col("mean")
-    f = F.col("weight") * F.exp(-d * d / (2 * F.col("variance"))) / F.sqrt(2 * math.pi * F.col("variance"))
-    per = both.groupBy(*keys, id_).agg(-F.log(F.greatest(F.sum(f), F.lit(1e-15)))).toDF(*keys, id_, "_l")
-    return per.groupBy(*keys).agg(F.avg("_l").alias("nll"), (F.coalesce(F.stddev_samp("_l"), F.lit(0.0)) / F.sqrt(F.count(F.lit(1)))).alias("se"))
-
-
 def projected_on_simplex(x: np.ndarray) -> np.ndarray:
     """The nearest point with parts of 0 or more that sum to 1."""
     s = np.sort(x)[::-1]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.functions import checks as C
 from tidemark.functions import hashing as H
 from tidemark.functions import scalar as X
+from tidemark.operators import fits as M
 from tidemark.operators import indicators as I
 from tidemark.operators import learning as L
 from tidemark.operators import paths as P
@@ -386,28 +387,94 @@ def l9(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_returnflag", (F.col("l_quantity") / 25).alias("q"), (F.col("l_extendedprice") / 40_000).alias("e"), F.col("l_discount").alias("y"))
     cols = L.basis(["q", "e"], True)
     rows = li.where("q > 0 AND e > 0").withColumns(cols).persist()
-    models = L.least_squares(rows, ["l_returnflag"], list(cols), ["y"])
-    fit = L.predicted(["l_returnflag"], list(cols), models)
-    return rounded(rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("y") - fit, 2)).alias("mse"), F.var_pop("y").alias("base")), 6)
+    models = M.least_squares(rows, ["l_returnflag"], list(cols), ["y"])
+    fitted = M.predicted(rows, models, ["l_returnflag"], list(cols), "y", "fit")
+    return rounded(fitted.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("y") - F.col("fit"), 2)).alias("mse"), F.var_pop("y").alias("base")), 6)
+
+
+def _settled(k_values: str, lists: str, source: str) -> str:
+    """CTEs: k-means over lists of each key, one step of the recursion a round, until the centres repeat. lists: xs, or xs and ys."""
+    two = lists == "xs, ys"
+    far_at = "(xs[j] - q[1]) * (xs[j] - q[1])" + (" + (ys[j] - q[2]) * (ys[j] - q[2])" if two else "")
+    near = f"[list_position([{far_at} for q in c], list_min([{far_at} for q in c])) for j in range(1, len(xs) + 1)]"
+    mean = lambda v: f"coalesce(list_avg([{v}[j] for j in range(1, len(a) + 1) if a[j] = i]), c[i][{1 if v == 'xs' else 2}])"
+    point = lambda at: f"[xs[{at}]" + (f", ys[{at}]]" if two else "]")
+    return f"""{source}, s AS (SELECT event_type, k, {lists}, [{point("((2 * i + 1) * len(xs)) // (2 * k) + 1")} for i in range(k)] AS c FROM l, (VALUES {k_values}) t(k)),
+    r AS (SELECT event_type, k, {lists}, c, NULL::DOUBLE[][] AS was FROM s UNION ALL
+      SELECT event_type, k, {lists}, [[{mean("xs")}{", " + mean("ys") if two else ""}] for i in range(1, k + 1)], c FROM (SELECT *, {near} AS a FROM r WHERE c IS DISTINCT FROM was)),
+    e AS (SELECT event_type, k, {lists}, c, {near} AS a FROM r WHERE c IS NOT DISTINCT FROM was),
+    p AS (SELECT event_type, k, unnest(a) - 1 AS component, unnest(xs) AS x{", unnest(ys) AS y" if two else ""} FROM e)"""
+
+
+@add(
+    "l14_lognormal_mixture",
+    f"""WITH RECURSIVE {_settled("(1), (2), (3)", "xs", "l AS (SELECT event_type, list(ln(value) ORDER BY value) AS xs FROM events WHERE value > 0 GROUP BY 1)")}
+    SELECT event_type, k, component::INT AS component, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY event_type, k), 6) AS weight, round(avg(x), 6) AS mean, round(greatest(coalesce(var_samp(x), 0), 1e-6), 6) AS variance
+    FROM p GROUP BY event_type, k, component""",
+)
+def l14(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").where("value > 0").select("event_type", F.log("value").alias("x"))
+    found = M.mixtures(e, KEY, ["x"], ["x"], F.array(*map(F.lit, (1, 2, 3))), 3)
+    return rounded(found.select("event_type", "k", "component", "n", "weight", F.col("mean")[0].alias("mean"), F.col("variance")[0].alias("variance")))
 
 
-@add("l14_lognormal_mixture", """SELECT event_type, count(*) AS n, round(avg(ln(value)), 6) AS mean, round(var_samp(ln(value)), 6) AS variance FROM events WHERE value > 0 GROUP BY 1""")
-def l14(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    m = L.lognormal_mixture(e, KEY, "value", 1)
-    n = e.where("value > 0").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(m.join(n, "event_type").select("event_type", "n", "mean", "variance"))
+#: Moves from the open of hourly bars: up and down, 0 or more.
+MOVES = f"""{BEH}, m AS (SELECT event_type, open_time_ms, CASE WHEN open > 0 AND high > open THEN ln(high / open) ELSE 0 END AS up, CASE WHEN low > 0 AND low < open THEN ln(open / low) ELSE 0 END AS down FROM be)"""
+
+
+def moves(spark: SparkSession, d: str) -> DataFrame:
+    up = F.expr("CASE WHEN open > 0 AND high > open THEN ln(high / open) ELSE 0D END")
+    down = F.expr("CASE WHEN low > 0 AND low < open THEN ln(open / low) ELSE 0D END")
+    return bars_events(spark, d, HOUR).select("event_type", "open_time_ms", up.alias("up"), down.alias("down"))
+
+
+@add(
+    "l13_bivariate_mixture",
+    f"""WITH RECURSIVE {_settled("(2), (3)", "xs, ys", MOVES + ", l AS (SELECT event_type, list(ln(up) ORDER BY open_time_ms) AS xs, list(ln(down) ORDER BY open_time_ms) AS ys FROM m WHERE up > 0 AND down > 0 GROUP BY 1)")},
+    g AS (SELECT event_type, k, component, count(*) AS n, avg(x) AS mx, avg(y) AS my, greatest(coalesce(var_samp(x), 0), 1e-6) AS vx, greatest(coalesce(var_samp(y), 0), 1e-6) AS vy, coalesce(covar_samp(x, y), 0) AS c FROM p GROUP BY ALL)
+    SELECT event_type, k, component::INT AS component, n, round(n / sum(n) OVER (PARTITION BY event_type, k), 6) AS weight, round(mx, 6) AS mean_up, round(my, 6) AS mean_down, round(vx, 6) AS var_up, round(vy, 6) AS var_down,
+      round(greatest(least(c, 0.999 * sqrt(vx * vy)), -0.999 * sqrt(vx * vy)), 6) AS cov FROM g""",
+)
+def l13_bivariate(spark: SparkSession, d: str) -> DataFrame:
+    both = moves(spark, d).where("up > 0 AND down > 0").select("event_type", "open_time_ms", F.log("up").alias("u"), F.log("down").alias("v"))
+    found = M.mixtures(both, KEY, ["u", "v"], ["open_time_ms"], F.array(F.lit(2), F.lit(3)), 3)
+    moments = [F.col(c)[i].alias(f"{n}_{s}") for c, n in (("mean", "mean"), ("variance", "var")) for i, s in enumerate(("up", "down"))]
+    return rounded(found.select("event_type", "k", "component", "n", "weight", *moments, "cov"))
+
+
+@add("l13_zero_masses", f"""WITH {MOVES}, t AS (SELECT event_type, CASE WHEN up > 0 AND down > 0 THEN 'both' WHEN up > 0 THEN 'up' WHEN down > 0 THEN 'down' ELSE 'zero' END AS kind FROM m),
+    n AS (SELECT event_type, kind, count(*) AS n FROM t GROUP BY ALL) SELECT event_type, kind, round(n / sum(n) OVER (PARTITION BY event_type), 6) AS mass FROM n""")
+def l13_masses(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(M.zero_masses(moves(spark, d), KEY, "up", "down"))
+
+
+@add("l13_zero_inflated", None)
+def l13(spark: SparkSession, d: str) -> DataFrame:
+    """The whole model of each key and the probabilities of its six regions."""
+    fitted = M.zero_inflated(moves(spark, d), KEY, "up", "down", "open_time_ms")
+    return rounded(L.six_regions(fitted, KEY, 0.2, 0.1))
 
 
 @add("l15_component_count", None)
 def l15(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_type", "event_id", "value")
-    train, rest = e.where("event_id % 5 < 4"), e.where("event_id % 5 = 4")
-    out = None
-    for k in (1, 2, 3):
-        one = L.mixture_nll(rest, L.lognormal_mixture(train, KEY, "value", k), KEY, "value", "event_id").withColumn("k", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out, 4)
+    e = table(spark, d, "events").where("value > 0").select("event_type", "event_id", F.log("value").alias("x"))
+    return rounded(M.component_losses(e, KEY, ["x"], None, "event_id"), 4)
+
+
+@add(
+    "l27_fit_by_key",
+    """WITH r AS (SELECT l_partkey, l_quantity / 25 AS q, l_discount * 10 AS d, l_extendedprice / 1e4 AS y FROM lineitem),
+    m AS (SELECT l_partkey, count(*) AS n, avg(q) AS mq, avg(d) AS md, avg(y) AS my, sum(q * q) - avg(q) * sum(q) + 1e-9 AS qq, sum(d * d) - avg(d) * sum(d) + 1e-9 AS dd, sum(q * d) - avg(q) * sum(d) AS qd,
+      sum(q * y) - avg(q) * sum(y) AS qy, sum(d * y) - avg(d) * sum(y) AS dy FROM r GROUP BY 1 HAVING qq * dd - qd * qd > 1e-3),
+    c AS (SELECT *, (qy * dd - dy * qd) / (qq * dd - qd * qd) AS bq, (dy * qq - qy * qd) / (qq * dd - qd * qd) AS bd FROM m)
+    SELECT l_partkey, n, round(my - bq * mq - bd * md, 4) AS constant, round(bq, 4) AS by_quantity, round(bd, 4) AS by_discount FROM c""",
+)
+def l27(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "lineitem").select("l_partkey", (F.col("l_quantity") / 25).alias("q"), (F.col("l_discount") * 10).alias("d"), (F.col("l_extendedprice") / 1e4).alias("y"))
+    sums = r.groupBy("l_partkey").agg((F.sum(F.col("q") * F.col("q")) - F.avg("q") * F.sum("q")).alias("qq"), (F.sum(F.col("d") * F.col("d")) - F.avg("d") * F.sum("d")).alias("dd"), (F.sum(F.col("q") * F.col("d")) - F.avg("q") * F.sum("d")).alias("qd"))
+    determined = sums.where("(qq + 1e-9) * (dd + 1e-9) - qd * qd > 1e-3").select("l_partkey")
+    found = M.least_squares(r, ["l_partkey"], ["q", "d"], ["y"]).join(determined, "l_partkey", "left_semi")
+    return rounded(found.select("l_partkey", "n", *[F.col("y")[i].alias(c) for i, c in enumerate(("constant", "by_quantity", "by_discount"))]), 4)
 
 
 @add("l16_six_regions", None)
