@@ -119,29 +119,36 @@ def normalized_sequence(bars: DataFrame, keys: list[str], lookback: int, to: str
     return rows.withColumn(to, F.when(F.col("_n") >= lookback, F.collect_list("_c").over(frame))).drop("_c", "_n")
 
 
-def hull_area(lows: Column, highs: Column) -> Column:
-    """Area of the convex hull of the points (i, low) and (i, high): at each end of a line, the upper chain less the lower.
+def _chain(values: Column, side: int) -> Column:
+    """The upper (side 1) or lower (-1) convex chain of the points (i, value), as structs x, y: a fold that keeps a stack.
+
+    A new point takes off the stack's points that lie on or within the line to it. On a convex chain those are the last ones, so
+    one filter by neighbours takes them all."""
+    points = F.transform(values, lambda v, i: F.struct(i.cast("double").alias("x"), v.cast("double").alias("y")))
+
+    def push(stack: Column, p: Column) -> Column:
+        def stands(s: Column, i: Column) -> Column:
+            last = F.get(stack, i - 1)
+            return (i == 0) | (side * ((s["x"] - last["x"]) * (p["y"] - last["y"]) - (s["y"] - last["y"]) * (p["x"] - last["x"])) < 0)
+
+        return F.array_append(F.filter(stack, stands), p)
 
-    Between neighbouring places the hull's height is linear, so its area is the sum over gaps of the mean of the heights at both
-    ends; the height at a place is the highest line over it between two tops less the lowest between two bottoms."""
+    return F.aggregate(points, F.array().cast("array<struct<x:double,y:double>>"), push)
 
-    def envelope(values: Column, best) -> Column:
-        n = F.size(values)
-        places = F.sequence(F.lit(0), n - 1)
 
-        def height(i: Column) -> Column:
-            # the best chord over place i, from a place at or before to one at or after it
-            left = F.sequence(F.lit(0), i)
-            right = F.sequence(i, n - 1)
-            chord = lambda a, b: F.when(a == b, F.get(values, a)).otherwise(F.get(values, a) + (F.get(values, b) - F.get(values, a)) * (i - a) / F.nullif(b - a, F.lit(0)))
-            return best(F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: chord(a, b)))))
+def _below(chain: Column) -> Column:
+    """The area between a chain and the axis."""
 
-        return F.transform(places, height)
+    def add(a: Column, p: Column) -> Column:
+        step = F.coalesce((p["x"] - a["last"]["x"]) * (p["y"] + a["last"]["y"]) / 2, F.lit(0.0))
+        return F.struct((a["area"] + step).alias("area"), p.alias("last"))
 
-    top, bottom = envelope(highs, F.array_max), envelope(lows, F.array_min)
-    gap = F.zip_with(top, bottom, lambda a, b: a - b)
-    ends = (F.get(gap, F.lit(0)) + F.get(gap, F.size(gap) - 1)) / 2
-    return F.aggregate(gap, F.lit(0.0), lambda s, x: s + x) - ends
+    return F.aggregate(chain, F.struct(F.lit(0.0).alias("area"), F.lit(None).cast("struct<x:double,y:double>").alias("last")), add)["area"]
+
+
+def hull_area(lows: Column, highs: Column) -> Column:
+    """Area of the convex hull of the points (i, low) and (i, high): what lies below the upper chain less what lies below the lower."""
+    return _below(_chain(highs, 1)) - _below(_chain(lows, -1))
 
 
 def geometry(bars: DataFrame, keys: list[str], before: int, after: int, area: str = "area", slope: str = "slope") -> DataFrame:
