@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.orderstats import prefix_median
+
 FAST, SLOW, VOL_SHORT = 21, 112, 16
 
 
@@ -181,9 +183,8 @@ def activity(bars: DataFrame, keys: list[str], lookback: int) -> DataFrame:
 
 def history_ratio(rows: DataFrame, keys: list[str], value: str, to: str) -> DataFrame:
     """The value over the median of all strictly earlier positive values; null without any."""
-    past = window(keys).rowsBetween(Window.unboundedPreceding, -1)
-    median = F.percentile(F.when(F.col(value) > 0, F.col(value)), F.lit(0.5)).over(past)
-    return rows.withColumn("_h", median).withColumn(to, ratio(value, "_h")).drop("_h")
+    counted = rows.withColumn("_p", F.when(F.col(value) > 0, F.col(value)))
+    return prefix_median(counted, keys, "open_time_ms", "_p", "_h", 1).withColumn(to, ratio(value, "_h")).drop("_h", "_p")
 
 
 def forward_targets(bars: DataFrame, keys: list[str], horizon: int) -> DataFrame:
@@ -200,8 +201,8 @@ def forward_targets(bars: DataFrame, keys: list[str], horizon: int) -> DataFrame
         }
     )
     total = F.col("up") + F.col("down")
-    done = w.rowsBetween(Window.unboundedPreceding, -horizon)
-    return rows.withColumn("normaliser", F.percentile(F.when(total > 0, total), F.lit(0.5)).over(done)).drop("_end", "_hi", "_lo")
+    rows = rows.withColumn("_t", F.when(total > 0, total)).drop("_end", "_hi", "_lo")
+    return prefix_median(rows, keys, "open_time_ms", "_t", "normaliser", horizon).drop("_t")
 
 
 def rolling_slope(bars: DataFrame, keys: list[str], lookback: int, value: str = "close") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.indicators import activity_terms, log_ratio, ratio, window
+from tidemark.operators.orderstats import prefix_median
 
 
 def _latched(enter: Column, keep: Column, w: Window) -> Column:
@@ -85,7 +86,8 @@ def blended_scale(rows: DataFrame, keys: list[str], normal: str, observed: str,
     inside = Window.partitionBy(*keys, "occurrence").orderBy("open_time_ms")
     past = inside.rowsBetween(Window.unboundedPreceding, -1)
     positive = F.when(F.col(observed) > 0, F.col(observed))
-    at = rows.withColumns({"_n": F.count(positive).over(past).cast("double"), "_m": F.percentile(positive, F.lit(0.5)).over(past), "_s": F.first(normal).over(inside)})
+    at = rows.withColumns({"_n": F.count(positive).over(past).cast("double"), "_s": F.first(normal).over(inside), "_p": positive})
+    at = prefix_median(at, [*keys, "occurrence"], "open_time_ms", "_p", "_m", 1).drop("_p")
     blend = F.pow("_s", kappa / (kappa + F.col("_n"))) * F.pow(F.coalesce("_m", "_s"), F.col("_n") / (kappa + F.col("_n")))
     return at.withColumn(to, F.when(F.col("_s") > 0, blend)).drop("_n", "_m", "_s")
 
