@@ -24,6 +24,7 @@ from tidemark.operators import search
 from tidemark.operators import simulate as S
 from tidemark.operators import states as W
 from tidemark.operators import strategy as B
+from tidemark.operators import skyline
 from tidemark.sources import upsert
 
 DAY = 86_400_000
@@ -93,7 +94,7 @@ def test_as_of_is_brute_force(spark):
 def test_pareto_is_brute_force(spark):
     r = random.Random(5)
     points = [(i, float(r.randrange(12)), float(r.randrange(12))) for i in range(200)]
-    got = {x.id for x in J.pareto(spark.createDataFrame(points, "id int, a double, b double"), [], ["a", "b"], "id").collect()}
+    got = {x.id for x in skyline.pareto(spark.createDataFrame(points, "id int, a double, b double"), [], ["a", "b"], "id").collect()}
     want = {i for i, a, b in points if not any(c >= a and d >= b and (c > a or d > b) for _, c, d in points)}
     assert got == want
 

@@ -50,29 +50,6 @@ def with_benchmark(path: DataFrame, benchmark: DataFrame, keys: list[str], time:
     return path.join(own, [*keys, time], "left")
 
 
-def pareto(points: DataFrame, keys: list[str], objectives: list[str], id_: str, eps: float = 0.0, formal: Column | None = None) -> DataFrame:
-    """Points that no other of their key dominates: none is at least as good in all and better in one.
-
-    Larger is better. With `formal`, a point that is not formal cannot dominate one that is. Before the
-    anti join by inequality, points dominated by one of the best few of their key are dropped, so
-    what is compared in pairs is close to the front.
-    """
-    rows = points.withColumn("_formal", formal if formal is not None else F.lit(True))
-
-    def dominates(a: str, b: str) -> Column:
-        no_worse = reduce(lambda x, y: x & y, [F.col(f"{a}.{o}") >= F.col(f"{b}.{o}") - eps for o in objectives])
-        better = reduce(lambda x, y: x | y, [F.col(f"{a}.{o}") > F.col(f"{b}.{o}") + eps for o in objectives])
-        return no_worse & better & (F.col(f"{a}._formal") | ~F.col(f"{b}._formal"))
-
-    group = Window.partitionBy(*(keys or [F.lit(0)]))
-    total = reduce(lambda x, y: x + y, [F.percent_rank().over(group.orderBy(o)) for o in objectives])
-    ranked = rows.withColumn("_sum", total)
-    best = ranked.withColumn("_r", F.row_number().over(group.orderBy(F.col("_formal").desc(), F.col("_sum").desc(), id_))).where("_r <= 16").drop("_r", "_sum")
-    same = lambda: reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], F.lit(True))
-    near = rows.alias("b").join(F.broadcast(best).alias("a") if not keys else best.alias("a"), same() & dominates("a", "b"), "left_anti")
-    return near.alias("b").join(near.alias("a"), same() & dominates("a", "b"), "left_anti").drop("_formal")
-
-
 def box_neighbours(points: DataFrame, keys: list[str], axes: list[str], radius: int) -> DataFrame:
     """Pairs (point, neighbour) of a key at most `radius` apart on every axis, the point itself included.
 

@@ -221,7 +221,7 @@ def proposals(scored: DataFrame, kind: str, count: int, order: str) -> DataFrame
     interval holds 0), model_uncertainty (front of the dispersions) or pure_coverage (the sequence itself).
 
     scored: return_ and drawdown_ mean, dispersion, lower and upper."""
-    from tidemark.operators.joins import pareto
+    from tidemark.operators.skyline import pareto
 
     if kind == "conservative_performance":
         return pareto(scored, [], ["return_lower", "drawdown_lower"], order).orderBy(F.col("return_lower").desc(), F.col("drawdown_lower").desc(), order).limit(count)

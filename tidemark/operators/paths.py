@@ -211,7 +211,7 @@ def crowded_front(points: DataFrame, keys: list[str], objectives: list[str], vec
     """Points that none dominates, at most `capacity` for each key: the best by each objective, then the farthest from those chosen.
 
     Distances are taken to the last chosen point only and kept as running minima, so a round is one pass over the fronts."""
-    from tidemark.operators.joins import pareto
+    from tidemark.operators.skyline import pareto
 
     group = Window.partitionBy(*(keys or [F.lit(0)]))
     front = pareto(points, keys, objectives, id_).withColumns({"_near": F.lit(float("inf")), "_at": F.lit(None).cast("int")})

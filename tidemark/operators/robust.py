@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.grid import box_radius, grid_components, neighbourhood_objectives
-from tidemark.operators.joins import axis_neighbours, pareto
+from tidemark.operators.joins import axis_neighbours
+from tidemark.operators.skyline import pareto
 from tidemark.shared import written
 
 EPS = 1e-12

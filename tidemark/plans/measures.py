@@ -10,6 +10,7 @@ from tidemark.operators import joins as J
 from tidemark.operators import paths as PA
 from tidemark.operators import ranking as K
 from tidemark.operators import resample as R
+from tidemark.operators import skyline
 from tidemark.plans.base import BE, BO, DAY, Book, DataFrame, F, SparkSession, rounded
 from tidemark.session import table
 from tidemark.sources.bars import bars_events, bars_orders
@@ -67,7 +68,7 @@ def j4(spark: SparkSession, d: str) -> DataFrame:
     SELECT k, id FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.k = p.k AND q.a >= p.a AND q.b >= p.b AND (q.a > p.a OR q.b > p.b))""")
 def j18(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "orders").select(F.col("o_orderpriority").alias("k"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("a"), (-F.col("o_custkey").cast("double")).alias("b"))
-    return J.pareto(p, ["k"], ["a", "b"], "id").select("k", "id")
+    return skyline.pareto(p, ["k"], ["a", "b"], "id").select("k", "id")
 
 
 @add("t3_first_by_priority", """SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderdate DESC, o_orderkey) = 1""")

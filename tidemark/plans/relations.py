@@ -7,6 +7,7 @@ from tidemark.operators import grid as G
 from tidemark.operators import joins as J
 from tidemark.operators import ranking as K
 from tidemark.operators import simulate as S
+from tidemark.operators import skyline
 from tidemark.plans.base import BE, BEH, BO, DAY, HOUR, Book, DataFrame, F, SparkSession, rounded
 from tidemark.session import table
 from tidemark.sources.bars import bars_events, bars_orders, with_availability
@@ -54,7 +55,7 @@ def j3(spark: SparkSession, d: str) -> DataFrame:
     SELECT p_brand, p_partkey, a, b FROM p x WHERE NOT EXISTS (SELECT 1 FROM p y WHERE y.p_brand = x.p_brand AND y.a >= x.a AND y.b >= x.b AND (y.a > x.a OR y.b > x.b))""")
 def j15(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("a"), F.col("p_size").cast("double").alias("b"))
-    return J.pareto(p, ["p_brand"], ["a", "b"], "p_partkey")
+    return skyline.pareto(p, ["p_brand"], ["a", "b"], "p_partkey")
 
 
 GRID = "g AS (SELECT l_linenumber AS x, l_quantity::INT AS y, l_suppkey % 5 AS z, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL)"
