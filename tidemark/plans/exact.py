@@ -1,4 +1,4 @@
-"""Queries of the bit-exact generators and fingerprints, with their SQL in wide whole numbers."""
+"""Queries of the bit-exact generators and fingerprints, with their SQL in wide whole numbers, and of the streamed import."""
 
 from __future__ import annotations
 
@@ -111,3 +111,21 @@ def x22_source(spark: SparkSession, d: str) -> DataFrame:
 )
 def g2(spark: SparkSession, d: str) -> DataFrame:
     return U.fisher_yates(bars_events(spark, d), ["event_type"], "open_time_ms", "close", 3, 3)
+
+
+@add("s9_streamed_import", f"""WITH {BE} SELECT upper(event_type) AS symbol, open_time_ms, open, high, low, close, volume FROM be WHERE least(open, high, low, close) > 0""")
+def s9(spark: SparkSession, d: str) -> DataFrame:
+    """Daily bars imported through the paged stream in two runs, the second from the first one's checkpoint."""
+    from tidemark.shared import shared_folder, written
+    from tidemark.sources.store import stored
+    from tidemark.streaming.importing import imported
+
+    bars = bars_events(spark, d).select(F.upper("event_type").alias("symbol"), "open_time_ms", "open", "high", "low", "close", "volume")
+    here, path, checkpoint = (shared_folder(spark) for _ in range(3))
+    symbols = ",".join(sorted(r[0] for r in bars.select("symbol").distinct().collect()))  # one a series
+    first, middle = bars.agg(F.min("open_time_ms"), F.percentile_approx("open_time_ms", 0.5)).first()
+    options = {"symbol": symbols, "start_ms": str(first), "fetch": "tidemark.sources.paged:stored_pages", "latest": "tidemark.sources.paged:stored_latest", "limit": "7", "slices": "2", "table": here}
+    for part in (bars.where(F.col("open_time_ms") <= middle), bars):
+        written(part, here)
+        imported(spark, path, checkpoint, "events", options).awaitTermination()
+    return stored(spark, f"{path}/bars", bars).select(*bars.columns)

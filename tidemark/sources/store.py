@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,17 +29,58 @@ def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return found.select(*like.columns, MONTH)
 
 
+def recovered(spark: SparkSession, path: str) -> list[str]:
+    """Months that a writer had set aside and not replaced when it ended, put back; their names."""
+    folder, fs = _folder(spark, path)
+    if not fs.exists(folder):
+        return []
+    back = []
+    for entry in fs.listStatus(folder):
+        name = entry.getPath().getName()
+        if name.startswith(".old-"):
+            month = name.rpartition("@")[2]
+            there = spark._jvm.org.apache.hadoop.fs.Path(folder, month)
+            if not fs.exists(there):
+                fs.rename(entry.getPath(), there)
+                back.append(month)
+            else:
+                fs.delete(entry.getPath(), True)
+    return back
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def put_bars(rows: DataFrame, path: str, keys: list[str]) -> None:
     """Upserts bars by key and open time into a table partitioned by month; only months that get rows are read and written anew.
 
-    The merged rows are written beside the table first, since a table cannot be overwritten while it is read."""
+    The new months are written whole into a folder of this call's own, which readers do not see, and then take the places of the old ones one by
+    one. A writer that ends between leaves each month as it was or as it should be (`recovered` puts back one that was set aside), and the same
+    rows put again make the table whole. Two writers at once must not touch the same month."""
     spark = rows.sparkSession
+    recovered(spark, path)
     new = _months(rows)
     touched = [r[0] for r in new.select(MONTH).distinct().collect()]  # as many as there are months
+    if not touched:
+        return
     old = stored(spark, path, rows).where(F.col(MONTH).isin(touched))
     merged = upsert(old, new, [*keys, "open_time_ms"])
-    merged.write.mode("overwrite").parquet(f"{path.rstrip('/')}.next")
-    spark.read.parquet(f"{path.rstrip('/')}.next").repartition(MONTH).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+    folder, fs = _folder(spark, path)
+    own = uuid.uuid4().hex
+    side = f"{path.rstrip('/')}/.next-{own}"
+    merged.repartition(MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(side)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    for month in touched:
+        name = f"{MONTH}={month}"
+        place, aside = at(folder, name), at(folder, f".old-{own}@{name}")
+        if fs.exists(place):
+            fs.rename(place, aside)
+        if not fs.rename(at(at(side), name), place):
+            raise OSError(f"{name} could not be put in place")
+        fs.delete(aside, True)
+    fs.delete(at(side), True)
 
 
 def put_version(rows: DataFrame, path: str, version: int, keys: list[str]) -> None:
