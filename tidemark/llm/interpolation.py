@@ -5,7 +5,7 @@ an even share l_0 / (V + 1). The weights l depend on the longest context that is
 frequency; expectation-maximisation learns them from the grams of a held-out part of the training documents against the
 counts of the rest. The counts that score are those of all training documents.
 
-Texts are cut into blocks of about a million tokens. A block asks for each gram once, in packed rows dealt by the gram's hash to
+Texts are cut into blocks of about half a million tokens. A block asks for each gram once, in packed rows dealt by the gram's hash to
 buckets; a bucket adds up its grams' counts over all blocks and answers every block's row in the same order. So each distinct gram of a
 block travels once, in some seven bytes, and its count comes back in one or two; no token is a row. Everything grows with
 the corpus but the mixture's weights, which are all that the driver holds.
@@ -26,7 +26,7 @@ from tidemark.llm.common import buffers, lower_ascii, shared_folder, written
 from tidemark.shared import removed
 
 #: Tokens of a block, of a piece of one text, and grams that blocks ask of a bucket.
-BLOCK, PIECE, BUCKET = 1 << 20, 1 << 20, 1 << 21
+BLOCK, PIECE, BUCKET = 1 << 19, 1 << 19, 1 << 21
 #: Parts of the table: what counts are taken from, what weights are learned from, and what is only scored.
 KEPT, DEV, TEST = 0, 1, 2
 #: Token numbers of a text's start and end, beside the hashes of words; the order of a gram stands in its last three bits.
@@ -56,10 +56,10 @@ class Block:
 
     def __init__(self, words: np.ndarray, at: np.ndarray, starts: np.ndarray, lead: np.ndarray, order: int):
         tokens = words[at]
-        self.first = np.zeros(len(tokens), np.int64)  # where each token's piece begins
+        self.first = np.zeros(len(tokens), np.int32)  # where each token's piece begins
         self.first[starts] = starts
         self.first = np.maximum.accumulate(self.first)
-        place = np.arange(len(tokens)) - self.first
+        place = np.arange(len(tokens), dtype=np.int32) - self.first
         self.starts, self.scored = starts, place >= np.repeat(lead, np.diff(np.append(starts, len(tokens))))
         self.end_of_lead = starts + lead
         grams, h = [], np.zeros(len(tokens), np.uint64)
@@ -70,6 +70,7 @@ class Block:
             key[place < k - 1] = 0  # no such gram here
             grams.append(key)
         self.is_start = tokens == START
+        del h, tokens, back, key, place  # before the sort
         self.keys, where = np.unique(np.concatenate(grams), return_inverse=True)
         self.where = where.astype(np.int32).reshape(order, -1)
 
@@ -318,7 +319,9 @@ def score(docs: DataFrame, part: Column, doc_id: str = "doc_id", text: str = "te
         row, tokens, counts = _read(block, answers, order)
         counts, n = counts.sum(0), kept + dev
         slot, f = tokens.events(counts, n)
-        p = (lam[slot] * np.concatenate([np.full((len(f), 1), 1 / (all_words + 1)), f], 1)).sum(1)
+        p = lam[slot, 0] / (all_words + 1)
+        for k in range(order):
+            p += lam[slot, k + 1] * f[:, k]
         c = counts[tokens.where[0][tokens.scored]]
         base = np.log10((c + 0.5) / (n + 0.5 * (all_words + 1)))
         lead = np.array(row["lead"], np.int64)
