@@ -136,6 +136,7 @@ def _blocks(order: int):
                 "lead": pa.array([lead], pa.list_(pa.int32())),
             }
             held[dev], size[dev] = [], 0
+            _given_back()
             return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
@@ -187,6 +188,8 @@ def _asks(order: int, buckets: int):
                             "body": pa.array(bodies[lo : lo + 256], pa.binary()),
                         }
                     )
+                del row, block, n, bodies
+                _given_back()
 
     return ask
 
@@ -209,6 +212,8 @@ def _answers(asked: pa.Table) -> pa.Table:
     start = _mix(np.array([START]) + np.uint64(1)) & ~np.uint64(7) | np.uint64(1)
     word = (distinct & np.uint64(7) == 1) & (distinct != start[0])
     rows = asked.num_rows
+    del where, distinct, bodies
+    _given_back()
     return pa.table(
         {
             "bucket": pa.array(asked.column("bucket").to_pylist() + [asked.column("bucket")[0].as_py()], pa.int32()),
@@ -222,6 +227,11 @@ def _answers(asked: pa.Table) -> pa.Table:
     )
 
 
+def _given_back() -> None:
+    """Arrow keeps what it has freed; two workers and an executor share their memory."""
+    pa.default_memory_pool().release_unused()
+
+
 def _read(block: pa.Table, answers: pa.Table, order: int) -> tuple[dict, Block, np.ndarray]:
     """A block's row, its tokens, and the (kept, dev) counts of its keys."""
     row = block.to_pylist()[0]
