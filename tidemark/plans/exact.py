@@ -1,9 +1,10 @@
-"""Queries of the bit-exact generators and fingerprints, with their SQL in wide whole numbers, and of the streamed import."""
+"""Queries of the bit-exact generators and fingerprints, with their SQL in wide whole numbers, and of the streamed import and states."""
 
 from __future__ import annotations
 
 from tidemark.functions import wrapping as U
-from tidemark.plans.base import BE, Book, DataFrame, F, SparkSession
+from tidemark.plans.base import BE, HOUR, Book, DataFrame, F, SparkSession
+from tidemark.plans.research import ENTER_KEEP, RATIO_A, RATIO_B, STATE, swings
 from tidemark.session import table
 from tidemark.sources.bars import bars_events
 
@@ -129,3 +130,31 @@ def s9(spark: SparkSession, d: str) -> DataFrame:
         written(part, here)
         imported(spark, path, checkpoint, "events", options).awaitTermination()
     return stored(spark, f"{path}/bars", bars).select(*bars.columns)
+
+
+_WAITS = 6  # hours
+
+
+@add(
+    "w27_streamed_states",
+    f"""WITH {STATE.replace("AS p FROM be)", f"AS p, {RATIO_A} AS ra, {RATIO_B} AS rb FROM be)").replace("'uncertain' END AS st", "'uncertain' END || CASE WHEN hi = 1 THEN '_high' ELSE '_low' END AS st").replace(" AS dn FROM x)", f" AS dn, {ENTER_KEEP.format(enter='ra > 1.5 OR rb > 1.3', keep='ra >= 1.25 OR rb >= 1.15')} AS hi FROM x)")},
+    f AS (SELECT *, min(open_time_ms) OVER (PARTITION BY event_type, occurrence) AS start_ms FROM o)
+    SELECT event_type, open_time_ms, st AS state, occurrence::BIGINT AS occurrence, start_ms, 0::BIGINT AS late FROM f WHERE open_time_ms < (SELECT max(open_time_ms) FROM be) - {_WAITS * HOUR}""",
+)
+def w27_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bars sent through a stream in four parts, with a restart in the middle; what the watermark has passed."""
+    from tidemark.shared import removed, shared_folder, written
+    from tidemark.streaming.states import kept_states, streamed_states
+
+    bars = written(swings(spark, d))
+    here, path, checkpoint = (shared_folder(spark) for _ in range(3))
+    inner, last = bars.agg(F.percentile_approx("open_time_ms", [0.25, 0.5, 0.75]), F.max("open_time_ms")).first()
+    cuts = [-1, *inner, last]
+    for i in range(4):
+        bars.where((F.col("open_time_ms") > cuts[i]) & (F.col("open_time_ms") <= cuts[i + 1])).write.mode("append").parquet(here)
+        if i % 2:
+            stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 8).parquet(here)
+            kept_states(streamed_states(stream, "event_type", "p", {"ra": 1.5, "rb": 1.3}, f"{_WAITS} hours"), path, checkpoint).awaitTermination()
+    for folder in (here, checkpoint):
+        removed(spark, folder)
+    return spark.read.parquet(path).select("event_type", "open_time_ms", "state", "occurrence", "start_ms", "late")
