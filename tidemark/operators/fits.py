@@ -19,6 +19,10 @@ from tidemark.shared import removed, shared_folder, written
 CHAIN = 4
 #: Centres that move less, relative to their size, stand: the order of a sum shows no more than this.
 STILL = 1e-12
+#: Rounds of coordinate descent in one job; coefficients that move less in a round, relative to their size, stand; a spread of 0 in doubles.
+SWEEPS = 100
+STILL_FIT = 1e-11
+FLAT = 1e-14
 
 
 def solved(matrix: Column, n: int) -> Column:
@@ -63,6 +67,55 @@ def least_squares(rows: DataFrame, keys: list[str], x: list[str], y: list[str],
     return found.select(*keys, "n", *[column(k).alias(c) for k, c in enumerate(y)])
 
 
+def _sweep(w: Column, products: Column, targets: Column, l1: float, l2: float, n: int) -> Column:
+    """One round of coordinate descent: each coefficient in turn takes its best value given the others."""
+
+    def turn(w: Column, j: Column) -> Column:
+        def at(row: Column) -> Column:
+            rest = targets[j] - F.aggregate(F.zip_with(row, w, lambda g, v: g * v), F.lit(0.0), lambda s, x: s + x) + row[j] * w[j]
+            cut = F.signum(rest) * F.greatest(F.abs(rest) - l1, F.lit(0.0))
+            return F.transform(w, lambda v, i: F.when(i != j, v).when(row[j] + l2 > FLAT, cut / (row[j] + l2)).otherwise(0.0))
+
+        return bound(products[j], at)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), w, turn)
+
+
+def sparse_least_squares(rows: DataFrame, keys: list[str], x: list[str], y: str, l1: float, l2: float = 0.0) -> DataFrame:
+    """(keys, n, y: array of 1 + len(x) coefficients, the constant first): the fit of each key's rows that minimises half the mean squared error
+    plus l1 times the sum of the coefficients' sizes plus l2 / 2 times that of their squares; the constant is free of both.
+
+    Rows are read once, for sums of products about the means; descent by coordinates with soft thresholds then runs in each key's own row until
+    no coefficient moves by more than STILL_FIT of its size, in jobs of SWEEPS rounds over the keys that are still moving. A column without spread has
+    the coefficient 0. Rows with a null or a value that is no finite number are left out; a key without rows has no model."""
+    if l1 < 0 or l2 < 0:
+        raise ValueError("penalties are 0 or more")
+    spark, m = rows.sparkSession, len(x)
+    columns = [F.col(c).cast("double") for c in [*x, y]]
+    there = rows.where(" AND ".join(f"abs(`{c}`) < double('infinity')" for c in [*x, y]))
+    means = [F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)]
+    spread = [F.covar_pop(columns[i], columns[j]).alias(f"_c{i}_{j}") for i in range(m) for j in range(i, m + 1)]
+    per = there.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *means, *spread).where("n > 0")
+    products = F.array(*[F.array(*[F.col(f"_c{min(i, j)}_{max(i, j)}") for j in range(m)]) for i in range(m)])
+    sums = per.select(*keys, "n", F.array(*[f"_m{i}" for i in range(m + 1)]).alias("_m"), products.alias("_g"), F.array(*[f"_c{i}_{m}" for i in range(m)]).alias("_t"))
+    moving = written(sums.withColumn("_w", F.array_repeat(F.lit(0.0), m)), last := shared_folder(spark))
+    done: DataFrame | None = None
+    step = lambda w: _sweep(w, F.col("_g"), F.col("_t"), l1, l2, m)
+    while True:
+        turned = moving.withColumn("_w", F.aggregate(F.sequence(F.lit(2), F.lit(SWEEPS)), F.col("_w"), lambda w, _: step(w))).withColumn("_next", step(F.col("_w")))
+        moved = F.exists(F.zip_with("_w", "_next", lambda a, b: F.abs(a - b) > STILL_FIT * (1 + F.abs(b))), lambda z: z)
+        turned = written(turned.withColumns({"_moved": moved, "_w": F.col("_next")}).drop("_next"), folder := shared_folder(spark))
+        removed(spark, last)
+        settled = turned.where("NOT _moved").drop("_moved")
+        done = settled if done is None else done.unionByName(settled)
+        last, moving = f"{folder}-moving", turned.where("_moved").drop("_moved")
+        if moving.limit(1).isEmpty():
+            break
+        moving = written(moving, last)
+    constant = F.col("_m")[m] - F.aggregate(F.zip_with("_w", F.slice("_m", 1, m), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return done.select(*keys, "n", F.concat(F.array(constant), "_w").alias(y))
+
+
 def line(coefficients: Column | str, x: list[str]) -> Column:
     """The constant plus the weighted sum of x."""
     c = F.col(coefficients) if isinstance(coefficients, str) else coefficients
