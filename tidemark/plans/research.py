@@ -21,6 +21,7 @@ from tidemark.sources.bars import bars_events, bars_orders
 BOOK = Book()
 add = BOOK.add
 KEY = ["event_type"]
+KEYS_OF_LINES = ["l_returnflag"]
 WIN = "WINDOW w AS (PARTITION BY event_type ORDER BY open_time_ms)"
 
 # a made-up probability and ratios that swing about their thresholds
@@ -392,6 +393,50 @@ def l9(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fitted.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("y") - F.col("fit"), 2)).alias("mse"), F.var_pop("y").alias("base")), 6)
 
 
+SPARSE = (0.01, 0.001)  # l1, l2
+
+
+def _descended(n: int, l1: float, l2: float, steps: int) -> str:
+    """CTE d of a recursion: steps rounds of coordinate descent from the moments m (c<i>_<j>, t<i>), one column a coefficient."""
+    inner = "SELECT d.s, d.k, d.fold, " + ", ".join(f"d.w{i} AS o{i}" for i in range(n)) + ", m.* EXCLUDE (k, fold) FROM d JOIN m ON m.k = d.k AND m.fold = d.fold WHERE d.s < " + str(steps)
+    for i in range(n):
+        rest = f"t{i}" + "".join(f" - c{min(i, j)}_{max(i, j)} * {'w' if j < i else 'o'}{j}" for j in range(n) if j != i)
+        inner = f"SELECT *, sign({rest}) * greatest(abs({rest}) - {l1}, 0) / (c{i}_{i} + {l2}) AS w{i} FROM ({inner})"
+    names = ", ".join(f"w{i}" for i in range(n))
+    return f"d AS (SELECT 0 AS s, k, fold, {', '.join(f'0::DOUBLE AS w{i}' for i in range(n))} FROM m UNION ALL SELECT s + 1, k, fold, {names} FROM ({inner}))"
+
+
+@add(
+    "l9_sparse_additive",
+    f"""WITH RECURSIVE r AS (SELECT l_returnflag AS k, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, tanh(ln(l_quantity / 25)) AS a, tanh(ln((l_discount + 0.05) / 0.1)) AS b, l_extendedprice * l_quantity * (1 - l_discount) / 1e6 AS y FROM lineitem WHERE l_quantity > 0),
+    x AS (SELECT k, a AS x0, a * a AS x1, b AS x2, b * b AS x3, y, row_number() OVER (PARTITION BY k ORDER BY place) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM r),
+    f AS (SELECT x.*, f.fold, (n - 220) // 3 AS block, 220 + f.fold * ((n - 220) // 3) AS st FROM x, range(3) f(fold) WHERE (n - 220) // 3 > 0),
+    p AS (SELECT *, CASE WHEN i < st - 20 THEN 't' WHEN i >= st AND (fold = 2 OR i < st + block) THEN 'v' END AS part FROM f),
+    m AS (SELECT k, fold, count(*) AS n_train, avg(y) AS my, {", ".join(f"avg(x{i}) AS m{i}, covar_pop(x{i}, y) AS t{i}" for i in range(4))}, {", ".join(f"covar_pop(x{i}, x{j}) AS c{i}_{j}" for i in range(4) for j in range(i, 4))} FROM p WHERE part = 't' GROUP BY ALL),
+    {_descended(4, *SPARSE, 3000)},
+    e AS (SELECT d.*, m.n_train, m.my, m.my - w0 * m0 - w1 * m1 - w2 * m2 - w3 * m3 AS w FROM d JOIN m ON m.k = d.k AND m.fold = d.fold WHERE s = 3000)
+    SELECT e.k AS l_returnflag, e.fold, any_value(n_train) AS n_train, round(any_value(w), 5) AS constant, {", ".join(f"round(any_value(w{i}), 5) + 0.0 AS w{i}" for i in range(4))},
+      count(*) AS n, round(avg((y - w - w0 * x0 - w1 * x1 - w2 * x2 - w3 * x3) ^ 2), 6) AS mse, round(avg((y - my) ^ 2), 6) AS base
+    FROM p JOIN e ON e.k = p.k AND e.fold = p.fold WHERE part = 'v' GROUP BY ALL""",
+)
+def l9_sparse(spark: SparkSession, d: str) -> DataFrame:
+    """Additive models with l1 and l2 penalties on expanding folds of each key, judged on the fold's held-out rows."""
+    li = table(spark, d, "lineitem").where("l_quantity > 0")
+    li = li.select("l_returnflag", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("at"), (F.col("l_quantity") / 25).alias("q"), ((F.col("l_discount") + 0.05) / 0.1).alias("e"), (F.col("l_extendedprice") * F.col("l_quantity") * (1 - F.col("l_discount")) / 1e6).alias("y"))
+    names = ["q_v", "q_v2", "e_v", "e_v2"]
+    group = ["l_returnflag", "fold"]
+    rows = L.folds_of(li.withColumns(L.basis(["q", "e"])).select("l_returnflag", "at", *names, "y"), KEYS_OF_LINES, "at", 200, 20, 3)
+    train = rows.where("part = 'train'")
+    models = M.sparse_least_squares(train, group, names, "y", *SPARSE).withColumnsRenamed({"n": "n_train", "y": "c"})
+    models = M.met(models, train.groupBy(*group).agg(F.avg("y").alias("my")), group, "inner")
+    held = M.met(rows.where("part = 'validation'"), models, group, "inner").withColumn("fit", M.line("c", names))
+    judged = held.groupBy(*group).agg(
+        F.any_value("n_train").alias("n_train"), F.any_value("c").alias("c"), F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("y") - F.col("fit"), 2)).alias("mse"), F.avg(F.pow(F.col("y") - F.col("my"), 2)).alias("base")
+    )
+    weights = [F.round(F.col("c")[i + 1], 5).alias(f"w{i}") for i in range(4)]
+    return rounded(judged.select(*group, "n_train", F.round(F.col("c")[0], 5).alias("constant"), *weights, "n", "mse", "base"))
+
+
 def _settled(k_values: str, lists: str, source: str) -> str:
     """CTEs: k-means over lists of each key, one step of the recursion a round, until the centres repeat. lists: xs, or xs and ys."""
     two = lists == "xs, ys"
