@@ -296,6 +296,30 @@ def g13(spark: SparkSession, d: str) -> DataFrame:
     return nearest_centre(e, listed, "v", "cell").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
+@add("g14_archive", None)
+def g14(spark: SparkSession, d: str) -> DataFrame:
+    """Half days of hourly bars as paths, two rounds with as many children as there are paths; no SQL, tests hold a round against plain Python."""
+    from tidemark.operators.archive import evolved
+    from tidemark.shared import shared_folder, written
+
+    rows = I.coordinates(bars_events(spark, d, HOUR), KEY)
+    bounds = written(P.coordinate_bounds(rows).withColumns({"u_low": F.lit(0.0), "d_low": F.lit(0.0)}), shared_folder(spark))
+    half = F.expr("open_time_ms div 43200000")
+    named = rows.crossJoin(F.broadcast(bounds)).withColumns({"path_id": F.concat_ws("/", "event_type", half), "idx": F.expr("cast(open_time_ms div 3600000 % 12 as int)")})  # one row
+    starts = written(named.select("path_id", "idx", *[P.normalized(F.col(c), F.col(f"{c}_low"), F.col(f"{c}_high")).alias(c) for c in P.CHANNELS]))
+
+    def judge(paths: DataFrame) -> DataFrame:
+        wide = paths.crossJoin(F.broadcast(bounds))  # one row
+        own = wide.select("path_id", "idx", *[(F.col(f"{c}_low") + F.col(c) * (F.col(f"{c}_high") - F.col(f"{c}_low"))).alias(c) for c in P.CHANNELS])
+        found = P.behaviour(own, ["path_id"])
+        return found.select("path_id", F.array(*P.FEATURES[1:5]).alias("vector"), (F.col("runup_shape") - F.col("drawdown_shape") + F.col("trend_efficiency")).alias("score"))
+
+    judged = judge(starts)
+    centres = spark.createDataFrame(P.cvt_centres(written(judged), "vector", "path_id", 12, 3, 6), "cell int, v array<double>")
+    found = evolved(starts, judge, centres, 2, starts.select("path_id").distinct().count(), 11)
+    return rounded(found.select("cell", "path_id", "score", "round", "operation", F.size("path").alias("n")))
+
+
 @add("j20_nearest_centre", """WITH c AS (SELECT vec_id AS cell, embedding AS c FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)), d AS (SELECT e.vec_id, c.cell, list_distance(e.embedding::DOUBLE[], c.c::DOUBLE[]) AS x FROM embeddings e, c) SELECT vec_id, arg_min(cell, (x, cell)) AS cell, round(min(x), 6) AS distance FROM d GROUP BY vec_id""")
 def j20(spark: SparkSession, d: str) -> DataFrame:
     from tidemark.operators.joins import nearest_centre
