@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.functions import checks as C
 from tidemark.functions import hashing as H
 from tidemark.functions import scalar as X
+from tidemark.operators import convolution as V
 from tidemark.operators import fits as M
 from tidemark.operators import indicators as I
 from tidemark.operators import learning as L
@@ -524,6 +525,35 @@ def l13(spark: SparkSession, d: str) -> DataFrame:
     return rounded(L.six_regions(fitted, KEY, 0.2, 0.1))
 
 
+_NET = (4, 3, [1, 2], 2)  # channels, hidden, dilations, outputs
+
+
+def _layers() -> str:
+    """CTEs x0, x1, ... (event_type, i, c, v): what each layer gives, the head last."""
+    dilations = _NET[2]
+    out = []
+    for k in range(len(dilations) + 1):
+        sums = f"SELECT x.event_type, x.i, w.o, sum(w.w * CASE w.t WHEN 0 THEN x.v ELSE coalesce(p.v, 0) END) AS v FROM x{k} x JOIN w ON w.l = {k} AND w.c = x.c LEFT JOIN x{k} p ON p.event_type = x.event_type AND p.c = x.c AND p.i = x.i - w.d GROUP BY ALL"
+        out.append(f"x{k + 1} AS (SELECT event_type, i, o AS c, {'tanh(v)' if k < len(dilations) else 'v'} AS v FROM ({sums}))")
+    return ", ".join(out)
+
+
+@add(
+    "l12_convolution",
+    f"""WITH {BEH}, w(l, d, o, c, t, w) AS (VALUES {", ".join(f"({a}, {b}, {c}, {i}, {t}, {w!r}::DOUBLE)" for a, b, c, i, t, w in V.starting_rows(*_NET) if i >= 0)}),
+    a AS (SELECT *, lag(close) OVER w1 AS pc FROM be WHERE {PRICED} WINDOW w1 AS (PARTITION BY event_type ORDER BY open_time_ms)), b AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY open_time_ms) AS i FROM a WHERE pc IS NOT NULL),
+    x0 AS (SELECT event_type, i, 0 AS c, ln(open / pc) AS v FROM b UNION ALL SELECT event_type, i, 1, ln(high / pc) FROM b UNION ALL SELECT event_type, i, 2, ln(low / pc) FROM b UNION ALL SELECT event_type, i, 3, ln(close / pc) FROM b), {_layers()}
+    SELECT b.event_type, b.open_time_ms, round(max(x.v) FILTER (x.c = 0), 6) AS first, round(max(x.v) FILTER (x.c = 1), 6) AS second FROM b JOIN x3 x ON x.event_type = b.event_type AND x.i = b.i GROUP BY ALL""",
+)
+def l12(spark: SparkSession, d: str) -> DataFrame:
+    """The convolution net's outputs, with the weights it starts from, on every hourly bar of each series."""
+    priced = bars_events(spark, d, HOUR).where(F.least("open", "high", "low", "close") > 0)
+    before = priced.withColumn("_pc", F.lag("close").over(I.window(KEY))).where("_pc IS NOT NULL")
+    rows = before.select("event_type", "open_time_ms", *[I.log_ratio(F.col(c), F.col("_pc")).alias(c) for c in ("open", "high", "low", "close")])
+    out = V.forward(rows, KEY, ["open", "high", "low", "close"], V.starting_weights(spark, *_NET))
+    return rounded(out.select("event_type", "open_time_ms", F.col("output")[0].alias("first"), F.col("output")[1].alias("second")))
+
+
 @add("l15_component_count", None)
 def l15(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("value > 0").select("event_type", "event_id", F.log("value").alias("x"))
