@@ -6,17 +6,18 @@ the next row that is not qualified ends the walk and says why.
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.grid import box_radius, grid_components, neighbourhood_objectives
 from tidemark.operators.joins import axis_neighbours
 from tidemark.operators.skyline import pareto
-from tidemark.shared import written
+from tidemark.shared import removed, shared_folder, written
 
 EPS = 1e-12
+#: Rounds of medoid costs in one job, and the points they are worked out for at most.
+CHAIN = 4
+MOST_POINTS = 1 << 20
 Bounds = dict[str, tuple[int, int, bool, bool]]
 
 
@@ -73,27 +74,45 @@ def point_geometry(points: DataFrame, bounds: Bounds, metric: str, keys: list[st
     return walks.join(near, at).join(spread, at).join(box, at).withColumn("completeness", done).drop("_cut", "_legal")
 
 
-def medoid_costs(points: DataFrame, axes: list[str], most_rounds: int | None = None) -> DataFrame:
+def medoid_costs(points: DataFrame, axes: list[str], most_rounds: int | None = None, most_points: int = MOST_POINTS) -> DataFrame:
     """(axes, cost): the sum of step distances from each point to all it reaches by single steps on qualified points.
 
-    Distances spread one step a round from all starts at once; what is new in a round is what the next one extends.
-    Distances over most_rounds, where that is given, are refused, not left out."""
-    base = points.select(*axes).distinct()
-    edges = written(axis_neighbours(base, [], axes))
-    start = [F.col(a).alias(f"s_{a}") for a in axes]
-    names = [f"s_{a}" for a in axes]
-    frontier = base.select(*start, *axes)
-    seen = frontier.withColumn("d", F.lit(0))
-    for d in count(1):
-        step = frontier.join(edges, axes).select(*names, *[F.col(f"n_{a}").alias(a) for a in axes]).distinct()
-        frontier = step.join(seen, [*names, *axes], "left_anti")
-        frontier = written(frontier)
-        if not frontier.take(1):
+    Points are numbered, and a row holds which of 64 starts have reached a point: a round sends what came in the last one to the neighbours, where it is
+    joined bit by bit, and adds the round's number for each start that is new. Distances are the same both ways, so what a point adds up is its
+    own cost. The rows are at most a sixty-fourth of the pairs of points that reach each other, are replaced in each round, and CHAIN rounds are one job.
+    More than most_points points, and distances over most_rounds, where that is given, are refused, not left out. Repeated points are one; a point with a
+    null coordinate reaches none."""
+    spark = points.sparkSession
+    numbered = points.select(*axes).distinct().withColumn("_p", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*axes)) - 1)  # most_points rows at most
+    numbered = written(numbered, ids := shared_folder(spark))
+    n = numbered.count()
+    if n > most_points:
+        removed(spark, ids)
+        raise ValueError(f"{n} points, {most_points} are allowed")
+    to = numbered.select(*[F.col(a).alias(f"n_{a}") for a in axes], F.col("_p").alias("_q"))
+    steps = axis_neighbours(numbered.select(*axes), [], axes).join(numbered, axes).join(to, [f"n_{a}" for a in axes]).select("_p", "_q")
+    steps = written(steps, edges := shared_folder(spark))
+    own = F.expr("shiftleft(1L, cast(_p % 64 as int))")
+    state = written(numbered.select("_p", F.floor(F.col("_p") / 64).alias("_b"), own.alias("_seen"), own.alias("_new"), F.lit(0).cast("long").alias("_cost")), last := shared_folder(spark))
+    nought, done = F.lit(0).cast("long"), 0
+    while True:
+        chain = CHAIN if most_rounds is None else min(CHAIN, most_rounds + 1 - done)
+        for d in range(done + 1, done + chain + 1):
+            came = state.where("_new <> 0").join(steps, "_p").groupBy(F.col("_q").alias("_p"), "_b").agg(F.bit_or("_new").alias("_came"))
+            state = state.join(came, ["_p", "_b"], "full_outer")
+            state = state.withColumn("_seen", F.coalesce("_seen", nought)).withColumn("_new", F.coalesce("_came", nought).bitwiseAND(F.bitwise_not("_seen")))
+            state = state.select("_p", "_b", F.col("_seen").bitwiseOR(F.col("_new")).alias("_seen"), "_new", (F.coalesce("_cost", nought) + d * F.bit_count("_new")).alias("_cost"))
+        state = written(state, folder := shared_folder(spark))
+        removed(spark, last)
+        last, done = folder, done + chain
+        if state.where("_new <> 0").isEmpty():
             break
-        if most_rounds is not None and d > most_rounds:
+        if most_rounds is not None and done > most_rounds:
+            for f in (ids, edges, last):
+                removed(spark, f)
             raise ValueError(f"points farther than {most_rounds} steps")
-        seen = seen.unionByName(frontier.withColumn("d", F.lit(d)))
-    return seen.groupBy(*names).agg(F.sum("d").alias("cost")).select(*[F.col(f"s_{a}").alias(a) for a in axes], "cost")
+    removed(spark, edges)
+    return state.groupBy("_p").agg(F.sum("_cost").alias("cost")).join(numbered, "_p").select(*axes, "cost")
 
 
 def tied_best(rows: DataFrame, group: list[str], value: str, second: str, third: str) -> DataFrame:
