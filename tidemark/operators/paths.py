@@ -177,6 +177,14 @@ def quotas(n: int) -> dict[str, int]:
     return {name: n // len(names) + (i < n % len(names)) for i, name in enumerate(names)}
 
 
+def quota_rows(rows: DataFrame, n: str) -> DataFrame:
+    """Rows with name and children beside each: `quotas` of a column."""
+    names = F.array(*map(F.lit, quotas(0)))
+    at = rows.select("*", F.posexplode(names).alias("_i", "name"))
+    whole = F.floor(F.col(n) / len(quotas(0)))
+    return at.withColumn("children", whole + (F.col("_i") < F.col(n) - whole * len(quotas(0))).cast("long")).drop("_i")
+
+
 def recompose(segments: DataFrame, bars: DataFrame, slots: DataFrame, plan: str = "plan") -> tuple[DataFrame, DataFrame]:
     """(bars, instances): segments strung together, each repeat scaled so that it goes on from the close before it.
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import keyed_uniform, radical_inverse
+from tidemark.operators.joins import full_grid
 
 Grid = dict[str, tuple[int, int]]
 BITS = 32
@@ -71,6 +72,12 @@ def initial_sobol_count(dimensions: int) -> int:
     return 0 if dimensions < 1 else 1 << math.ceil(math.log2(max(64, 16 * dimensions)))
 
 
+def sobol_counts(dimensions: Column) -> Column:
+    """`initial_sobol_count` of a column."""
+    least = F.greatest(F.lit(64).cast("long"), 16 * dimensions.cast("long"))
+    return F.when(dimensions < 1, 0).otherwise(F.pow(F.lit(2.0), F.length(F.bin(least - 1))).cast("long"))
+
+
 def combinations(grid: Grid, excluded: int = 0) -> int:
     """Number of points of a grid without the excluded ones, no more than an unsigned 64-bit number holds."""
     total = math.prod(b - a + 1 for a, b in grid.values())
@@ -243,3 +250,16 @@ def auto_cells(n: int) -> tuple[int, int]:
     half_up = lambda x: int(math.floor(x + 0.5))
     k = max(1, half_up(math.sqrt(n)))
     return k, max(4, half_up(math.sqrt(n / k)))
+
+
+def auto_cell_counts(n: Column) -> Column:
+    """`auto_cells` of a column: a struct of cells and places per cell."""
+    k = F.greatest(F.lit(1).cast("long"), F.floor(F.sqrt(n) + 0.5))
+    return F.struct(k.alias("k"), F.greatest(F.lit(4).cast("long"), F.floor(F.sqrt(n / k) + 0.5)).alias("p"))
+
+
+def region_key_rows(sizes: DataFrame) -> DataFrame:
+    """(key): `region_keys` from one row that holds the number of thresholds of each name, a column a name."""
+    names = sizes.columns
+    buckets = full_grid(sizes.select(*[(F.col(n) + 1).alias(n) for n in names]), names)
+    return buckets.select(F.concat_ws(";", *[F.concat(F.lit(f"{n}="), F.col(n)) for n in names]).alias("key"))

@@ -79,9 +79,10 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
     return J.axis_neighbours(points(spark, d), [], ["x", "y", "z"]).groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("j21_full_grid", """SELECT a.r AS f, b.r AS g, c.r AS h FROM range(7) a(r), range(5) b(r), range(11) c(r) WHERE NOT (a.r = 3 AND b.r = 2)""")
+@add("j21_full_grid", """WITH n AS (SELECT count(DISTINCT l_linenumber) AS f, count(DISTINCT l_returnflag) AS g, count(DISTINCT l_quantity) AS h FROM lineitem) SELECT a.r AS f, b.r AS g, c.r AS h FROM n, unnest(range(n.f)) a(r), unnest(range(n.g)) b(r), unnest(range(n.h)) c(r) WHERE NOT (a.r = 3 AND b.r = 2)""")
 def j21(spark: SparkSession, d: str) -> DataFrame:
-    sizes = spark.range(1).select(F.lit(7).cast("long").alias("f"), F.lit(5).cast("long").alias("g"), F.lit(11).cast("long").alias("h"))
+    """Axes as long as lineitem has line numbers, flags and quantities."""
+    sizes = table(spark, d, "lineitem").agg(*[F.count_distinct(c).alias(a) for a, c in (("f", "l_linenumber"), ("g", "l_returnflag"), ("h", "l_quantity"))])
     return J.full_grid(sizes, ["f", "g", "h"]).where("NOT (f = 3 AND g = 2)")
 
 

@@ -349,9 +349,14 @@ def g4(spark: SparkSession, d: str) -> DataFrame:
     return G.global_plan(spark, GRID, {"a": 5, "b": 6, "c": 2}, 128, legal=F.col("a") <= F.col("b"))
 
 
-@add("g5_local_plan", """SELECT a.r::INT AS a, b.r::INT AS b, c.r::INT AS c FROM range(3, 8) a(r), range(10, 13) b(r), range(0, 3) c(r)""")
+@add("g5_local_plan", """WITH g AS (SELECT l_linenumber AS a, l_quantity::INT AS b, (l_suppkey % 5)::INT AS c, max(l_extendedprice) AS v FROM lineitem GROUP BY ALL), m AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, min(c) AS c0, max(c) AS c1 FROM g),
+    t AS (SELECT a, b, c FROM g ORDER BY v DESC, a, b, c LIMIT 1) SELECT x.r::INT AS a, y.r::INT AS b, z.r::INT AS c FROM t, m, unnest(range(greatest(a0, a - 2), least(a1, a + 2) + 1)) x(r), unnest(range(greatest(b0, b - 2), least(b1, b + 2) + 1)) y(r), unnest(range(greatest(c0, c - 2), least(c1, c + 2) + 1)) z(r)""")
 def g5(spark: SparkSession, d: str) -> DataFrame:
-    return G.local_plan(spark, GRID, {"a": 5, "b": 12, "c": 0}, 2)
+    """The box around the lattice point of the highest price, within the bounds of the points met."""
+    g = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("a"), F.col("l_quantity").cast("int").alias("b"), (F.col("l_suppkey") % 5).cast("int").alias("c")).agg(F.max("l_extendedprice").alias("v"))
+    bounds = g.agg(*[f(x).alias(f"{n}_{x}") for x in "abc" for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+    top = g.orderBy(F.col("v").desc(), "a", "b", "c").first()
+    return G.local_plan(spark, {x: (bounds[f"lo_{x}"], bounds[f"hi_{x}"]) for x in "abc"}, {x: top[x] for x in "abc"}, 2)
 
 
 LATTICE = {"x": (1, 7, False, True), "y": (1, 50, True, True), "z": (0, 4, False, False)}
@@ -578,9 +583,15 @@ def l27(spark: SparkSession, d: str) -> DataFrame:
 
 @add("l16_six_regions", None)
 def l16(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("zero", 0.05, 1.0, 0.0, 0.0, 1.0, 1.0, 0.0), ("up", 0.1, 1.0, 0.1, 0.0, 0.2, 1.0, 0.0), ("down", 0.15, 1.0, 0.0, -0.1, 1.0, 0.3, 0.0), ("both", 0.7, 0.6, 0.0, 0.1, 0.3, 0.2, 0.1), ("both", 0.7, 0.4, -0.5, -0.2, 0.1, 0.2, -0.05)]
-    m = spark.createDataFrame(rows, "kind string, mass double, weight double, mean_up double, mean_down double, var_up double, var_down double, cov double").withColumn("id", F.lit(1))
-    return rounded(L.six_regions(m, ["id"], 0.2, 1.0))
+    """The regions of one lognormal a kind of move, with its share, means and variances from each series."""
+    m = M._kinds(moves(spark, d), "up", "down")
+    at = lambda c: F.when(F.col(c) > 0, F.log(F.when(F.col(c) > 0, F.col(c))))
+    spread = lambda c: F.greatest(F.coalesce(F.var_samp(at(c)), F.lit(0.0)), F.lit(1e-6))
+    per = m.groupBy(*KEY, "kind").agg(
+        F.lit(1.0).alias("weight"), F.coalesce(F.avg(at("up")), F.lit(0.0)).alias("mean_up"), F.coalesce(F.avg(at("down")), F.lit(0.0)).alias("mean_down"), spread("up").alias("var_up"), spread("down").alias("var_down"),
+        F.coalesce(F.covar_samp(at("up"), at("down")), F.lit(0.0)).alias("cov"),
+    )
+    return rounded(L.six_regions(per.join(M.zero_masses(moves(spark, d), KEY, "up", "down"), [*KEY, "kind"]), KEY, 0.2, 0.1))
 
 
 @add("l17_isotonic_calibrator", """WITH r AS (SELECT l_returnflag, least(9, floor(l_discount::DOUBLE * 10 * 10))::INT AS bin, (l_tax > 0.04)::INT AS y FROM lineitem), o AS (SELECT l_returnflag, avg(y) AS rate FROM r GROUP BY 1),

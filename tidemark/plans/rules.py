@@ -370,19 +370,40 @@ def x40(spark: SparkSession, d: str) -> DataFrame:
     return rounded(table(spark, d, "customer").select("c_custkey", X.lattice(F.col("c_acctbal") / 2000, -0.3, 3.2).alias("x")))
 
 
-@add("x45_auto_cells", "WITH n AS (SELECT unnest(range(1, 400)) AS n), k AS (SELECT n, greatest(1, floor(sqrt(n) + 0.5)) AS k FROM n) SELECT n, k::BIGINT AS k, greatest(4, floor(sqrt(n / k) + 0.5))::BIGINT AS p FROM k")
+BUDGETS = "n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)"
+
+
+def budgets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("x45_auto_cells", f"WITH {BUDGETS}, k AS (SELECT o_custkey, n * 7 AS n, greatest(1, floor(sqrt(n * 7) + 0.5)) AS k FROM n) SELECT o_custkey, k::BIGINT AS k, greatest(4, floor(sqrt(n / k) + 0.5))::BIGINT AS p FROM k")
 def x45(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n, *G.auto_cells(n)) for n in range(1, 400)], "n long, k long, p long")
+    """Budgets of seven evaluations an order."""
+    return budgets(spark, d).select("o_custkey", G.auto_cell_counts(F.col("n") * 7).alias("c")).select("o_custkey", "c.*")
 
 
-@add("x46_quotas", "SELECT n.r AS n, o.name, (n.r // 5 + (o.i < n.r % 5)::INT)::BIGINT AS children FROM range(1, 60) n(r), (VALUES (0, 'global'), (1, 'local'), (2, 'block'), (3, 'crossover'), (4, 'directional')) o(i, name)")
+@add("x46_quotas", f"WITH {BUDGETS} SELECT o_custkey, o.name, (n // 5 + (o.i < n % 5)::INT)::BIGINT AS children FROM n, (VALUES (0, 'global'), (1, 'local'), (2, 'block'), (3, 'crossover'), (4, 'directional')) o(i, name)")
 def x46(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n, name, q) for n in range(1, 60) for name, q in PA.quotas(n).items()], "n long, name string, children long")
+    return PA.quota_rows(budgets(spark, d), "n").select("o_custkey", "name", "children")
 
 
-@add("g6_initial_count", "SELECT d.r AS dimensions, (2 ** ceil(log2(greatest(64, 16 * d.r))))::BIGINT AS n FROM range(1, 21) d(r)")
+@add("g6_initial_count", "WITH n AS (SELECT l_orderkey, count(*) AS d FROM lineitem GROUP BY 1) SELECT l_orderkey, (2 ** ceil(log2(greatest(64, 16 * d))))::BIGINT AS n FROM n")
 def g6(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(k, G.initial_sobol_count(k)) for k in range(1, 21)], "dimensions long, n long")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("d"))
+    return lines.select("l_orderkey", G.sobol_counts(F.col("d")).alias("n"))
+
+
+@add(
+    "x28_inverse_values",
+    f"""WITH RECURSIVE p AS (SELECT DISTINCT (o_orderkey % 999 + 0.5) / 999.0 AS p FROM orders), b AS (SELECT p, -5.0::DOUBLE AS lo, 5.0::DOUBLE AS hi, 0 AS s FROM p
+      UNION ALL SELECT p, CASE WHEN c < p THEN m ELSE lo END, CASE WHEN c < p THEN hi ELSE m END, s + 1 FROM (SELECT *, {cdf('m')} AS c FROM (SELECT *, (lo + hi) / 2 AS m FROM b WHERE s < 36)))
+    SELECT o_orderkey, round(lo, 5) + 0.0 AS z FROM orders JOIN b ON b.p = (o_orderkey % 999 + 0.5) / 999.0 WHERE s = 36""",
+)
+def x28_values(spark: SparkSession, d: str) -> DataFrame:
+    """The inverse itself, against halving of the distribution function's argument."""
+    p = (F.col("o_orderkey") % 999 + 0.5) / 999.0
+    return rounded(table(spark, d, "orders").select("o_orderkey", X.inverse_normal(p).alias("z")), 5)
 
 
 @add("b7_released_lots", """WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity AS amount, CASE WHEN l_returnflag <> 'A' THEN l_quantity ELSE 0 END AS size FROM lineitem), b AS (SELECT *, sum(size) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING) - size AS before FROM w)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from tidemark.functions import checks as C
 from tidemark.functions import scalar as X
 from tidemark.operators import indicators as I
@@ -26,11 +28,18 @@ KEY = ["event_type"]
 WIN = "WINDOW w AS (PARTITION BY event_type ORDER BY open_time_ms)"
 
 
-@add("s1_paged_source", f"""SELECT k * {DAY} AS open_time_ms, (100 + k % 17)::DOUBLE AS close, (k % 5)::DOUBLE AS volume, 'ABC' AS symbol FROM range(500) r(k)""")
+@add("s1_paged_source", f"""WITH {BE} SELECT upper(event_type) AS symbol, open_time_ms, close, volume FROM be""")
 def s1(spark: SparkSession, d: str) -> DataFrame:
+    """Daily bars of a stored table, asked for page by page, each series in slices of its range."""
+    from tidemark.shared import shared_folder, written
+
+    bars = bars_events(spark, d).select(F.upper("event_type").alias("symbol"), "open_time_ms", "open", "high", "low", "close", "volume")
+    written(bars, here := shared_folder(spark))
     spark.dataSource.register(PagedBars)
-    rows = spark.read.format("paged_bars").options(symbol="abc", start_ms="0", end_ms=str(499 * DAY), fetch="tidemark.sources.paged:sawtooth", limit="60", slices="4").load()
-    return rows.select("open_time_ms", "close", "volume", "symbol")
+    ends = bars.groupBy("symbol").agg(F.min("open_time_ms"), F.max("open_time_ms")).collect()  # one a series
+    options = {"fetch": "tidemark.sources.paged:stored_pages", "limit": "20", "slices": "4", "table": here}
+    parts = [spark.read.format("paged_bars").options(symbol=k, start_ms=str(first), end_ms=str(last), **options).load() for k, first, last in ends]
+    return reduce(DataFrame.unionByName, parts).select("symbol", "open_time_ms", "close", "volume")
 
 
 @add("s22_manual_prices", f"""WITH {BO}, m AS (SELECT (open_time_ms // {DAY}) AS d, close, open_time_ms FROM bo), n AS (SELECT d + 1 AS d, close * 2 AS c FROM m WHERE d % 10 = 0)
@@ -165,9 +174,10 @@ def j19(spark: SparkSession, d: str) -> DataFrame:
     return rounded(e.join(other, "label").where("vec_id != o").groupBy("vec_id").agg(F.min(far).alias("nearest")))
 
 
-@add("j24_region_keys", """SELECT 'vol=' || a.r || ';trend=' || b.r AS key FROM range(4) a(r), range(3) b(r)""")
+@add("j24_region_keys", """WITH n AS (SELECT count(DISTINCT l_linenumber) AS v, count(DISTINCT l_returnflag) AS t FROM lineitem) SELECT 'vol=' || a.r || ';trend=' || b.r AS key FROM n, unnest(range(n.v + 1)) a(r), unnest(range(n.t + 1)) b(r)""")
 def j24(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in G.region_keys({"vol": [0.8, 1.0, 1.2], "trend": [0.98, 1.02]})], "key string")
+    """A threshold of the first name for each line number met, of the second for each flag."""
+    return G.region_key_rows(table(spark, d, "lineitem").agg(F.count_distinct("l_linenumber").alias("vol"), F.count_distinct("l_returnflag").alias("trend")))
 
 
 @add("j28_blocked_tasks", """SELECT DISTINCT c_custkey AS task FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND o_orderstatus IN ('O', 'P')""")
