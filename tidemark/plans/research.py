@@ -11,6 +11,7 @@ from tidemark.operators import indicators as I
 from tidemark.operators import learning as L
 from tidemark.operators import paths as P
 from tidemark.operators import robust as R
+from tidemark.operators import rulesearch as RS
 from tidemark.operators import sampling as G
 from tidemark.operators import simulate as S
 from tidemark.operators import states as W
@@ -118,6 +119,59 @@ def l19(spark: SparkSession, d: str) -> DataFrame:
     return rounded(p.groupBy(*keys).agg((mi / F.nullif(F.sqrt(ha * hb), F.lit(0.0))).alias("nmi"), F.sum(F.when(F.col("state") != "uncertain", F.col("n")).otherwise(0)).alias("certain")))
 
 
+_LEAN = f"CASE WHEN {lr('high', 'open')} + {lr('open', 'low')} > 0 THEN ({lr('high', 'open')} - {lr('open', 'low')}) / ({lr('high', 'open')} + {lr('open', 'low')}) END"
+
+
+def _values(xs: tuple[float, ...]) -> str:
+    return "(VALUES " + ", ".join(f"({x}::DOUBLE)" for x in xs) + ")"
+
+
+def _judged(source: str, names: str, simple: str) -> str:
+    """CTEs from states z (event_type, boundary, names, open_time_ms, st, truth) to scores, and the choice."""
+    g = f"event_type, boundary, {names}"
+    return f"""turns AS (SELECT *, coalesce((lag(st) OVER (PARTITION BY {g} ORDER BY open_time_ms) <> st)::INT, 0) AS turned FROM {source}),
+    j AS (SELECT {g}, st, truth, count(*) AS n, sum(turned) AS t FROM turns GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY {g}) AS al, sum(n) OVER (PARTITION BY {g}, st) AS a, sum(n) OVER (PARTITION BY {g}, truth) AS b FROM j),
+    e AS (SELECT {g}, sum(n / al * ln(n * al / (a * b))) AS mi, sum(-n / al * ln(a / al)) * sum(-n / al * ln(b / al)) AS h, sum(t)::BIGINT AS switches, sum(CASE WHEN st <> 'uncertain' THEN n ELSE 0 END)::BIGINT AS support, any_value(al) AS al FROM w GROUP BY ALL),
+    s AS (SELECT *, CASE WHEN h > 0 THEN mi / sqrt(h) ELSE 0 END AS nmi, support >= greatest(5, al // 50) AS enough FROM e)
+    SELECT {g}, round(nmi, 6) AS nmi, switches, support, enough AND row_number() OVER (PARTITION BY event_type ORDER BY enough DESC, round(nmi, 12) DESC, switches, {simple}, boundary, {names}) = 1 AS chosen FROM s"""
+
+
+def _latch(enter: str, keep: str) -> str:
+    return f"last_value(CASE WHEN {enter} THEN 1 WHEN NOT ({keep}) THEN 0 END IGNORE NULLS) OVER v"
+
+
+@add(
+    "l19_direction_rules",
+    f"""WITH {SIX}, x AS (SELECT event_type, open_time_ms, u, b, dn, {_LEAN} AS lean, B.x AS boundary, C.x AS confidence, G.x AS gap, H.x AS hysteresis FROM q, {_values(RS.BOUNDARIES)} B(x), {_values(RS.CONFIDENCES)} C(x), {_values(RS.GAPS)} G(x), {_values(RS.HYSTERESES)} H(x)),
+    y AS (SELECT *, 1/3.0 + hysteresis * (confidence - 1/3.0) AS lv, hysteresis * gap AS lg, u - greatest(b, dn) AS gu, b - greatest(u, dn) AS gb, dn - greatest(u, b) AS gd FROM x),
+    l AS (SELECT *, {_latch("u >= confidence AND gu >= gap", "u >= lv AND gu >= lg")} AS su, {_latch("b >= confidence AND gb >= gap", "b >= lv AND gb >= lg")} AS sb, {_latch("dn >= confidence AND gd >= gap", "dn >= lv AND gd >= lg")} AS sd
+      FROM y WINDOW v AS (PARTITION BY boundary, confidence, gap, hysteresis, event_type ORDER BY open_time_ms)),
+    z AS (SELECT *, CASE WHEN sb = 1 THEN 'balanced' WHEN sd = 1 THEN 'down' WHEN su = 1 THEN 'up' ELSE 'uncertain' END AS st, CASE WHEN lean > boundary THEN 'up' WHEN lean < -boundary THEN 'down' ELSE 'balanced' END AS truth FROM l),
+    {_judged("z", "confidence, gap, hysteresis", "confidence + gap")}""",
+)
+def l19_directions(spark: SparkSession, d: str) -> DataFrame:
+    """All 144 rules of direction on each series' hourly bars."""
+    up, down = I.log_ratio("high", "open"), I.log_ratio("open", "low")
+    lean = F.when(up + down > 0, (up - down) / F.nullif(up + down, F.lit(0.0)))
+    rows = six(spark, d).withColumns({"lean": lean, "boundary": F.explode(F.array(*map(F.lit, RS.BOUNDARIES)))})
+    return rounded(RS.direction_rules(rows.select(*KEY, "boundary", "open_time_ms", "up", "balanced", "down", "lean"), KEY))
+
+
+@add(
+    "l19_magnitude_rules",
+    f"""WITH {SIX}, a AS (SELECT event_type, open_time_ms, large::DOUBLE AS large, {lr('high', 'low')} AS size FROM q), b AS (SELECT event_type, unnest(quantile_cont(size, [0.35, 0.5, 0.65])) AS boundary FROM a WHERE size > 0 GROUP BY 1),
+    x AS (SELECT a.*, b.boundary, C.x AS confidence, H.x AS hysteresis, 0.5 + H.x * (C.x - 0.5) AS lv FROM a JOIN b USING (event_type), {_values(RS.SIZE_CONFIDENCES)} C(x), {_values(RS.HYSTERESES)} H(x)),
+    l AS (SELECT *, {_latch("large >= confidence", "large >= lv")} AS lg, {_latch("1 - large >= confidence", "1 - large >= lv")} AS sm FROM x WINDOW v AS (PARTITION BY boundary, confidence, hysteresis, event_type ORDER BY open_time_ms)),
+    z AS (SELECT *, CASE WHEN lg = 1 THEN 'large' WHEN sm = 1 THEN 'small' ELSE 'uncertain' END AS st, CASE WHEN size >= boundary THEN 'large' ELSE 'small' END AS truth FROM l),
+    r AS ({_judged("z", "confidence, hysteresis", "confidence").replace("turns AS (", "WITH turns AS (", 1)}) SELECT * REPLACE (round(boundary, 6) AS boundary) FROM r""",
+)
+def l19_magnitudes(spark: SparkSession, d: str) -> DataFrame:
+    """All 36 rules of size."""
+    rows = six(spark, d).withColumn("size", I.log_ratio("high", "low"))
+    both = rows.join(RS.size_boundaries(rows, KEY, "size"), KEY).select(*KEY, "boundary", "open_time_ms", "large", "size")
+    return rounded(RS.magnitude_rules(both, KEY))
+
+
 def F_window(*keys: str):
     from pyspark.sql import Window
 
