@@ -172,6 +172,41 @@ def l19_magnitudes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(RS.magnitude_rules(both, KEY))
 
 
+_GROUPS = [("m0", "m1"), ("m2", "m3"), ("m4", "m5")]
+_RATIOS = [(53, 97), (29, 89), (61, 103), (41, 79), (23, 107), (47, 83)]
+_SIX_RATIOS = ", ".join(f"0.6 + ((open_time_ms // 3600000) * {a} % {b}) / 80.0::DOUBLE AS m{i}" for i, (a, b) in enumerate(_RATIOS))
+
+
+@add(
+    "l20_direction_rules",
+    f"""WITH {BEH}, x AS (SELECT event_type, open_time_ms, ({PROB})::DOUBLE AS p, close > open AS rose, E.x AS entry, H.x AS hysteresis, 0.5 + H.x * (E.x - 0.5) AS lv FROM be, {_values(RS.ENTRIES)} E(x), {_values(RS.HYSTERESES)} H(x)),
+    l AS (SELECT *, {_latch("p >= entry", "p >= lv")} AS u, {_latch("p <= 1 - entry", "p <= 1 - lv")} AS dn FROM x WINDOW v AS (PARTITION BY entry, hysteresis, event_type ORDER BY open_time_ms)),
+    z AS (SELECT *, 0 AS boundary, CASE WHEN u = 1 THEN 'up' WHEN dn = 1 THEN 'down' ELSE 'uncertain' END AS st, CASE WHEN rose THEN 'up' ELSE 'down' END AS truth FROM l),
+    r AS ({_judged("z", "entry, hysteresis", "entry").replace("turns AS (", "WITH turns AS (", 1)}), c AS (SELECT event_type, entry, hysteresis, avg((st <> 'uncertain')::INT) AS coverage, avg((st = truth)::INT) FILTER (st <> 'uncertain') AS hit_rate FROM z GROUP BY ALL)
+    SELECT r.* EXCLUDE (boundary), round(coverage, 6) AS coverage, round(coalesce(hit_rate, 0), 6) AS hit_rate FROM r JOIN c USING (event_type, entry, hysteresis)""",
+)
+def l20_directions(spark: SparkSession, d: str) -> DataFrame:
+    """All 15 rules of direction, judged by whether the bar rose."""
+    return rounded(RS.endpoint_rules(swings(spark, d).select(*KEY, "open_time_ms", "p", (F.col("close") > F.col("open")).alias("rose")), KEY))
+
+
+@add(
+    "l20_volatility_rules",
+    f"""WITH {BEH}, m AS (SELECT event_type, open_time_ms, close > 50 AS high, {_SIX_RATIOS} FROM be),
+    c(place, ratios, {", ".join(f"c{i}" for i in range(6))}) AS (VALUES {", ".join(f"({k}, '{'+'.join(c)}', " + ", ".join(str(f"m{i}" in c).lower() for i in range(6)) + ")" for k, c in enumerate(RS.ratio_choices(_GROUPS)))}),
+    x AS (SELECT *, T.x AS threshold, H.x AS hysteresis, 1 + H.x * (T.x - 1) AS lv FROM m, c, {_values(RS.THRESHOLDS)} T(x), {_values(RS.HYSTERESES)} H(x)),
+    l AS (SELECT *, {_latch(" OR ".join(f"(c{i} AND m{i} > threshold)" for i in range(6)), " OR ".join(f"(c{i} AND m{i} >= lv)" for i in range(6)))} AS h FROM x WINDOW v AS (PARTITION BY place, threshold, hysteresis, event_type ORDER BY open_time_ms)),
+    z AS (SELECT *, coalesce(h, 0) = 1 AS st, coalesce(lag(coalesce(h, 0)) OVER (PARTITION BY place, threshold, hysteresis, event_type ORDER BY open_time_ms) <> coalesce(h, 0), false) AS turned FROM l),
+    s AS (SELECT event_type, threshold, place, ratios, hysteresis, (coalesce(avg(st::INT) FILTER (high), 0) + coalesce(avg((NOT st)::INT) FILTER (NOT high), 0)) / 2 AS ba, count(*) FILTER (turned AND NOT st AND high) AS false_exits, count(*) FILTER (st AND NOT high) AS exit_delay, count(*) FILTER (turned) AS switches FROM z GROUP BY ALL)
+    SELECT event_type, threshold, place::INT AS place, ratios, hysteresis, round(ba, 6) AS balanced_accuracy, false_exits, exit_delay, switches, row_number() OVER (PARTITION BY event_type ORDER BY round(ba, 12) DESC, false_exits, exit_delay, place, threshold, hysteresis) = 1 AS chosen FROM s""",
+)
+def l20_volatilities(spark: SparkSession, d: str) -> DataFrame:
+    """All 312 rules of volatility on six ratios in three groups."""
+    h = F.expr("open_time_ms div 3600000")
+    rows = bars_events(spark, d, HOUR).withColumns({f"m{i}": 0.6 + (h * a % b) / 80.0 for i, (a, b) in enumerate(_RATIOS)})
+    return rounded(RS.volatility_rules(rows.select(*KEY, "open_time_ms", *[f"m{i}" for i in range(6)], (F.col("close") > 50).alias("high")), KEY, _GROUPS))
+
+
 def F_window(*keys: str):
     from pyspark.sql import Window
 
