@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,3 +144,89 @@ def ancestors(edges: DataFrame, roots: DataFrame, child: str, parent: str, most_
     if most_steps is not None and seen.where(F.col("depth") > most_steps).take(1):
         raise ValueError(f"ancestors farther than {most_steps} steps")
     return seen.where("depth > 0")
+
+
+#: Vectors of a block of `nearest_in_cell`, about; a task holds two blocks and STRIP rows of their distances.
+BLOCK, STRIP = 4096, 512
+
+
+def _matrix(part: pa.Table) -> np.ndarray:
+    return part.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+
+
+def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The distance of rows i of a from rows j of b, one by one."""
+    out, step = np.empty(len(i)), max(1, (1 << 21) // max(1, a.shape[1]))
+    for lo in range(0, len(i), step):
+        gap = a[i[lo : lo + step]] - b[j[lo : lo + step]]
+        out[lo : lo + step] = np.sqrt((gap * gap).sum(1))
+    return out
+
+
+def _nearest_of(a: np.ndarray, b: np.ndarray, ids_a: np.ma.MaskedArray, ids_b: np.ma.MaskedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distance of each row of a from the nearest of b and the reverse, rows of one id aside, and whether there was any. A masked id is equal to none.
+
+    Products only tell which pairs may be nearest, within the error that they can have; those pairs are measured by their differences. Rows
+    that are not finite, or too large for products, are measured against all. NaN is the farthest."""
+    with np.errstate(all="ignore"):
+        na, nb = (a * a).sum(1), (b * b).sum(1)
+        calm_a, calm_b = na < 1e300, nb < 1e300
+        near_a, near_b = np.full(len(a), np.nan), np.full(len(b), np.nan)
+        any_a, any_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        slack = 8 * (a.shape[1] + 4) * np.finfo(np.float64).eps
+        least_b, largest = np.full(len(b), np.inf), nb[calm_b].max(initial=0.0)
+        for lo in range(0, len(a), STRIP):
+            at = slice(lo, lo + STRIP)
+            other = (ids_a.data[at, None] != ids_b.data[None, :]) | ids_a.mask[at, None] | ids_b.mask[None, :]
+            any_a[at], any_b = other.any(1), any_b | other.any(0)
+            calm = other & calm_a[at, None] & calm_b[None, :]
+            far = np.where(calm, na[at, None] + nb[None, :] - 2 * (a[at] @ b.T), np.inf)
+            least_b = np.minimum(least_b, far.min(0, initial=np.inf))
+            error_a, error_b = slack * (na[at] + largest), slack * (nb + na[at][calm_a[at]].max(initial=0.0))
+            asked = (far <= (far.min(1, initial=np.inf) + 2 * error_a)[:, None]) | (far <= (least_b + 2 * error_b)[None, :])
+            i, j = np.nonzero((asked & calm) | (other & ~calm))
+            d = _exact(a, b, i + lo, j)
+            np.fmin.at(near_a, i + lo, d)
+            np.fmin.at(near_b, j, d)
+    return near_a, near_b, any_a, any_b
+
+
+def _block_pair(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(_i, _far) of the vectors of two blocks against each other; without a right block, of one against itself."""
+    out = []
+    if left.num_rows:
+        one = not right.num_rows
+        right = left if one else right
+        ids = [np.ma.array(t.column("_n").fill_null(0).to_numpy(), mask=t.column("_n").is_null().to_numpy()) for t in (left, right)]
+        near = _nearest_of(_matrix(left), _matrix(right), *ids)
+        for part, d, there in zip((left, right)[: 1 if one else 2], near[:2], near[2:]):
+            out.append(pa.table({"_n": part.column("_n"), "_far": pa.array(d, pa.float64())}).filter(pa.array(there)))
+    return pa.concat_tables(out) if out else pa.table({"_n": pa.array([], pa.int64()), "_far": pa.array([], pa.float64())})
+
+
+def nearest_in_cell(rows: DataFrame, cell: str, id_: str, vector: str) -> DataFrame:
+    """(id_, nearest): the Euclidean distance of each row's vector from the nearest of its cell with another id (a whole number).
+
+    Rows alone in their cell have none. Vectors with a null, or of another length, have no distance; NaN is the farthest. Copies are one
+    vector: a vector that several ids have is at 0. The others are dealt to blocks, and each pair of a cell's blocks is a group, so a
+    task holds two blocks whatever the cell; all pairs of different vectors are looked at, so the work is their square."""
+    e = rows.select(F.col(cell).alias("_c"), F.col(id_).cast("long").alias("_n"), F.col(vector).alias("_v")).where("_c IS NOT NULL AND _n IS NOT NULL")
+    cells = e.groupBy("_c").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi")).where("_lo != _hi")
+    nothing = e.join(cells, "_c", "left_semi").select("_n", F.lit(None).cast("double").alias("_far"))
+    whole = e.where(F.col("_v").isNotNull() & F.forall("_v", lambda x: x.isNotNull()))
+    finite = F.forall("_v", lambda x: F.abs(x) < float("inf"))
+    kinds = whole.groupBy("_c", "_v", F.when(~finite, F.col("_n")).alias("_own")).agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
+    kinds = written(kinds)
+    copied = kinds.where("_lo != _hi").select(F.col("_c").alias("_cell"), F.col("_v").alias("_w"))
+    zero = whole.join(copied, (F.col("_c") == F.col("_cell")) & (F.col("_v") == F.col("_w")), "left_semi").select("_n", F.lit(0.0).alias("_far"))
+    # a vector that has several ids stands for one that no id is equal to
+    kinds = kinds.select("_c", F.size("_v").alias("_d"), "_v", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("_n"))
+    count = kinds.groupBy("_c", "_d").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    count = count.select(F.col("_c").alias("_cell"), F.col("_d").alias("_size"), "_blocks")
+    dealt = kinds.join(count, (F.col("_c") == F.col("_cell")) & (F.col("_d") == F.col("_size"))).withColumn("_b", F.pmod(F.xxhash64("_v", "_n"), F.col("_blocks")).cast("int"))
+    left = dealt.select("_c", "_d", "_b", F.explode(F.sequence(F.col("_b"), F.col("_blocks") - 1)).alias("_o"), "_n", "_v")
+    right = dealt.where("_b > 0").select("_c", "_d", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_b"), F.col("_b").alias("_o"), "_n", "_v")
+    right = right.toDF("_cell", "_size", "_first", "_second", "_n", "_v")
+    met = left.groupBy("_c", "_d", "_b", "_o").cogroup(right.groupBy("_cell", "_size", "_first", "_second")).applyInArrow(_block_pair, "_n long, _far double")
+    found = nothing.unionByName(zero).unionByName(met.where("_n IS NOT NULL"))
+    return found.groupBy(F.col("_n").alias(id_)).agg(F.min("_far").alias("nearest"))
