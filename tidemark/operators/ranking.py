@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import places
+from tidemark.operators.fits import met
+
 
 def _group(keys: list[str]):
     return Window.partitionBy(*(keys or [F.lit(0)]))
@@ -54,9 +57,9 @@ def evenly_spaced(rows: DataFrame, keys: list[str], order: list[str], most: int
 
 def unique_within(rows: DataFrame, keys: list[str], value: str, eps: float = 1e-9) -> DataFrame:
     """Values that lie more than eps above the one before."""
-    w = _group(keys).orderBy(value)
-    d = F.col(value) - F.lag(value).over(w)
-    return rows.select(*keys, value, d.alias("_d")).where("_d IS NULL OR _d > " + repr(eps)).drop("_d")
+    near = places.with_previous(rows.select(*keys, value), keys, value, "_before")
+    d = F.col(value) - F.col("_before")
+    return near.select(*keys, value, d.alias("_d")).where("_d IS NULL OR _d > " + repr(eps)).drop("_d")
 
 
 def pass_rate_curve(rows: DataFrame, keys: list[str], distance: str, passed: str) -> DataFrame:
@@ -73,8 +76,10 @@ def reliability_bins(rows: DataFrame, keys: list[str], probability: str, label:
 
 
 def error_metrics(rows: DataFrame, keys: list[str], actual: str, predicted: str) -> DataFrame:
-    e = F.abs(F.col(actual) - F.col(predicted))
-    return rows.groupBy(*keys).agg(F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(e, F.lit(0.5)).alias("median_error"), F.percentile(e, F.lit(0.9)).alias("p90_error"))
+    """Mean, root mean square, median and 90th percentile of each key's absolute errors; the percentiles are exact."""
+    e = rows.select(*keys, F.abs(F.col(actual) - F.col(predicted)).alias("_e"))
+    means = e.groupBy(*keys).agg(F.avg("_e").alias("mae"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"))
+    return met(means, places.percentiles(e, keys, "_e", {"median_error": 0.5, "p90_error": 0.9}), keys)
 
 
 def mutual_information(rows: DataFrame, a: str, b: str) -> DataFrame:
