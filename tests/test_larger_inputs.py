@@ -36,7 +36,7 @@ def test_round_trip_keeps_prices_without_a_logarithm(spark, tmp_path):
 def whole_key_windows(df, keys):
     """Windows over rows of a key as a whole: those of the plan that are partitioned by the keys and not by ranges of them."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return [line for line in plan.splitlines() if "Window [" in line and "_part#" not in line and "_m#" not in line and "_last#" not in line]
+    return [line for line in plan.splitlines() if "Window [" in line and "_range#" not in line and "_m#" not in line and "_last#" not in line]
 
 
 def test_values_before_cross_ranges(spark):

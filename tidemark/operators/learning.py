@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import inverse_normal, normal_cdf, radical_inverse
-from tidemark.operators import fits
+from tidemark.operators import fits, places
 
 
 def folds_of(rows: DataFrame, keys: list[str], order: str, min_train: int, purge: int, folds: int) -> DataFrame:
     """Each row once per fold it serves in: adds fold and part (train or validation). Training expands and ends `purge` rows
     before the validation block; the last block runs to the end."""
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
-    at = rows.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    at = places.placed(rows, keys, [order])
     block = F.floor((F.col("_n") - min_train - purge) / folds)
     at = at.withColumn("_block", block).where("_block > 0").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
     start = min_train + purge + F.col("fold") * F.col("_block")
