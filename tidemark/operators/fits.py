@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.wrapping import bound
+from tidemark.operators import places
 from tidemark.shared import removed, shared_folder, written
 
 #: Rounds of k-means in one job.
@@ -138,12 +139,16 @@ def predicted(rows: DataFrame, models: DataFrame, keys: list[str], x: list[str],
 
 def starts(rows: DataFrame, keys: list[str], values: list[str], order: list[str], k: Column | int) -> DataFrame:
     """(keys, _c): the values at places floor((2i + 1) n / 2k) of each key's rows in order, i from 0. `order` tells all rows of a key apart, or equal rows apart from others."""
-    w = Window.partitionBy(*(keys or [F.lit(0)]))
     k = F.lit(k) if isinstance(k, int) else k
-    at = rows.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(w), "_k": k})
+    named = list(dict.fromkeys([*keys, *values, *order]))
+    return _at_places(places.placed(rows.select(*named, k.alias("_k")), keys, order), keys, values)
+
+
+def _at_places(at: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """`starts` of rows with their places _i among _n, and _k."""
     # place i is the last whose floor is not above the row's own; several i may share a row
-    places = F.filter(F.sequence(F.lit(0), F.col("_k") - 1), lambda i: F.floor((2 * i + 1) * F.col("_n") / (2 * F.col("_k"))) == F.col("_i"))
-    some = at.select(*keys, F.explode(places).alias("_p"), F.array(*[F.col(v).cast("double") for v in values]).alias("_v"))
+    shares = F.filter(F.sequence(F.lit(0), F.col("_k") - 1), lambda i: F.floor((2 * i + 1) * F.col("_n") / (2 * F.col("_k"))) == F.col("_i"))
+    some = at.select(*keys, F.explode(shares).alias("_p"), F.array(*[F.col(v).cast("double") for v in values]).alias("_v"))
     return some.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_v"))), lambda s: s["_v"]).alias("_c"))
 
 
@@ -155,18 +160,21 @@ def nearest(rows: DataFrame, keys: list[str], values: list[str], centres: DataFr
     return met(rows, centres, keys, "inner").withColumn(to, best)
 
 
-def cells(rows: DataFrame, keys: list[str], values: list[str], centres: DataFrame, k: int, rounds: int | None = None) -> DataFrame:
+def cells(rows: DataFrame, keys: list[str], values: list[str], centres: DataFrame, k: int, rounds: int | None = None, weight: str | None = None) -> DataFrame:
     """The centres (keys, _c; k at most) after k-means over each key's rows, an empty cell keeping its centre.
 
-    Until none moves by more than STILL of its size, or `rounds` times where that is given."""
+    Until none moves by more than STILL of its size, or `rounds` times where that is given. Rows alike are one row of a weight in the rounds;
+    `weight` names their number where rows are counted already."""
     spark, done = rows.sparkSession, 0
-    rows = written(rows.select(*keys, *values), narrow := shared_folder(spark))
+    counted = rows.select(*keys, *values, F.col(weight).alias("_w")) if weight else rows.groupBy(*keys, *values).agg(F.count(F.lit(1)).alias("_w"))
+    rows = written(counted, narrow := shared_folder(spark))
     state = written(centres.select(*keys, "_c"), last := shared_folder(spark))
     while rounds is None or done < rounds:
         steps = CHAIN if rounds is None else min(CHAIN, rounds - done)
         for _ in range(steps):
             placed = nearest(rows, keys, values, state)
-            means = [F.array(*[F.avg(F.when(F.col("component") == i, F.col(v))) for v in values]).alias(f"_m{i}") for i in range(k)]
+            at = lambda i, v: F.when((F.col("component") == i) & F.col(v).isNotNull(), F.col("_w"))
+            means = [F.array(*[F.sum(at(i, v) * F.col(v)) / F.sum(at(i, v)) for v in values]).alias(f"_m{i}") for i in range(k)]
             now = F.filter(F.array(*[F.when(F.size("_was") > i, F.when(F.col(f"_m{i}")[0].isNotNull(), F.col(f"_m{i}")).otherwise(F.get("_was", F.lit(i)))) for i in range(k)]), lambda c: c.isNotNull())
             state = placed.groupBy(*keys).agg(F.any_value("_c").alias("_was"), *means).withColumn("_c", now).select(*keys, "_was", "_c")
         moved = F.exists(F.zip_with("_was", "_c", lambda a, b: F.exists(F.zip_with(a, b, lambda p, q: F.abs(p - q) > STILL * (1 + F.abs(q))), lambda x: x)), lambda x: x)
@@ -180,10 +188,17 @@ def cells(rows: DataFrame, keys: list[str], values: list[str], centres: DataFram
 
 
 def _moments(placed: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """(keys, component, n, weight, mean, variance, cov) of rows placed in components."""
-    spread = [F.greatest(F.coalesce(F.var_samp(v), F.lit(0.0)), F.lit(1e-6)) for v in values]
-    cov = F.coalesce(F.covar_samp(*values), F.lit(0.0)) if len(values) == 2 else F.lit(0.0)
-    per = placed.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(v) for v in values]).alias("mean"), F.array(*spread).alias("variance"), cov.alias("cov"))
+    """(keys, component, n, weight, mean, variance, cov) of rows of weight _w placed in components beside their centres _c.
+
+    Sums are of the distances from the centre, which is about the mean, so nothing cancels."""
+    gap = [F.col(v) - F.get("_c", F.col("component"))[i] for i, v in enumerate(values)]
+    w, m = F.col("_w"), len(values)
+    sums = [F.sum(w * gap[i]).alias(f"_s{i}") for i in range(m)] + [F.sum(w * gap[i] * gap[j]).alias(f"_s{i}_{j}") for i in range(m) for j in range(i, m)]
+    per = placed.groupBy(*keys, "component").agg(F.sum("_w").alias("n"), *[F.min(F.get("_c", F.col("component"))[i]).alias(f"_at{i}") for i in range(m)], *sums)
+    joint = lambda i, j: (F.col(f"_s{i}_{j}") - F.col(f"_s{i}") * F.col(f"_s{j}") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))
+    spread = [F.greatest(F.coalesce(joint(i, i), F.lit(0.0)), F.lit(1e-6)) for i in range(m)]
+    cov = F.coalesce(joint(0, 1), F.lit(0.0)) if m == 2 else F.lit(0.0)
+    per = per.select(*keys, "component", "n", F.array(*[F.col(f"_at{i}") + F.col(f"_s{i}") / F.col("n") for i in range(m)]).alias("mean"), F.array(*spread).alias("variance"), cov.alias("cov"))
     total = F.sum("n").over(Window.partitionBy(*(keys or [F.lit(0)])))
     limit = 0.999 * F.sqrt(F.col("variance")[0] * F.col("variance")[len(values) - 1])
     return per.withColumns({"weight": F.col("n") / total, "cov": F.greatest(F.least("cov", limit), -limit)}).select(*keys, "component", "n", "weight", "mean", "variance", "cov")
@@ -197,10 +212,13 @@ def mixtures(rows: DataFrame, keys: list[str], values: list[str], order: list[st
     least, and the covariance (0 for one column) is held within 0.999 of what the variances allow. Rows with a null value are left
     out; an empty cell has no row."""
     group = [*keys, "k"]
-    there = rows.dropna(subset=values).withColumn("k", F.explode(k))
-    centres = starts(there, group, values, order, F.col("k"))
+    named = list(dict.fromkeys([*keys, *values, *order]))
+    at = places.placed(rows.dropna(subset=values).select(*named, k.alias("_ks")), keys, order)  # one order for all numbers of components
+    centres = _at_places(at.withColumn("k", F.explode("_ks")).withColumn("_k", F.col("k")), group, values)
+    alike = written(at.groupBy(*keys, "_ks", *values).agg(F.count(F.lit(1)).alias("_w")))
+    there = alike.withColumn("k", F.explode("_ks")).drop("_ks")
     if most > 1:
-        centres = cells(there, group, values, centres, most, None if rounds is None else rounds - 1)
+        centres = cells(there, group, values, centres, most, None if rounds is None else rounds - 1, "_w")
     return _moments(nearest(there, group, values, centres), group, values)
 
 
@@ -234,7 +252,7 @@ def _selected(rows: DataFrame, keys: list[str], id_: str, two: Column, most: int
     All keys, numbers of components and parts settle in the same rounds: they are part of the key."""
     w = Window.partitionBy(*(keys or [F.lit(0)]))
     least, each = F.when(two, 12).otherwise(10), F.when(two, 5).otherwise(3)
-    at = rows.withColumns({"_at": F.row_number().over(w.orderBy(id_)), "_n": F.count(F.lit(1)).over(w), "_two": two}).withColumn("_cut", F.floor(F.col("_n") * 4 / 5))
+    at = places.placed(rows.withColumn("_two", two), keys, [id_]).withColumn("_at", F.col("_i") + 1).drop("_i").withColumn("_cut", F.floor(F.col("_n") * 4 / 5))
     tried = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: (k * each < F.col("_cut")) & (F.col("_n") >= least))
     at = written(at.withColumn("_ks", F.when(F.size(tried) == 0, F.array(F.lit(1))).otherwise(tried)).withColumn("_split", F.size(tried) > 0))
     parts = F.array_compact(F.array(F.when(F.lit(full), F.lit("all")), F.when(F.col("_split") & (F.col("_at") <= F.col("_cut")), F.lit("train"))))
