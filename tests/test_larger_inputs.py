@@ -90,3 +90,15 @@ def test_folds_are_places_by_ranges(spark):
             end = len(ats) if f == 2 else start + block
             want += [(k, x, f, "train" if i < start - 2 else "validation") for i, x in enumerate(ats) if i < start - 2 or start <= i < end]
     assert got == sorted(want)
+
+
+def test_rounds_hold_rows_alike_once(spark, monkeypatch):
+    from tidemark.operators import fits
+
+    held = []
+    true_nearest = fits.nearest
+    monkeypatch.setattr(fits, "nearest", lambda rows, *a: held.append(rows.count()) or true_nearest(rows, *a))
+    rows = spark.range(400).select(F.lit("a").alias("key"), (F.col("id") % 4).cast("double").alias("x"))
+    got = {r.component: (r.n, r["mean"][0]) for r in fits.mixtures(rows, ["key"], ["x"], ["x"], F.array(F.lit(2)), 2).collect()}
+    assert got == {0: (300, 1.0), 1: (100, 3.0)}  # starts are 1 and 3; 2 lies between and goes to the smaller number
+    assert set(held) == {4}
