@@ -370,6 +370,29 @@ def test_varied_draws_once_a_child_and_brings_parents(spark):
             assert math.isclose(r[c], fold(want), abs_tol=1e-12), (i, r.idx, c, op)
 
 
+def test_children_of_random_paths_are_drawn_where_they_are_taken(spark):
+    odd = [(None,), (-3,), (5,), (5,), (7,), (7,), (7,)]
+    ids = spark.range(60).select(F.col("id").alias("path_id")).unionByName(spark.createDataFrame(odd, "path_id long"))
+    names = F.array(*map(F.lit, [*P.quotas(5), None]))
+    other = F.when(F.col("path_id") % 4 > 0, F.col("path_id") + F.when(F.col("path_id") % 9 == 0, 1000).otherwise(-2))  # some are no path
+    plan = ids.select(F.col("path_id").alias("child_id"), F.get(names, F.pmod("path_id", F.lit(6)).cast("int")).alias("operation"), F.col("path_id").alias("parent"), other.alias("other"))
+    plan = plan.unionByName(spark.createDataFrame([(900, "block", 800, None), (901, "crossover", 3, 7), (902, "directional", 7, 5), (903, "none", 4, 8)], plan.schema)).localCheckpoint()
+    for bounds in ({c: (0.0, 1.0) for c in P.CHANNELS}, {"g": (-0.5, 0.5), "b": (0.0, 1.0), "u": (0.2, 0.3), "d": (0.5, 1.5)}):
+        for probe in ({}, {"scope": (4, 6), "lengths": (2, 3)}):
+            made = P.varied_random(ids, 12, bounds, 1, plan, 2, 0.2, parents=True, **probe)
+            want = P.varied(P.random_paths(ids, 12, bounds, 1), plan, 2, 0.2, parents=True, **probe)
+            got = sorted(map(tuple, made.select(want.columns).collect()), key=str)
+            assert got == sorted(map(tuple, want.collect()), key=str)
+            assert any(r[0] == 901 for r in got) and not any(r[0] in (None, 900) for r in got)
+    plan_text = made._jdf.queryExecution().optimizedPlan().toString()
+    above = plan_text[: plan_text.index("Generate explode")]
+    assert "Join" not in above and "Repartition" not in above  # ids meet, rows do not
+    from tidemark import catalog
+
+    query = catalog.QUERIES["g11_varied_paths"](spark, "/root/testdata/sf0.001")
+    assert all(x.endswith("/orders.parquet") for x in query.inputFiles())  # no table of paths is written
+
+
 def test_probes_change_one_run_in_scope(spark):
     ids = spark.range(12).select(F.col("id").alias("path_id"))
     paths = P.random_paths(ids, 12, {c: (0.0, 1.0) for c in P.CHANNELS}, 1)

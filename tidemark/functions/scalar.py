@@ -218,7 +218,7 @@ def radical_inverse(i: Column, base: int, digits: int | None = None) -> Column:
 def keyed_uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the SHA-256 of the parts: its first 13 hex digits over 16^13."""
     key = F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"), 256)
-    return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / float(16**13)
+    return F.conv(F.substring(key, 1, 13), 16, 10).cast("long") / float(16**13)
 
 
 def triangular(*parts: Column) -> Column:
